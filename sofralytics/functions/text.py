@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from sofralytics.functions import fixed_values as fv
 
@@ -100,7 +101,7 @@ def language_flag(text: Column, mode: str = "turkish") -> Column:
     return F.when(short | is_turkish, F.lit("tr")).otherwise(F.lit("other"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkd_ascii(text: pd.Series) -> pd.Series:
     """NFKD decomposition with everything outside ASCII dropped; no built-in does this."""
     return text.map(

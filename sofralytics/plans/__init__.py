@@ -6,6 +6,8 @@ import importlib
 
 QUERY_MODULES = (
     "scoring_queries",
+    "cleaning_queries",
+    "text_queries",
 )
 
 

@@ -88,6 +88,47 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {part} GROUP BY lower(p_name)
         """,
     ),
+    "bronze_venues_v": (
+        ("supplier", "nation"),
+        """
+        SELECT s.s_suppkey AS arrival,
+               CASE s.s_suppkey % 17 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE concat('  ', s.s_name, ' ') END AS name,
+               CASE s.s_suppkey % 19 WHEN 2 THEN '' ELSE concat('src', CAST(s.s_suppkey % 4 AS STRING)) END AS source,
+               CASE s.s_suppkey % 23 WHEN 3 THEN NULL ELSE concat('id', CAST(s.s_suppkey % 60 AS STRING)) END AS source_id,
+               concat(' ', n.n_name, ' sokak ', CAST(s.s_suppkey AS STRING), ' ') AS address,
+               n.n_name AS district,
+               concat('+90 (', CAST(212 + s.s_suppkey % 5 AS STRING), ') ',
+                      CAST(1000000 + s.s_suppkey * 7919 % 8999999 AS STRING), ' - x') AS phone,
+               CASE s.s_suppkey % 9 WHEN 4 THEN 'x' WHEN 5 THEN NULL
+                    ELSE CAST(40.80 + (s.s_suppkey * 37 % 400) / 1000.0 AS STRING) END AS latitude,
+               CASE s.s_suppkey % 8 WHEN 3 THEN NULL
+                    ELSE CAST(28.60 + (s.s_suppkey * 53 % 550) / 1000.0 AS STRING) END AS longitude,
+               CASE s.s_suppkey % 3 WHEN 0 THEN '2024-03-05T10:20:30Z' WHEN 1 THEN NULL ELSE 'yesterday' END AS scraped_at,
+               CASE s.s_suppkey % 2 WHEN 0 THEN 'https://img.example/1.png' ELSE 'data:image/png;base64,AAAA' END AS image_url
+        FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey
+        """,
+    ),
+    "bronze_reviews_v": (
+        ("documents",),
+        """
+        SELECT doc_id AS arrival,
+               CASE doc_id % 29 WHEN 0 THEN NULL ELSE source END AS restaurant_source,
+               concat('ext-', CAST(doc_id % 97 AS STRING)) AS restaurant_source_id,
+               CASE doc_id % 37 WHEN 5 THEN NULL ELSE concat('r', CAST(doc_id % 700 AS STRING)) END AS external_review_id,
+               CASE doc_id % 31 WHEN 0 THEN ' a ' WHEN 1 THEN '' ELSE text END AS text,
+               CASE doc_id % 7 WHEN 0 THEN '4' WHEN 1 THEN '9' WHEN 2 THEN '-1' WHEN 3 THEN 'abc'
+                    WHEN 5 THEN ' 3 ' WHEN 6 THEN '4.5' END AS rating,
+               CASE doc_id % 6
+                    WHEN 0 THEN concat('2024-', lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0'), '-15')
+                    WHEN 1 THEN concat('15.', lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0'), '.2024')
+                    WHEN 2 THEN concat('15/', lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0'), '/2024')
+                    WHEN 3 THEN concat('2024-', lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0'), '-15T08:30:00Z')
+                    WHEN 4 THEN 'last year' END AS review_date,
+               CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lang END AS language,
+               CASE doc_id % 3 WHEN 0 THEN '2024-03-05T10:20:30Z' WHEN 1 THEN NULL ELSE 'yesterday' END AS scraped_at
+        FROM {documents}
+        """,
+    ),
     "requests_v": (
         ("events",),
         """
