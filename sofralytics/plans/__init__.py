@@ -8,6 +8,9 @@ QUERY_MODULES = (
     "scoring_queries",
     "cleaning_queries",
     "text_queries",
+    "store_queries",
+    "dictionary_queries",
+    "sentiment_queries",
 )
 
 

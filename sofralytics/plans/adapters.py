@@ -129,6 +129,24 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {documents}
         """,
     ),
+    "vectors_v": (
+        ("embeddings",),
+        """
+        SELECT vec_id AS review_id, embedding, label % 3 - 1 AS label FROM {embeddings}
+        """,
+    ),
+    "dictionary_v": (
+        ("benchmark",),
+        """
+        SELECT item_id AS load_position,
+               concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)) AS canonical,
+               split_part(text, ' ', 3) AS alias_1,
+               concat(split_part(text, ' ', 4), ' ', split_part(text, ' ', 5)) AS alias_2,
+               concat('cat', CAST(item_id % 5 AS STRING)) AS category,
+               concat('region', CAST(item_id % 3 AS STRING)) AS region
+        FROM {benchmark}
+        """,
+    ),
     "requests_v": (
         ("events",),
         """
