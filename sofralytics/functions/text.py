@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from sofralytics.functions import fixed_values as fv
 
 WORD = r"[\p{L}\p{N}_]+"
+NON_WORD = r"[^\p{L}\p{N}_]+"
 # Every character Python's str.strip and \\s treat as white space.
 WHITESPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
@@ -28,7 +29,7 @@ def strip(text: Column) -> Column:
 
 def turkish_lower(text: Column) -> Column:
     """Lower case with the Turkish dotted/dotless i rule applied first."""
-    return F.lower(F.translate(text, "İI", "iı"))
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
 
 
 def fold_letters(text: Column) -> Column:
@@ -48,7 +49,8 @@ def ascii_fold(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens; NULL gives an empty array."""
-    return F.coalesce(F.regexp_extract_all(turkish_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    words = F.array_remove(F.split(turkish_lower(text), NON_WORD), "")
+    return F.coalesce(words, F.array().cast("array<string>"))
 
 
 def without_stopwords(words: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sofralytics.functions import fixed_values as fv
 from sofralytics.functions.numeric import round_to
-from sofralytics.functions.text import ascii_fold, contains_any, first_contained, ngrams, normalize, squeeze_lower, tokens
-from sofralytics.operators.sizing import bounded
+from sofralytics.functions.text import ascii_fold, contains_any, first_contained, normalize, squeeze_lower, tokens
+from sofralytics.operators.sizing import bounded, spread
 
 MAX_WORDS = 4
 
@@ -46,22 +46,33 @@ def exact_match(queries: DataFrame, lookup: DataFrame, column: str = "query") ->
     return keyed.join(bounded(lookup.select("key", "canonical")), "key", "left").drop("key")
 
 
+def _key_form(run: Column) -> Column:
+    """Tokens are lower-cased words already; only an underscore still needs normalising."""
+    return F.when(F.contains(run, F.lit("_")), normalize(run)).otherwise(run)
+
+
+def word_windows(reviews: DataFrame) -> DataFrame:
+    """(review_id, start, run): the up to four words that begin at every word of the text."""
+    rows = spread(reviews.select("review_id", "text")).select("review_id", tokens(F.col("text")).alias("w"))
+    runs = F.transform(F.col("w"), lambda word, i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(MAX_WORDS)), " "))
+    return rows.select("review_id", F.posexplode(runs).alias("start", "run"))
+
+
 def candidates(reviews: DataFrame) -> DataFrame:
-    """(review_id, position, candidate, key): the distinct 1-4 word runs of each text.
+    """(review_id, position, candidate, key): every run of one to four words.
 
-    ``position`` counts single words first, then pairs and so on, in reading order.
+    ``position`` orders single words first, then pairs and so on, each in reading order.
     """
-    words = tokens(F.col("text"))
-    rows = reviews.select("review_id", words.alias("w"))
-    runs = F.array_distinct(F.concat(*[ngrams(F.col("w"), n) for n in range(1, MAX_WORDS + 1)]))
-    rows = rows.select("review_id", F.posexplode(runs).alias("position", "candidate"))
-    key = F.when(F.contains("candidate", F.lit("_")), normalize(F.col("candidate"))).otherwise(F.col("candidate"))
-    return rows.withColumn("key", key)
+    words = F.split("run", " ")
+    rows = word_windows(reviews).select("review_id", "start", "run", F.explode(F.sequence(F.lit(1), F.size(words))).alias("n"))
+    rows = rows.withColumn("candidate", F.call_function("substring_index", F.col("run"), F.lit(" "), F.col("n")))
+    return rows.select("review_id", F.struct("n", "start").alias("position"), "candidate", _key_form(F.col("candidate")).alias("key"))
 
 
 def best_per_dish(matches: DataFrame) -> DataFrame:
     """One row per (review, canonical): highest score, then longest text, then earliest position."""
-    rank = F.struct(F.col("score"), F.length("matched_text").alias("l"), (-F.col("position")).alias("p"))
+    earliest = F.struct((-F.col("position.n")).alias("n"), (-F.col("position.start")).alias("s"))
+    rank = F.struct(F.col("score"), F.length("matched_text").alias("l"), earliest.alias("p"))
     best = F.max_by(F.struct("matched_text", "score", "method"), rank)
     return matches.groupBy("review_id", "canonical").agg(best.alias("b")).select(
         "review_id", "canonical", "b.matched_text", "b.score", "b.method"
@@ -71,12 +82,28 @@ def best_per_dish(matches: DataFrame) -> DataFrame:
 def exact_mentions(reviews: DataFrame, lookup: DataFrame) -> DataFrame:
     """Dishes named literally in each review, best match per dish.
 
-    The join happens where the text was split; only matched rows reach the shuffle on review and dish.
+    Every word of the text is joined to the keys that start with it, and the words after it are compared
+    in the join condition, so runs that match nothing are never built.  Only matched rows reach the
+    shuffle on review and dish.
     """
-    hits = candidates(reviews).join(bounded(lookup.select("key", "canonical")), "key")
+    space = F.lit(" ")
+    keys = lookup.select(
+        "key", "canonical", F.split_part("key", space, F.lit(1)).alias("first"), F.size(F.split("key", " ")).alias("key_words")
+    )
+    run, key = F.col("run"), F.col("key")
+    odd = F.contains(run, F.lit("_"))
+    first = F.split_part(F.when(odd, normalize(run)).otherwise(run), space, F.lit(1))
+    # A run with an underscore may use more or fewer tokens than the key has words; take the longest.
+    odd_length = F.array_max(
+        F.filter(F.sequence(F.lit(1), F.size(F.split(run, " "))), lambda n: normalize(F.array_join(F.slice(F.split(run, " "), F.lit(1), n), " ")) == key)
+    )
+    same = F.startswith(F.concat(run, space), F.concat(key, space))
+    words = F.when(odd, odd_length).when(same, F.col("key_words"))
+    hits = word_windows(reviews).withColumn("first", first).join(bounded(keys), "first").withColumn("n", words).filter("n IS NOT NULL")
     return best_per_dish(
         hits.select(
-            "review_id", "canonical", "position", F.col("candidate").alias("matched_text"),
+            "review_id", "canonical", F.struct("n", "start").alias("position"),
+            F.call_function("substring_index", F.col("run"), F.lit(" "), F.col("n")).alias("matched_text"),
             F.lit(100.0).alias("score"), F.lit("exact").alias("method"),
         )
     )

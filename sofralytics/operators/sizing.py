@@ -17,3 +17,14 @@ def bounded(frame: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     small = frame.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(frame) if small else frame
+
+
+def spread(frame: DataFrame, bytes_per_task: int = 128 * 1024 * 1024) -> DataFrame:
+    """A small input spread over all cores before heavy per-row work; a large one is left as it is.
+
+    A few megabytes of text stored as one row group would keep a single task busy.  The plan's own
+    size estimate decides, so no data is read for the check.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    estimate = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if estimate < cores * bytes_per_task else frame
