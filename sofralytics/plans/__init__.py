@@ -11,6 +11,9 @@ QUERY_MODULES = (
     "store_queries",
     "dictionary_queries",
     "sentiment_queries",
+    "place_queries",
+    "request_queries",
+    "evaluation_queries",
 )
 
 

@@ -12,7 +12,7 @@ BUILDERS: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, *views: str, sql: str | None = None):
+def query(name: str, *views: str, sql: str | None = None, recursive: bool = False):
     """Register ``fn(tables) -> DataFrame``; ``sql`` may use the named adapter views.
 
     ``sql`` starts with SELECT, or with a comma and further common table expressions.
@@ -23,7 +23,8 @@ def query(name: str, *views: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         BUILDERS[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(views, sql)
+            text = with_views(views, sql)
+            ORACLES[name] = text.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else text
         return fn
 
     return wrap
