@@ -130,8 +130,8 @@ def tile(points: DataFrame, hot: int = fv.TILE_HOT_COUNT, base_zoom: int = fv.BA
     high, wide = span(base_zoom)
     rows = weighted.select(
         "lat", "lng", "w",
-        round_to((F.floor(F.col("lat") / high) + 0.5) * high, 6).alias("c_lat"),
-        round_to((F.floor(F.col("lng") / wide) + 0.5) * wide, 6).alias("c_lng"),
+        round_to((F.floor(F.col("lat") / high + EDGE) + 0.5) * high, 6).alias("c_lat"),
+        round_to((F.floor(F.col("lng") / wide + EDGE) + 0.5) * wide, 6).alias("c_lng"),
     )
     result = None
     for zoom in range(base_zoom, max_zoom + 1):

@@ -14,6 +14,8 @@ QUERY_MODULES = (
     "place_queries",
     "request_queries",
     "evaluation_queries",
+    "search_queries",
+    "detail_queries",
 )
 
 

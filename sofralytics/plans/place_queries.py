@@ -114,7 +114,7 @@ def _tile_sql(hot: int, levels: int) -> str:
     high, wide = fv.TILE_SPAN_LAT, fv.TILE_SPAN_LNG
     out = [
         f", pts AS (SELECT lat, lng, count(*) AS w FROM ({_TILE_POINTS.replace('{orders}', 'orders')}) GROUP BY lat, lng)",
-        f"r0 AS (SELECT lat, lng, w, {rounded(f'(floor(lat / {high}::DOUBLE) + 0.5) * {high}::DOUBLE', 6)} AS c_lat, {rounded(f'(floor(lng / {wide}::DOUBLE) + 0.5) * {wide}::DOUBLE', 6)} AS c_lng FROM pts)",
+        f"r0 AS (SELECT lat, lng, w, {rounded(f'(floor(lat / {high}::DOUBLE + 1e-9) + 0.5) * {high}::DOUBLE', 6)} AS c_lat, {rounded(f'(floor(lng / {wide}::DOUBLE + 1e-9) + 0.5) * {wide}::DOUBLE', 6)} AS c_lng FROM pts)",
         "t0 AS (SELECT c_lat, c_lng, CAST(sum(w) AS BIGINT) AS n FROM r0 GROUP BY 1, 2)",
     ]
     for k in range(1, levels + 1):
