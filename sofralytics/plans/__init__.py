@@ -15,6 +15,7 @@ QUERY_MODULES = (
     "request_queries",
     "evaluation_queries",
     "search_queries",
+    "similar_queries",
     "detail_queries",
 )
 
