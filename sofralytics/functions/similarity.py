@@ -39,14 +39,21 @@ def sorted_words(text: str) -> str:
     return " ".join(sorted(text.split()))
 
 
-def window_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with any stretch of the longer that is no longer than it."""
+def window_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """Best ratio of the shorter text with any stretch of the longer that is no longer than it.
+
+    A value that cannot exceed ``floor`` may be returned as 0: with c characters in common (order aside) no
+    stretch reaches more than 200 c / (m + c).
+    """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     m, n = len(short), len(long)
     if m == 0:
         return 100.0 if n == 0 else 0.0
     if short in long:
         return 100.0
+    common = sum(min(short.count(ch), long.count(ch)) for ch in set(short))
+    if 200.0 * common <= floor * (m + common):
+        return 0.0
     starts = range(-m + 1, n)
     best = max(ratio(short, long[max(0, i) : i + m]) for i in starts)
     if m == n:
@@ -72,23 +79,26 @@ def word_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def word_window_ratio(a: str, b: str) -> float:
+def word_window_ratio(a: str, b: str, floor: float = 0.0) -> float:
     """100 with any word in common, else the best window over the sorted words."""
-    if set(a.split()) & set(b.split()):
+    if not set(a.split()).isdisjoint(b.split()):
         return 100.0
-    return window_ratio(sorted_words(a), sorted_words(b))
+    return window_ratio(sorted_words(a), sorted_words(b), floor)
 
 
-def weighted_ratio(a: str, b: str) -> float:
+def weighted_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """Weighted ratio; a value below ``floor`` may come out lower than it is."""
     if not a or not b:
         return 0.0
     lengths = sorted((len(a), len(b)))
     spread = lengths[1] / lengths[0]
-    plain = ratio(a, b)
     if spread < 1.5:
-        return max(plain, 0.95 * max(ratio(sorted_words(a), sorted_words(b)), word_set_ratio(a, b)))
+        return max(ratio(a, b), 0.95 * max(ratio(sorted_words(a), sorted_words(b)), word_set_ratio(a, b)))
     scale = 0.9 if spread <= 8.0 else 0.6
-    return max(plain, scale * window_ratio(a, b), 0.95 * scale * word_window_ratio(a, b))
+    best = 200.0 * lengths[0] / sum(lengths)  # what the plain ratio could reach at most
+    best = ratio(a, b) if best > floor else 0.0
+    best = max(best, 0.95 * scale * word_window_ratio(a, b, max(best, floor) / (0.95 * scale)))
+    return max(best, scale * window_ratio(a, b, max(best, floor) / scale))
 
 
 @pandas_udf(DoubleType())
@@ -97,8 +107,8 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @pandas_udf(DoubleType())
-def weighted_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+def weighted_ratio_udf(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
+    return pd.Series([weighted_ratio(x, y, f) for x, y, f in zip(a, b, floor)], dtype="float64")
 
 
 def word_sort_key(text: Column) -> Column:
@@ -108,12 +118,19 @@ def word_sort_key(text: Column) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Character pairs of the text padded with one blank at either end, repeats numbered."""
+    """Character pairs of the text padded with one blank at either end, repeats numbered.
+
+    The pair array is bound to a lambda variable, so it is built once and not again for every element.
+    """
     padded = F.concat(F.lit(" "), text, F.lit(" "))
     pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
-    return F.transform(
-        pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda h: h == g)).cast("string"))
+    numbered = F.transform(
+        F.array(pairs),
+        lambda ps: F.transform(
+            ps, lambda g, i: F.concat(g, F.size(F.filter(F.slice(ps, F.lit(1), i), lambda h: h == g)).cast("string"))
+        ),
     )
+    return numbered[0]
 
 
 def shared_grams_needed(total_length: Column, threshold: float) -> Column:

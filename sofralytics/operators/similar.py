@@ -16,8 +16,10 @@ from sofralytics.functions.geo import haversine_km
 from sofralytics.functions.similarity import (
     grams, indel_ratio, shared_grams_needed, weighted_ratio_udf, word_sort_key,
 )
-from sofralytics.operators.dictionary import best_per_dish, candidates
 from sofralytics.functions.text import normalize
+from sofralytics.operators.dictionary import best_per_dish, candidates
+from sofralytics.operators.sizing import bounded, spread_by
+from sofralytics.session import ensure_checkpoint_dir
 
 # Below this ratio two short different texts may share no character pair at all.
 LOWEST_BLOCKABLE = 76.0
@@ -60,7 +62,7 @@ def similar_texts(left: DataFrame, right: DataFrame | None, threshold: float) ->
         .filter(F.size(F.array_intersect("ga", "gb")) >= shared_grams_needed(total, threshold))
         .select("a", "b")
     )
-    return pairs.withColumn("ratio", indel_ratio("a", "b")).filter(F.col("ratio") >= threshold)
+    return spread_by(pairs, "a", "b").withColumn("ratio", indel_ratio("a", "b")).filter(F.col("ratio") >= threshold)
 
 
 def all_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
@@ -76,6 +78,7 @@ def _followers(keyed: DataFrame, k: int, chunk_rows: int) -> tuple[DataFrame, Da
     A key is cut into id ranges of about ``chunk_rows`` rows, so a key that covers a third of all records
     still spreads over many tasks; ranges are linked through their first k ids only.
     """
+    ensure_checkpoint_dir(keyed.sparkSession)
     stats = keyed.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
     width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.col("n") * chunk_rows)).cast("long")
     rows = keyed.withColumn("_w", stats.select(F.struct("lo", width.alias("w"))).scalar())
@@ -89,9 +92,11 @@ def _followers(keyed: DataFrame, k: int, chunk_rows: int) -> tuple[DataFrame, Da
         .agg(F.array_sort(F.collect_list("id")).alias("heads"))
     )
     later = Window.partitionBy("key").orderBy("chunk").rowsBetween(1, k)
-    linked = heads.withColumn("rest", F.slice(F.flatten(F.collect_list("heads").over(later)), 1, k))
+    linked = heads.withColumn("rest", F.slice(F.flatten(F.collect_list("heads").over(later)), 1, k)).checkpoint()
     near = rows.withColumn("near", ahead).join(linked.select("key", "chunk", "rest"), ["key", "chunk"])
     near = near.withColumn("next_ids", F.slice(F.concat("near", "rest"), 1, k)).drop("near", "rest")
+    # Used by four branches; written once to the shared folder instead of being shuffled again for each.
+    near = near.checkpoint()
     return near, linked.select("key", "chunk", F.slice(F.concat("heads", "rest"), 1, k).alias("from_here"))
 
 
@@ -117,7 +122,8 @@ def find_duplicates(
 
     names = keyed.select(F.col("key").alias("text")).distinct()
     pairs = (similar_texts if blocking else all_pairs)(names, None, threshold)
-    both = pairs.select("a", "b", "ratio").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = pairs.select("ratio", F.explode(ways).alias("w")).select("w.a", "w.b", "ratio")
     tails = near.filter(F.size("next_ids") < k).select("id", "key", "chunk", (F.lit(k) - F.size("next_ids")).alias("open"))
     probes = tails.join(both, tails["key"] == both["a"]).select("id", "chunk", "open", F.col("b").alias("key"), "ratio")
 
@@ -171,9 +177,10 @@ def match_venues(sources: DataFrame, targets: DataFrame) -> DataFrame:
     )
     shape = ["name", "address", "phone"]
     src = part(sources)
-    kinds_s = src.select(*shape).distinct().select(F.xxhash64(*shape).alias("sk"), *[F.col(c).alias(f"s_{c}") for c in shape])
+    ensure_checkpoint_dir(sources.sparkSession)
+    kinds_s = src.select(*shape).distinct().select(*[F.col(c).alias(f"s_{c}") for c in shape]).checkpoint()
     kinds_t = part(targets).groupBy(*shape).agg(F.min("id").alias("target_id"))
-    kinds_t = kinds_t.select("target_id", *[F.col(c).alias(f"t_{c}") for c in shape])
+    kinds_t = kinds_t.select("target_id", *[F.col(c).alias(f"t_{c}") for c in shape]).checkpoint()
 
     total = F.length("s_name") + F.length("t_name")
     shared = F.size(F.array_intersect(grams(F.col("s_name")), grams(F.col("t_name"))))
@@ -215,35 +222,51 @@ def located_score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("location_score", location_score(km))
 
 
+def _rarest(frame: DataFrame, column: str, frequency: DataFrame, needed: Column) -> DataFrame:
+    """(column, g): the rarest grams of every text, enough of them that a partner sharing ``needed`` of all
+    its grams must share one of these."""
+    flat = frame.select(column, F.explode(grams(F.col(column))).alias("g"))
+    ranked = flat.join(bounded(frequency), "g", "left").groupBy(column).agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("r")
+    )
+    keep = F.greatest(F.lit(1), F.size("r") - needed + 1)
+    return ranked.select(column, F.explode(F.slice("r", F.lit(1), keep)).alias("x")).select(column, "x.g")
+
+
 def _fuzzy_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     """(text, key, score) with a weighted ratio of at least the threshold.
 
-    Any accepted pair shares a padded character pair: lengths within 1.5 need a plain or word-sorted ratio
-    of the threshold or a common word; otherwise the shorter text must nearly occur in the longer, or they
-    share a word.  Texts and keys of a single letter are left to exact matching.
+    An accepted pair has a word in common, or similar lengths and a plain or word-sorted ratio of the
+    threshold, or the shorter text nearly occurs in the longer.  Each case is an equi-join: on the word, on
+    the key's rarest character pairs, and on the shorter text's rarest pairs.  Texts and keys of a single
+    letter are left to exact matching.
     """
     window = threshold / 0.9
-    t = texts.select("text", grams(F.col("text")).alias("gt"), F.split("text", " ").alias("wt"))
-    d = keys.select("key", grams(F.col("key")).alias("gk"), F.split("key", " ").alias("wk"))
+    t = spread_by(texts.select("text"), "text")
+    d = keys.select("key")
+    count_grams = lambda f, c: f.select(F.explode(grams(F.col(c))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    whole = lambda size, share, pad: F.greatest(F.lit(1), F.ceil(size * share + pad - SLACK)).cast("int")
+    # Shared grams a text of this length needs at least, in the similar-length and in the window case.
+    alike = (3 * threshold / 200.0 - 1) * 200.0 / (200.0 - threshold)
+    inside = (3 * window / 200.0 - 1) * (1 + window / (200.0 - window))
+    key_needs = F.least(whole(F.length("key"), alike, 1), whole(F.length("key"), inside, -1))
+    text_needs = whole(F.length("text"), inside, -1)
+
     lt, lk = F.length("text"), F.length("key")
-    short, long, total = F.least(lt, lk), F.greatest(lt, lk), lt + lk
-    overlap = F.size(F.array_intersect("gt", "gk"))
-    reach = (3 * window / 200.0 - 1) * (1 + window / (200.0 - window))
-    inner = F.greatest(F.lit(1), F.ceil(short * reach - 1 - SLACK)).cast("int")
-    likely = (
-        F.arrays_overlap("wt", "wk")
-        | ((long < short * 1.5) & (overlap >= shared_grams_needed(total, threshold)))
-        | ((long >= short * 1.5) & (overlap >= inner))
+    short, long = F.least(lt, lk), F.greatest(lt, lk)
+    comparable = (long <= short * 8) & (short > 1)
+    words = lambda f, c: f.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("g"))
+    every = lambda f, c: f.select(c, F.explode(grams(F.col(c))).alias("g"))
+    same_word = words(t, "text").join(bounded(words(d, "key")), "g").filter(comparable)
+    near_key = every(t, "text").join(bounded(_rarest(d, "key", count_grams(t, "text"), key_needs)), "g").filter(
+        comparable & (lt * 2 > lk)
     )
-    pairs = (
-        t.withColumn("g", F.explode("gt"))
-        .join(d.withColumn("g", F.explode("gk")), "g")
-        .filter((long <= short * 8) & (short > 1))
-        .filter(F.array_intersect("gt", "gk")[0] == F.col("g"))
-        .filter(likely)
-        .select("text", "key")
+    in_key = _rarest(t, "text", count_grams(d, "key"), text_needs).join(bounded(every(d, "key")), "g").filter(
+        comparable & (lk >= lt * 1.5)
     )
-    return pairs.withColumn("score", weighted_ratio_udf("text", "key")).filter(F.col("score") >= threshold)
+    pairs = same_word.unionByName(near_key).unionByName(in_key).select("text", "key").distinct()
+    scored = spread_by(pairs, "text", "key").withColumn("score", weighted_ratio_udf("text", "key", F.lit(threshold - SLACK)))
+    return scored.filter(F.col("score") >= threshold)
 
 
 def fuzzy_lookup(queries: DataFrame, lookup: DataFrame, column: str = "query", threshold: float = fv.FUZZY_LOOKUP_THRESHOLD, limit: int = fv.FUZZY_LOOKUP_LIMIT) -> DataFrame:
@@ -268,10 +291,10 @@ def fuzzy_mentions(reviews: DataFrame, lookup: DataFrame, threshold: float = fv.
     with the dictionary once per distinct run, then joined back.
     """
     runs = candidates(reviews)
-    hits = runs.join(lookup.select("key", "canonical"), "key").select(
+    hits = runs.join(bounded(lookup.select("key", "canonical")), "key").select(
         "review_id", "canonical", "position", F.col("candidate").alias("matched_text"), F.lit(100.0).alias("score"), F.lit("exact").alias("method")
     )
-    open_runs = runs.join(lookup.select("key"), "key", "left_anti").filter(
+    open_runs = runs.join(bounded(lookup.select("key")), "key", "left_anti").filter(
         (F.length("candidate") >= 3) & ~F.col("candidate").isin(*fv.TURKISH_STOPWORDS)
     )
     distinct = open_runs.select(F.col("key").alias("text")).distinct()

@@ -28,3 +28,13 @@ def spread(frame: DataFrame, bytes_per_task: int = 128 * 1024 * 1024) -> DataFra
     cores = frame.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return frame.repartition(cores) if estimate < cores * bytes_per_task else frame
+
+
+def spread_by(frame: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitioned by the columns into exactly the configured number of shuffle partitions.
+
+    Adaptive execution merges small partitions by bytes; rows that are few but costly to process would end
+    up in one task.  A stated number of partitions is kept.
+    """
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(parts, *columns)

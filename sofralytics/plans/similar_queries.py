@@ -93,6 +93,6 @@ def dish_fuzzy_lookup(t):
 
 @query("dish_mentions_fuzzy", "dictionary_v")
 def dish_mentions_fuzzy(t):
-    """Dishes in every conversation turn, spelling mistakes allowed."""
-    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"), "text")
-    return similar.fuzzy_mentions(turns, dish.lookup_table(dish_dictionary(t)))
+    """Dishes in every benchmark passage, spelling mistakes allowed."""
+    passages = t.benchmark.select(F.col("item_id").alias("review_id"), "text")
+    return similar.fuzzy_mentions(passages, dish.lookup_table(dish_dictionary(t)))
