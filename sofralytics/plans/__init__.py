@@ -17,6 +17,7 @@ QUERY_MODULES = (
     "search_queries",
     "similar_queries",
     "detail_queries",
+    "page_queries",
 )
 
 
