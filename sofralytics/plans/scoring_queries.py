@@ -169,3 +169,11 @@ def run_totals(t):
         mentions,
         scoring.score_dishes(mentions).select("food"),
     )
+
+
+@query("running_dish_scores", "scores_v", sql="SELECT * FROM scores_v")
+def running_dish_scores(t):
+    """Scores from the merged sums of two batches that together hold every mention."""
+    first = scoring.dish_sums(t.mentions_v.filter("mention_no % 2 = 0"))
+    second = scoring.dish_sums(t.mentions_v.filter("mention_no % 2 = 1"))
+    return scoring.finish_scores(scoring.merge_sums(first, second))

@@ -1,4 +1,8 @@
-"""Backlog reads, exact dedup and upserts."""
+"""Backlog reads, exact dedup and upserts.
+
+The upsert queries split a view by key into what is stored and what comes in: every key is in one or both,
+so new, matched and untouched rows all occur.
+"""
 
 from __future__ import annotations
 
@@ -98,7 +102,7 @@ def venues_not_stored(t):
 _VENUE_CHANGES = """SELECT v.slug, CASE WHEN n = 2 THEN concat(name, ' v2') ELSE name END AS name,
     CASE WHEN n = 1 THEN concat('new ', address) END AS address, CASE WHEN n = 2 THEN 1 END AS price_range,
     CASE WHEN n = 1 THEN overall_score END AS overall_score, n AS arrival
-    FROM {venues} v, (SELECT 1 AS n UNION ALL SELECT 2) x WHERE v.restaurant_id % 2 = 0"""
+    FROM {venues} v, (SELECT 1 AS n UNION ALL SELECT 2) x WHERE v.restaurant_id % 3 <> 1"""
 
 
 @query(
@@ -127,7 +131,7 @@ def venue_upsert(t):
     "platforms_v",
     sql=""", stored AS (SELECT platform, external_id, restaurant_id, 4.0 AS platform_score FROM platforms_v WHERE restaurant_id % 3 <> 0),
            fresh AS (SELECT platform, external_id, restaurant_id + 1000 AS restaurant_id,
-                       CASE WHEN restaurant_id % 4 = 0 THEN 4.5 END AS platform_score FROM platforms_v WHERE restaurant_id % 2 = 0)
+                       CASE WHEN restaurant_id % 4 = 0 THEN 4.5 END AS platform_score FROM platforms_v WHERE restaurant_id % 3 <> 1)
            SELECT coalesce(f.platform, s.platform) AS platform, coalesce(f.external_id, s.external_id) AS external_id,
              coalesce(f.restaurant_id, s.restaurant_id) AS restaurant_id, CAST(coalesce(f.platform_score, s.platform_score) AS DOUBLE) AS platform_score
            FROM stored s FULL OUTER JOIN fresh f ON s.platform = f.platform AND s.external_id = f.external_id""",
@@ -135,7 +139,7 @@ def venue_upsert(t):
 def platform_upsert(t):
     rows = t.platforms_v
     stored = rows.filter("restaurant_id % 3 <> 0").select("platform", "external_id", "restaurant_id", F.lit(4.0).alias("platform_score"))
-    fresh = rows.filter("restaurant_id % 2 = 0").select(
+    fresh = rows.filter("restaurant_id % 3 <> 1").select(
         "platform", "external_id", (F.col("restaurant_id") + 1000).alias("restaurant_id"),
         F.when(F.col("restaurant_id") % 4 == 0, 4.5).alias("platform_score"), F.lit(1).alias("arrival"),
     )
@@ -143,12 +147,12 @@ def platform_upsert(t):
 
 
 _INCOMING = f"""incoming AS (SELECT arrival, restaurant_source, restaurant_source_id, rid AS external_review_id, text, language FROM {_WITH_ID}
-             WHERE arrival % 4 <> 1),
+             WHERE true),
            known AS (SELECT platform, external_id, restaurant_platform_id FROM platforms_v WHERE restaurant_id % 5 <> 0)"""
 
 
 def _incoming(t):
-    fresh = dedup.with_review_id(_usable(t)).filter("arrival % 4 <> 1").select(
+    fresh = dedup.with_review_id(_usable(t)).select(
         "arrival", "restaurant_source", "restaurant_source_id", "external_review_id", "text", "language"
     )
     known = t.platforms_v.filter("restaurant_id % 5 <> 0")
@@ -196,15 +200,15 @@ def orphan_reviews(t):
 @query(
     "score_upsert",
     "scores_v",
-    sql="""SELECT restaurant_id, food, score, review_count FROM scores_v WHERE restaurant_id % 2 = 0
-           UNION ALL SELECT restaurant_id, food, 1.0 AS score, 0 AS review_count FROM scores_v WHERE restaurant_id % 3 = 0 AND restaurant_id % 2 <> 0""",
+    sql="""SELECT restaurant_id, food, score, review_count FROM scores_v WHERE restaurant_id % 3 <> 1
+           UNION ALL SELECT restaurant_id, food, 1.0 AS score, 0 AS review_count FROM scores_v WHERE restaurant_id % 3 = 1""",
 )
 def score_upsert(t):
     scores = scoring.score_dishes(t.mentions_v).select("restaurant_id", "food", "score", "review_count")
-    stored = scores.filter("restaurant_id % 3 = 0").select(
+    stored = scores.filter("restaurant_id % 3 <> 0").select(
         "restaurant_id", "food", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("review_count")
     )
-    return upsert.upsert_scores(stored, scores.filter("restaurant_id % 2 = 0"))
+    return upsert.upsert_scores(stored, scores.filter("restaurant_id % 3 <> 1"))
 
 
 @query(
