@@ -21,9 +21,11 @@ def no_stemming(word: Column) -> Column:
 
 
 def light_stemmer(word: Column) -> Column:
-    """Plural and case endings cut from folded words that stay at least three letters long."""
-    cut = F.regexp_replace(word, "(?:lari|leri|lar|ler|nin|nun|dan|den|tan|ten|da|de|ta|te|si|su|i|u)$", "")
-    return F.when(F.length(cut) >= 3, cut).otherwise(word)
+    """Plural and case endings, then possessive endings, cut from folded words that stay three letters long."""
+    for endings in ("lari|leri|lar|ler|nin|nun|dan|den|tan|ten|da|de|ta|te", "si|su|i|u"):
+        cut = F.regexp_replace(word, f"(?:{endings})$", "")
+        word = F.when(F.length(cut) >= 3, cut).otherwise(word)
+    return word
 
 
 def lexemes(text: Column, stem: Stemmer = no_stemming) -> Column:

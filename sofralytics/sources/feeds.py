@@ -40,5 +40,5 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
         return spark.read.parquet(path).select("page_id", "url", "html")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
     return files.select(
-        F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.decode("content", F.lit("UTF-8")).alias("html")
+        F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html")
     )
