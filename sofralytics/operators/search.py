@@ -60,18 +60,34 @@ def lexeme_search(queries: DataFrame, documents: DataFrame, stem: Stemmer = no_s
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = fv.TRIGRAM_THRESHOLD) -> DataFrame:
-    """(left_id, right_id, similarity) above the threshold, joined on shared trigrams.
+    """(left_id, right_id, similarity) above the threshold, joined on rare shared trigrams.
 
-    Both sides: id, name.  A similarity above 0 needs a shared trigram, so no pair is lost.  Each pair is
-    emitted once, at its first shared trigram, so no shuffle is needed to remove repeats.
+    Both sides: id, name.  A pair above the threshold shares more than that part of either name's trigrams,
+    so with trigrams ordered rarest first the most common ones of each name can stay out of the join without
+    losing a pair.  Each pair is emitted once, at its first shared trigram, so no shuffle removes repeats.
     """
-    a = left.select(F.col("id").alias("left_id"), trigrams(F.col("name")).alias("lt"))
-    b = right.select(F.col("id").alias("right_id"), trigrams(F.col("name")).alias("rt"))
-    ea = a.select("left_id", "lt", F.explode("lt").alias("g"))
-    eb = b.select("right_id", "rt", F.explode("rt").alias("g"))
+    a = left.select(F.col("id").alias("left_id"), trigrams(F.col("name")).alias("t"))
+    b = right.select(F.col("id").alias("right_id"), trigrams(F.col("name")).alias("t"))
+    every = a.select(F.explode("t").alias("g")).unionByName(b.select(F.explode("t").alias("g")))
+    frequency = every.groupBy("g").agg(F.count("*").alias("n"))
+
+    def prefixed(frame: DataFrame, key: str) -> DataFrame:
+        ranked = frame.select(key, F.explode("t").alias("g")).join(frequency, "g").groupBy(key).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("t")
+        )
+        keep = (F.size("t") - F.floor(F.size("t") * threshold)).cast("int")
+        return ranked.select(key, "t", F.slice("t", F.lit(1), keep).alias("p"))
+
+    pa = prefixed(a, "left_id").select("left_id", F.col("t").alias("lt"), F.col("p").alias("lp"))
+    pb = prefixed(b, "right_id").select("right_id", F.col("t").alias("rt"), F.col("p").alias("rp"))
     # The larger set is at least as large as the shared part, which bounds the similarity from above.
     sizes = F.least(F.size("lt"), F.size("rt")) / F.greatest(F.size("lt"), F.size("rt"))
-    pairs = ea.join(eb, "g").filter(sizes > threshold).filter(F.array_intersect("lt", "rt")[0] == F.col("g"))
+    pairs = (
+        pa.withColumn("g", F.explode("lp"))
+        .join(pb.withColumn("g", F.explode("rp")), "g")
+        .filter(sizes > threshold)
+        .filter(F.array_intersect("lp", "rp")[0] == F.col("g"))
+    )
     return pairs.select("left_id", "right_id", trigram_similarity(F.col("lt"), F.col("rt")).alias("similarity")).filter(
         F.col("similarity") > threshold
     )
