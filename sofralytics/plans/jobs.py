@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from sofralytics.operators import dedup, dictionary, extract_html, scoring, sentiment, similar, validate
+from sofralytics.session import ensure_checkpoint_dir
 
 
 def clean(bronze_venues: DataFrame, bronze_reviews: DataFrame, run_ts: Column) -> dict[str, DataFrame]:
@@ -38,7 +39,9 @@ def process_reviews(reviews: DataFrame, entries: DataFrame, vectors: DataFrame,
     ``vectors``: review_id, embedding; ``seeds``: label, embedding.  One lineage from text to scores; shuffles
     happen on the review id and on (venue, dish) only.
     """
-    dishes = extract_dishes(reviews, entries, fuzzy)
+    ensure_checkpoint_dir(reviews.sparkSession)
+    # Found dishes feed both the mentions and the aspects; keeping them saves splitting every text twice.
+    dishes = extract_dishes(reviews, entries, fuzzy).checkpoint()
     labels = sentiment.review_sentiment(reviews, vectors, sentiment.prototypes(seeds))
     named = dishes.filter("is_food").selectExpr("review_id", "canonical AS food")
     mentions = sentiment.mention_rows(dishes, labels, sentiment.aspect_sentiment(sentiment.aspects(reviews, named)))

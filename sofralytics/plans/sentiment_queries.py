@@ -9,6 +9,7 @@ from sofralytics.operators import scoring
 from sofralytics.operators import sentiment as sent
 from sofralytics.plans.dictionary_queries import EXTRACTED, extracted
 from sofralytics.plans.registry import query, rounded, strings
+from sofralytics.session import ensure_checkpoint_dir
 
 # Words that do occur in the driver documents, used next to the built-in Turkish lists.
 POSITIVE = ("the", "les", "und", "tion", "ment")
@@ -125,8 +126,8 @@ ASPECTS = f"""{EXTRACTED},
       FROM extracted JOIN documents ON review_id = doc_id WHERE is_food AND contains(lower(text), lower(canonical)))"""
 
 
-def _aspects(t):
-    found = extracted(t).filter("is_food").select("review_id", F.col("canonical").alias("food"))
+def _aspects(t, dishes=None):
+    found = (extracted(t) if dishes is None else dishes).filter("is_food").select("review_id", F.col("canonical").alias("food"))
     return sent.aspects(_reviews(t), found)
 
 
@@ -149,7 +150,9 @@ MENTIONS = f"""{SENTIMENT}, {ASPECTS},
 
 
 def _mentions(t):
-    return sent.mention_rows(extracted(t), _sentiment(t), sent.aspect_sentiment(_aspects(t), **WORDS))
+    ensure_checkpoint_dir(t.spark)
+    dishes = extracted(t).checkpoint()
+    return sent.mention_rows(dishes, _sentiment(t), sent.aspect_sentiment(_aspects(t, dishes), **WORDS))
 
 
 @query("mention_rows", "reviews_v", "vectors_v", "dictionary_v", sql=f", {MENTIONS} SELECT * FROM mentions")
