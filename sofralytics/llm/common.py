@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The white space that separates words, as a regular expression class.
 BLANKS = "[\\x20\\x09-\\x0D]+"
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,6 +46,35 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Bound the rows of an Arrow batch while the jobs in this block run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def mapped(frame: DataFrame, run, schema: str, name: str, rows: int = 256) -> DataFrame:
+    """``mapInArrow`` over few rows at a time, written to the shared folder."""
+    with arrow_rows(frame.sparkSession, rows):
+        return saved(frame.mapInArrow(run, schema), name)
+
+
+def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text (bytes.split splits on exactly the six blanks), a bounded stretch of the text at a time."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + size)
+        end = blank.start() if blank else len(text)
+        if found := text[at:end].split():
+            yield found
+        at = end
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)
