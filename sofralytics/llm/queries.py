@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, pii, simhash
+from sofralytics.llm import host_rules, mixing, pii, simhash
 from sofralytics.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,24 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rate", "host_kept", "rule_failed"
     )
+
+
+# Shares in proportion to the square root of a source's characters, as many characters as there are.
+MIX_SQL = """
+WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM documents GROUP BY source),
+total AS (SELECT sum(pow(CAST(chars AS DOUBLE), 0.5)) AS weight, sum(chars) AS chars FROM sizes),
+rates AS (SELECT s.source, CASE WHEN s.chars > 0 THEN pow(CAST(s.chars AS DOUBLE), 0.5) / t.weight * t.chars / s.chars ELSE 0 END AS rate FROM sizes s, total t),
+parts AS (SELECT d.doc_id, d.source, d.text, d.lang, d.n_chars, r.rate, greatest(CAST(ceil(r.rate / 16.0) AS INTEGER), 1) AS parts FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+draws AS (SELECT *, (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':~:' || CAST(part AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u, rate / parts AS mean
+          FROM (SELECT *, unnest(range(1, parts + 1)) AS part FROM parts)),
+terms AS (SELECT mean, k, sum(exp(-mean) * CASE WHEN k = 0 THEN 1 ELSE exp(k * ln(mean) - lgamma(k + 1)) END) OVER (PARTITION BY mean ORDER BY k) AS cdf
+          FROM (SELECT mean, unnest(range(0, CAST(floor(mean * 12 + 60) AS INTEGER))) AS k FROM (SELECT DISTINCT mean FROM draws WHERE mean > 0))),
+counts AS (SELECT d.doc_id, d.source, d.lang, d.text, d.n_chars, CAST(sum(CASE WHEN d.mean > 0 THEN (SELECT count(*) FROM terms t WHERE t.mean = d.mean AND t.cdf < d.u) ELSE 0 END) AS INTEGER) AS copies
+           FROM draws d GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM counts
+"""
+
+
+@query("op4_mixing", MIX_SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("mix_key")
