@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, mixing, pii, simhash
-from sofralytics.llm.common import documents
+from sofralytics.llm import host_rules, mixing, pii, quality_cnn, simhash
+from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,12 @@ SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, copies + 1)) AS
 @query("op4_mixing", MIX_SQL)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("mix_key")
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    small_batches(spark)
+    net = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), quality_cnn.text_score(net).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_cnn.THRESHOLD).cast("int"))
