@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, mixing, pii, quality_cnn, simhash
+from sofralytics.llm import host_rules, mixing, pii, quality_cnn, simhash, url_filter
 from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = docs.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), quality_cnn.text_score(net).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality_cnn.THRESHOLD).cast("int"))
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    model = url_filter.train(url_filter.labelled_by_rules(pages, RULES))
+    return url_filter.judge(pages, RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_block")
