@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, mixing, pii, quality_cnn, simhash, url_filter
+from sofralytics.llm import host_rules, mixing, pii, quality_cnn, sentencepiece, simhash, url_filter
 from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     model = url_filter.train(url_filter.labelled_by_rules(pages, RULES))
     return url_filter.judge(pages, RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return sentencepiece.encode(documents(spark, sf_dir).select("doc_id", "text"), sentencepiece.Vocabulary.load(PIECES))
