@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, mixing, pii, quality_cnn, sentencepiece, simhash, url_filter
+from sofralytics.llm import host_rules, imatch, mixing, pii, quality_cnn, sentencepiece, simhash, url_filter
 from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,17 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return sentencepiece.encode(documents(spark, sf_dir).select("doc_id", "text"), sentencepiece.Vocabulary.load(PIECES))
+
+
+@query("op8_imatch")
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.neighbours(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        imatch.written(F.col("found")).alias("fingerprint"),
+        imatch.written(F.col("edited_found")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("found"), F.col("edited_found")).alias("near_edited"),
+        imatch.likeness(F.col("found"), F.col("next_found")).alias("near_next"),
+    )
