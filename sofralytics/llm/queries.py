@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, imatch, mixing, pii, quality_cnn, sentencepiece, simhash, url_filter
+from sofralytics.llm import host_rules, imatch, license_scan, mixing, pii, quality_cnn, sentencepiece, simhash, url_filter
 from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         imatch.likeness(F.col("found"), F.col("edited_found")).alias("near_edited"),
         imatch.likeness(F.col("found"), F.col("next_found")).alias("near_next"),
     )
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return license_scan.scan(docs, license_scan.train(docs))

@@ -97,16 +97,15 @@ def variants(fp: Column, max_bits: int) -> Column:
 
 
 def candidates(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
-    """(group, fp, side): rows of one group are to be compared; large entries are dealt to pairs of chunks."""
+    """(group, fp, side): rows of one group are to be compared; entries over ``chunk`` are dealt to pairs of chunks."""
     index = distinct.select("fp", F.explode(variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.key", "v.side")
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
-    useful = sizes.where((F.col("n") > 1) & ((F.col("low") == 2) | (F.col("low") < F.col("high"))))
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = index.join(useful.select("key", parts.alias("parts")), "key")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(group).alias("group"), "fp", F.col("side").cast("int"))
+    large = saved(index.groupBy("key").count().where(F.col("count") > chunk), "large")
+    large = large.select(F.col("key").alias("_key"), F.ceil(F.col("count") / chunk).cast("int").alias("_parts"))
+    dealt = index.join(large, index["key"] == large["_key"], "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("_parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+    groups = F.when(F.col("_parts").isNull(), F.array("key")).otherwise(pairs)
+    return dealt.select(F.explode(groups).alias("group"), "fp", "side")
 
 
 def forest(groups: np.ndarray, values: np.ndarray, sides: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
