@@ -33,11 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(frame: DataFrame, name: str) -> DataFrame:
     """Write a step's rows as Parquet to the shared folder and return a scan of them.
 
-    This cuts the lineage: a lost executor costs a re-read, not the steps before.
+    This cuts the lineage: a lost executor costs a re-read, not the steps before.  The step's shuffle files are of no
+    more use once its rows are written, so Spark is told to drop them then.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -47,17 +49,21 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Bound the rows of an Arrow batch while the jobs in this block run."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
+    """A session setting that holds while the jobs in this block run."""
     before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """Bound the rows of an Arrow batch."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def mapped(frame: DataFrame, run, schema: str, name: str, rows: int = 256) -> DataFrame:
     """``mapInArrow`` over few rows at a time, written to the shared folder."""
     with arrow_rows(frame.sparkSession, rows):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, imatch, license_scan, mixing, pii, quality_cnn, sentencepiece, simhash, url_filter
+from sofralytics.llm import host_rules, imatch, katz, license_scan, mixing, pii, quality_cnn, sentencepiece, simhash, url_filter
 from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,11 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return license_scan.scan(docs, license_scan.train(docs))
+
+
+@query("op6_katz")
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = katz.train(docs)
+    scored = katz.score(docs, model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
