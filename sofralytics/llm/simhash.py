@@ -201,5 +201,21 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, width: int = 4) -
     return prints.join(classes(prints, max_bits), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, width: int = 4) -> DataFrame:
+    """One row of each component, the one with the smallest id (of equal ids, the smallest text hash), columns as given.
+
+    The rows to keep are found among ids and hashes only; texts are then met by a semi-join on both.  Rows that are the
+    same in both are numbered, and one stays.
+    """
+    found = near_duplicates(docs, max_bits, width)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = saved(found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash"), "kept")
+    first = first.distinct().select(F.struct("doc_id", "text_hash").alias("_key"))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    kept = docs.withColumn("_key", F.struct("doc_id", text_hash)).join(first, "_key", "left_semi")
+    same = Window.partitionBy("_key").orderBy("_key")  # dealt as the join has dealt them
+    return kept.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") == 1).select(*docs.columns)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
