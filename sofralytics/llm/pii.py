@@ -127,7 +127,7 @@ def weighed(kind: int, text: Column, found: Column, valid) -> Column:
 
     def score(m: Column) -> Column:
         begin = F.greatest(m["at"] - NEAR, F.lit(0))
-        near = F.substring(text, begin + 1, F.length(m["text"]) + 2 * NEAR)
+        near = F.substring(text, begin + 1, m["at"] + F.length(m["text"]) + NEAR - begin)
         plus = F.when(near.rlike(CONTEXT[name]), STEP).otherwise(0.0)
         minus = F.when(near.rlike(AGAINST), STEP).otherwise(0.0)
         return F.lit(START[name]) + plus - minus
