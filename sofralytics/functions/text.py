@@ -39,7 +39,17 @@ def fold_letters(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Case- and accent-insensitive form used as a join key."""
-    return F.trim(F.lower(fold_letters(text)))
+    return strip(F.lower(fold_letters(text)))
+
+
+# Latin-1 and Latin Extended-A letters and the ASCII letters they are accented forms of.
+ACCENTED = {c: b for c in map(chr, range(0xC0, 0x180)) if (b := unicodedata.normalize("NFD", c)[0]) != c and b.isascii()}
+ACCENTED |= {"ı": "i", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D"}
+
+
+def search_key(text: Column) -> Column:
+    """Form in which queries and stored names meet: no accents of any Latin letter, lower case, stripped."""
+    return strip(F.lower(F.translate(text, "".join(ACCENTED), "".join(ACCENTED.values()))))
 
 
 def ascii_fold(text: Column) -> Column:
@@ -99,7 +109,7 @@ def language_flag(text: Column, mode: str = "turkish") -> Column:
     is_turkish = (
         (marked / F.greatest(F.length(text), F.lit(1)) > 0.02) | (known / total > 0.1) | (known >= 2)
     )
-    short = text.isNull() | (F.length(F.trim(text)) < 3)
+    short = text.isNull() | (F.length(strip(text)) < 3)
     return F.when(short | is_turkish, F.lit("tr")).otherwise(F.lit("other"))
 
 
@@ -133,7 +143,7 @@ def slug(name: Column, district: Column, source_id: Column, nfkd: bool = True) -
 
 def word_slug(text: Column) -> Column:
     """Slug that keeps ASCII word characters: other signs are removed, spaces and ``_`` become ``-``."""
-    out = F.trim(F.lower(fold_letters(text)))
+    out = strip(F.lower(fold_letters(text)))
     out = F.regexp_replace(out, r"[^A-Za-z0-9_\s-]", "")
     out = F.regexp_replace(out, r"[\s_]+", "-")
     return F.regexp_replace(out, "^-+|-+$", "")
@@ -145,7 +155,7 @@ def is_slug(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty parts between sentence marks."""
-    return F.filter(F.transform(F.split(text, "[.!?;]+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "[.!?;]+"), strip), lambda s: s != "")
 
 
 def trigrams(text: Column) -> Column:

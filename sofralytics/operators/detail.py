@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sofralytics.functions import fixed_values as fv
 from sofralytics.functions.numeric import percent_half_up, round_to
-from sofralytics.functions.text import fold
+from sofralytics.functions.text import search_key
 
 LABELS = ("positive", "negative", "neutral")
 
@@ -113,9 +113,9 @@ def venue_documents(venues: DataFrame, platforms: DataFrame, scores: DataFrame,
 
 def dish_venues(dishes: DataFrame, scores: DataFrame, venues: DataFrame) -> DataFrame:
     """Active venues serving each dish; names are compared without case and accents."""
-    served = scores.select("restaurant_id", "score", "review_count", fold(F.col("food")).alias("_k"))
+    served = scores.select("restaurant_id", "score", "review_count", search_key(F.col("food")).alias("_k"))
     place = venues.filter("is_active").select("restaurant_id", F.col("name").alias("venue"), "slug", "district")
-    asked = dishes.select("dish_id", F.col("name").alias("dish"), fold(F.col("name")).alias("_k"))
+    asked = dishes.select("dish_id", F.col("name").alias("dish"), search_key(F.col("name")).alias("_k"))
     return served.join(place, "restaurant_id").join(asked, "_k").drop("_k")
 
 
@@ -136,8 +136,8 @@ def dish_stats(dishes: DataFrame, served: DataFrame) -> DataFrame:
 
 def dish_sentiment(dishes: DataFrame, mentions: DataFrame) -> DataFrame:
     """Label counts of each dish over all mentions, 0 when it is never mentioned."""
-    counts = mentions.groupBy(fold(F.col("food")).alias("_k")).agg(*label_counts(F.col("sentiment")))
-    rows = dishes.select("dish_id", "name", fold(F.col("name")).alias("_k")).join(counts, "_k", "left")
+    counts = mentions.groupBy(search_key(F.col("food")).alias("_k")).agg(*label_counts(F.col("sentiment")))
+    rows = dishes.select("dish_id", "name", search_key(F.col("name")).alias("_k")).join(counts, "_k", "left")
     return rows.select("dish_id", "name", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", *LABELS)])
 
 

@@ -43,12 +43,13 @@ def quota_use(log: DataFrame, unit: str, limits: dict | None = None, key: str =
 def sliding_rate(log: DataFrame, limit: int = fv.CLIENT_RATE_PER_MINUTE, seconds: int = 60, key: str = "client") -> DataFrame:
     """For every request: requests of the same key in the last ``seconds`` (it included), and whether over the limit.
 
-    A row is counted from just inside the window's start up to its own moment.  Each key is cut into hours;
-    rows in the last ``seconds`` of an hour are also handed to the next one as look-back rows, so a busy
-    key spreads over as many tasks as it has hours.
+    A row is counted from just inside the window's start up to its own moment.  Each key is cut into hours, or into
+    stretches of ``seconds`` where these are longer; rows in the last ``seconds`` of a stretch are also handed to the next
+    one as look-back rows, so a busy key spreads over as many tasks as it has stretches.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    hour_us, span = 3_600_000_000, seconds * 1_000_000
+    span = seconds * 1_000_000
+    hour_us = max(3_600_000_000, span)
     base = log.withColumn("_us", micros).withColumn("_h", F.floor(F.col("_us") / hour_us))
     late = F.col("_us") % hour_us >= hour_us - span
     slots = F.when(late, F.array(F.struct(F.col("_h").alias("h"), F.lit(True).alias("own")), F.struct((F.col("_h") + 1).alias("h"), F.lit(False).alias("own"))))
@@ -104,10 +105,13 @@ def backoff_state(log: DataFrame, limits: dict | None = None, key: str = "platfo
 
 
 def failure_streaks(log: DataFrame, threshold: int = fv.FAILURES_TO_BLACKLIST, key: str = "client") -> DataFrame:
-    """Consecutive failures of the key up to every request, and whether that reaches the blacklist."""
-    rows = running_since_reset(
-        log, [key], ["ts", "request_id"], hour_of(F.col("ts")), {"streak": F.col("failure").cast("int")}, ~F.col("failure")
-    )
+    """Failures of the key since its last success up to every request, and whether that reaches the blacklist.
+
+    ``failure`` marks bans (by status or text) and connection errors.  Only a status of 200-399 that is no failure
+    counts as a success and starts again at 0; any other answer, a 404 or a 5xx say, leaves the streak as it is.
+    """
+    success = F.col("status").between(200, 399) & ~F.col("failure")
+    rows = running_since_reset(log, [key], ["ts", "request_id"], hour_of(F.col("ts")), {"streak": F.col("failure").cast("int")}, success)
     return rows.withColumn("blacklisted", F.col("streak") >= threshold)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sofralytics.functions import fixed_values as fv
+from sofralytics.functions.text import strip
 from sofralytics.functions.numeric import round_to
 
 SUM_COLUMNS = (
@@ -54,7 +55,7 @@ def dish_sums(mentions: DataFrame, keys=("restaurant_id", "food")) -> DataFrame:
     value = sentiment_value(F.col("sentiment"))
     weight = F.round(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)) * CONFIDENCE_SCALE).cast("long")
     rows = (
-        mentions.withColumn("food", F.lower(F.trim("food")))
+        mentions.withColumn("food", F.lower(strip(F.col("food"))))
         .filter(F.col("food") != "")
         .select(
             *keys,

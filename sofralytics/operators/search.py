@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from sofralytics.functions import fixed_values as fv
 from sofralytics.functions.geo import haversine_km, within_km
-from sofralytics.functions.text import fold, trigram_similarity, trigrams, without_stopwords
+from sofralytics.functions.text import search_key, trigram_similarity, trigrams, without_stopwords
 
 Stemmer = Callable[[Column], Column]
 
@@ -30,7 +30,7 @@ def light_stemmer(word: Column) -> Column:
 
 def lexemes(text: Column, stem: Stemmer = no_stemming) -> Column:
     """Distinct folded, stemmed words without stop words."""
-    words = F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    words = F.array_remove(F.split(search_key(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     return F.array_distinct(F.transform(without_stopwords(words), stem))
 
 
@@ -105,7 +105,7 @@ def self_similar_names(names: DataFrame, threshold: float = fv.TRIGRAM_THRESHOLD
 def contains_folded(text: Column, query: str | Column) -> Column:
     """Substring match without regard to case or accents."""
     needle = F.lit(query) if isinstance(query, str) else query
-    return F.contains(fold(text), fold(needle))
+    return F.contains(search_key(text), search_key(needle))
 
 
 @dataclass(frozen=True)
@@ -228,10 +228,10 @@ def suggest_venues(queries: DataFrame, venues: DataFrame, k: int = fv.SUGGESTION
 def dish_venue_counts(dishes: DataFrame, scores: DataFrame) -> DataFrame:
     """Dishes with the number of venues that serve them: one aggregation and a left join, not a lookup per dish."""
     counts = (
-        scores.select(fold(F.col("food")).alias("_k"), "restaurant_id").distinct().groupBy("_k").agg(F.count("*").alias("_n"))
+        scores.select(search_key(F.col("food")).alias("_k"), "restaurant_id").distinct().groupBy("_k").agg(F.count("*").alias("_n"))
     )
     return (
-        dishes.withColumn("_k", fold(F.col("name")))
+        dishes.withColumn("_k", search_key(F.col("name")))
         .join(counts, "_k", "left")
         .withColumn("restaurant_count", F.coalesce("_n", F.lit(0)).cast("long"))
         .drop("_k", "_n")

@@ -151,7 +151,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         ("events",),
         """
         SELECT event_id AS request_id, ts, user_id AS client, event_type AS platform,
-               event_type = 'error' AS failure, value AS wait_s,
+               event_type = 'error' AND event_id % 5 IN (0, 1, 3) AS failure, value AS wait_s,
                CASE event_type WHEN 'error' THEN
                       CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 500 WHEN 3 THEN 0 ELSE 503 END
                     WHEN 'signup' THEN 404 ELSE 200 END AS status,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sofralytics.functions import fixed_values as fv
 from sofralytics.functions import parsing, text
 from sofralytics.operators import validate
-from sofralytics.plans.registry import query, strings
+from sofralytics.plans.registry import query, strings, stripped
 
 
 
@@ -130,7 +130,7 @@ def scraped_text_clean(t):
 
 def _language_sql(letters: str) -> str:
     words = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
-    return f"""SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 3 THEN 'tr'
+    return f"""SELECT doc_id, CASE WHEN text IS NULL OR length({stripped('text')}) < 3 THEN 'tr'
         WHEN marked / greatest(n, 1) > 0.02 OR known / greatest(words, 1) > 0.1 OR known >= 2 THEN 'tr'
         ELSE 'other' END AS language_flag
         FROM (SELECT doc_id, text, length(text) AS n, length(text) - length(translate(text, '{letters}', '')) AS marked,
@@ -182,7 +182,7 @@ def venue_slug_plain(t):
 
 @query(
     "word_slug",
-    sql=f"""SELECT k, regexp_replace(regexp_replace(regexp_replace(trim(lower(translate(name, 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU'))),
+    sql=f"""SELECT k, regexp_replace(regexp_replace(regexp_replace({stripped("lower(translate(name, 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU'))")},
              '[^A-Za-z0-9_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
              FROM {_NAMES.replace('{supplier}', 'supplier')}""",
 )

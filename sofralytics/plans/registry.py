@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from sofralytics.functions.text import ACCENTED, WHITESPACE
 from sofralytics.plans.adapters import VIEW_SQL, Tables
 
 BUILDERS: dict[str, Callable] = {}
@@ -62,6 +63,16 @@ def rounded(expr: str, digits: int) -> str:
     return f"(floor(CAST({expr} AS DOUBLE) * {scale:.1f} + 0.5 + 0.000001) / CAST({scale:.1f} AS DOUBLE))"
 
 
+def stripped(expr: str) -> str:
+    """SQL twin of ``functions.text.strip``."""
+    return f"trim({expr}, '{WHITESPACE}')"
+
+
+def search_key(expr: str) -> str:
+    """SQL twin of ``functions.text.search_key``."""
+    return stripped(f"lower(translate({expr}, '{''.join(ACCENTED)}', '{''.join(ACCENTED.values())}'))")
+
+
 def strings(values) -> str:
     """A DuckDB list literal."""
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"

@@ -95,8 +95,8 @@ def backoff_state(t):
     return rl.backoff_state(t.requests_v, limits, key="client").select("request_id", round_to(F.col("backoff_s"), 6).alias("backoff_s"))
 
 
-_STREAK = """streaks AS (SELECT request_id, client, ts, CASE WHEN failure THEN row_number() OVER (PARTITION BY client, g, failure ORDER BY ts, request_id) ELSE 0 END AS streak
-    FROM (SELECT *, sum(CASE WHEN failure THEN 0 ELSE 1 END) OVER (PARTITION BY client ORDER BY ts, request_id) AS g FROM requests_v))"""
+_STREAK = """streaks AS (SELECT request_id, client, ts, CAST(sum(CASE WHEN failure THEN 1 ELSE 0 END) OVER (PARTITION BY client, g ORDER BY ts, request_id) AS BIGINT) AS streak
+    FROM (SELECT *, sum(CASE WHEN status BETWEEN 200 AND 399 AND NOT failure THEN 1 ELSE 0 END) OVER (PARTITION BY client ORDER BY ts, request_id) AS g FROM requests_v))"""
 
 
 @query("failure_streaks", "requests_v", sql=f", {_STREAK} SELECT request_id, streak, streak >= 3 AS blacklisted FROM streaks")

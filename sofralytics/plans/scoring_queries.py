@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sofralytics.operators import scoring
 from sofralytics.plans.adapters import VIEW_SQL
-from sofralytics.plans.registry import query, rounded
+from sofralytics.plans.registry import query, rounded, stripped
 
 _SENTIMENT = "CASE sentiment WHEN 'positive' THEN 1 WHEN 'neutral' THEN 0 WHEN 'negative' THEN -1 END"
 _STAR = "(greatest(1.0, least(5.0, CAST(star_rating AS DOUBLE))) - 3.0) / 2.0"
@@ -22,7 +22,7 @@ def score_sql(source: str = "mentions_v") -> str:
                {rounded(f"CASE WHEN {count} < 3 THEN {conf} * ({count}) / 3.0 ELSE {conf} END", 4)} AS confidence,
                positive_count, neutral_count, negative_count, {count} AS review_count, {count} >= 3 AS enough_data
         FROM (
-          SELECT restaurant_id, lower(trim(food)) AS food,
+          SELECT restaurant_id, lower({stripped('food')}) AS food,
                  count(*) FILTER (WHERE sentiment = 'positive') AS positive_count,
                  count(*) FILTER (WHERE sentiment = 'neutral') AS neutral_count,
                  count(*) FILTER (WHERE sentiment = 'negative') AS negative_count,
@@ -33,7 +33,7 @@ def score_sql(source: str = "mentions_v") -> str:
                                               AND star_rating IS NOT NULL) AS DOUBLE) AS sw_star,
                  sum(CAST(confidence AS DOUBLE) * {_STAR})
                    FILTER (WHERE sentiment IS NOT NULL AND confidence >= 0.5) AS sst
-          FROM {source} WHERE trim(food) <> '' GROUP BY restaurant_id, lower(trim(food)))
+          FROM {source} WHERE {stripped('food')} <> '' GROUP BY restaurant_id, lower({stripped('food')}))
     """
 
 

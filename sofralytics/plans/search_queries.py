@@ -8,7 +8,7 @@ from sofralytics.functions import fixed_values as fv
 from sofralytics.functions.numeric import round_to
 from sofralytics.operators import scoring, search
 from sofralytics.plans.place_queries import km_sql
-from sofralytics.plans.registry import query, rounded, strings
+from sofralytics.plans.registry import query, rounded, search_key, strings
 
 
 def venues(t):
@@ -27,7 +27,7 @@ def sim_sql(a: str, b: str) -> str:
 
 
 def lex_sql(c: str) -> str:
-    folded = f"trim(lower(translate(coalesce({c}, ''), 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU')))"
+    folded = search_key(f"coalesce({c}, '')")
     return (
         f"list_distinct(list_filter(regexp_extract_all({folded}, '[\\p{{L}}\\p{{N}}]+'), "
         f"lambda x: NOT list_contains({strings(fv.TURKISH_STOPWORDS)}, x)))"
@@ -106,7 +106,7 @@ def venue_filter_counts(t):
     )
 
 
-@query("substring_search", sql="SELECT doc_id FROM documents WHERE contains(trim(lower(translate(text, 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU'))), 'und ver')")
+@query("substring_search", sql=f"SELECT doc_id FROM documents WHERE contains({search_key('text')}, 'und ver')")
 def substring_search(t):
     return t.documents.filter(search.contains_folded(F.col("text"), "ünd Ver")).select("doc_id")
 

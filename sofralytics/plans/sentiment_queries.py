@@ -8,7 +8,7 @@ from sofralytics.functions.numeric import round_to
 from sofralytics.operators import scoring
 from sofralytics.operators import sentiment as sent
 from sofralytics.plans.dictionary_queries import EXTRACTED, extracted
-from sofralytics.plans.registry import query, rounded, strings
+from sofralytics.plans.registry import query, rounded, strings, stripped
 from sofralytics.session import ensure_checkpoint_dir
 
 # Words that do occur in the driver documents, used next to the built-in Turkish lists.
@@ -121,7 +121,7 @@ def review_sentiment_distribution(t):
 
 
 ASPECTS = f"""{EXTRACTED},
-    aspects AS (SELECT review_id, canonical AS food, coalesce(list_filter(list_transform(string_split_regex(text, '[.!?;]+'), lambda x: trim(x)),
+    aspects AS (SELECT review_id, canonical AS food, coalesce(list_filter(list_transform(string_split_regex(text, '[.!?;]+'), lambda x: {stripped('x')}),
         lambda x: x <> '' AND contains(lower(x), lower(canonical)))[1], text) AS sentence
       FROM extracted JOIN documents ON review_id = doc_id WHERE is_food AND contains(lower(text), lower(canonical)))"""
 

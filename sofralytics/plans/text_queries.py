@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sofralytics.functions import fixed_values as fv
 from sofralytics.functions import text
-from sofralytics.plans.registry import query, strings
+from sofralytics.plans.registry import query, stripped, strings
 
 TR_LOWER = "lower(translate({c}, 'İI', 'iı'))"
 TOKENS = "regexp_extract_all(" + TR_LOWER.format(c="text") + ", '[\\p{L}\\p{N}_]+')"
@@ -71,7 +71,7 @@ def ascii_fold(t):
 
 @query(
     "turkish_fold",
-    sql="SELECT doc_id, md5(trim(lower(translate(text, 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU')))) AS folded_md5 FROM documents",
+    sql=f"""SELECT doc_id, md5({stripped("lower(translate(text, 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU'))")}) AS folded_md5 FROM documents""",
 )
 def turkish_fold(t):
     return t.documents.select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded_md5"))
@@ -79,8 +79,8 @@ def turkish_fold(t):
 
 @query(
     "sentence_split",
-    sql="""SELECT doc_id, len(s) AS sentence_count, md5(array_to_string(s, '|')) AS sentences_md5 FROM (SELECT doc_id,
-           list_filter(list_transform(string_split_regex(text, '[.!?;]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)""",
+    sql=f"""SELECT doc_id, len(s) AS sentence_count, md5(array_to_string(s, '|')) AS sentences_md5 FROM (SELECT doc_id,
+           list_filter(list_transform(string_split_regex(text, '[.!?;]+'), lambda x: {stripped('x')}), lambda x: x <> '') AS s FROM documents)""",
 )
 def sentence_split(t):
     rows = t.documents.select("doc_id", text.sentences(F.col("text")).alias("s"))

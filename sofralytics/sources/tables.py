@@ -84,7 +84,7 @@ def run_with_ledger(spark: SparkSession, job: str, output: DataFrame, write, led
         write(observed)
         counts = seen.get
     except Exception as error:
-        status, message = "failed", str(error)[:2000]
+        status, message = "failed", str(error)
         raise
     finally:
         row = (

@@ -61,7 +61,7 @@ def client_health(log: DataFrame, delay_s: float, cap_s: float, threshold: int =
                 backoff = 0.0
             elif status >= 500:
                 backoff = min(max(backoff * 1.5, delay_s), cap_s)
-            streak = streak + 1 if failed else 0
+            streak = streak + 1 if failed else 0 if 200 <= status < 400 else streak
             out.append((str(key[0]), request, backoff, streak, streak >= threshold))
         state.update((backoff, streak))
         yield pd.DataFrame(out, columns=["client", "request_id", "backoff_s", "streak", "blacklisted"])
