@@ -17,6 +17,7 @@ like an output are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from array import array
@@ -24,12 +25,14 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 REMEMBERED = 300_000
+_ENCODERS: dict[tuple[str, int], Encoder] = {}  # of this worker process; a worker serves many tasks
 OUTPUTS = "n_pieces int, score double, ids array<int>, alternatives array<struct<score:double,changes:array<struct<start:int,size:int,ids:array<int>>>>>, round_trip boolean"
 _ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 _WORD = re.compile(r" *[^ ]+| +")
@@ -39,6 +42,7 @@ class Vocabulary:
     """Pieces, their scores and bytes; markers are written as blanks."""
 
     def __init__(self, pieces: list[tuple[str, float]], byte_pieces: dict[int, int]):
+        self.name = hashlib.sha256(repr((pieces, sorted(byte_pieces.items()))).encode()).hexdigest()
         self.scores = [s for _, s in pieces]
         self.byte_ids = [byte_pieces.get(b, 0) for b in range(256)]
         self.known: dict[str, tuple[int, float] | None] = {}
@@ -81,9 +85,28 @@ class Word:
 
 
 class Encoder:
+    """Segments words and keeps the last ``REMEMBERED`` to twice as many of them."""
+
     def __init__(self, vocabulary: Vocabulary, n_best: int):
         self.vocabulary, self.n_best = vocabulary, n_best
         self.words: dict[str, Word] = {}
+        self.older: dict[str, Word] = {}
+        # a tree of characters: children, and ids and score of the piece that ends here
+        self.root: list = [{}, None]
+        for piece, entry in vocabulary.known.items():
+            if entry is not None:
+                node = self.root
+                for c in piece:
+                    node = node[0].setdefault(c, [{}, None])
+                node[1] = ((entry[0],), entry[1])
+
+    @staticmethod
+    def shared(vocabulary: Vocabulary, n_best: int) -> Encoder:
+        """The encoder that this worker process has used before, if it has."""
+        key = (vocabulary.name, n_best)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = Encoder(vocabulary, n_best)
+        return _ENCODERS[key]
 
     def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each place the pieces that start there: (end, ids, score)."""
@@ -107,20 +130,25 @@ class Encoder:
 
     def forward(self, word: str) -> tuple[list[float], list[float], list]:
         """Best and second-best score of each place, and the best arc into it."""
-        find, size, low = self.vocabulary.known.get, len(word), -np.inf
+        root, size, low = self.root, len(word), -np.inf
         best, second, back = [0.0] + [low] * size, [low] * (size + 1), [None] * (size + 1)
         for i in range(size):
-            base, single = best[i], False
-            for end in range(i + 1, size + 1):
-                entry = find(word[i:end], 0)
+            base, end, node, single = best[i], i, root, False
+            for c in word[i:]:
+                node = node[0].get(c)
+                if node is None:
+                    break
+                end += 1
+                entry = node[1]
                 if entry is None:
                     continue
-                if not entry:
-                    break
-                single = single or end == i + 1
+                if end == i + 1:
+                    single = True
                 value = base + entry[1]
                 if value > best[end]:
-                    second[end], best[end], back[end] = best[end], value, (i, (entry[0],))
+                    second[end] = best[end]
+                    best[end] = value
+                    back[end] = (i, entry[0])
                 elif value > second[end]:
                     second[end] = value
             if not single:
@@ -139,7 +167,10 @@ class Encoder:
         found = self.words.get(text)
         if found is None:
             if len(self.words) >= REMEMBERED:
-                self.words.clear()
+                self.older, self.words = self.words, {}
+            if (found := self.older.get(text)) is not None:
+                self.words[text] = found
+                return found
             best, second, back = self.forward(text)
             parts, at, loss = [], len(text), np.inf
             while at:
@@ -219,7 +250,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n_best: int = 4) -> DataFram
     schema = StructType([docs.schema[c] for c in kept] + new.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, n_best)
+        encoder = Encoder.shared(vocabulary, n_best)
         for batch in batches:
             flat, ends, scores, others, same = array("i"), [0], [], [], []
             for text in batch.column(len(kept)).to_pylist():
@@ -242,7 +273,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFra
     pieces = vocabulary.bytes
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lists in batches:
             yield lists.map(lambda x: None if x is None else decoded(pieces, x).decode("utf-8", "replace"))
 
