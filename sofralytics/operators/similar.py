@@ -79,10 +79,12 @@ def _followers(keyed: DataFrame, k: int, chunk_rows: int) -> tuple[DataFrame, Da
     still spreads over many tasks; ranges are linked through their first k ids only.
     """
     ensure_checkpoint_dir(keyed.sparkSession)
-    stats = keyed.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.col("n") * chunk_rows)).cast("long")
+    # As doubles, since ids may be hashes of 64 bits; the rounding keeps the order of chunks.
+    place = F.col("id").cast("double")
+    stats = keyed.agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n"))
+    width = F.greatest(F.lit(1.0), F.ceil((F.col("hi") - F.col("lo") + 1) / F.col("n") * chunk_rows).cast("double"))
     rows = keyed.withColumn("_w", stats.select(F.struct("lo", width.alias("w"))).scalar())
-    rows = rows.withColumn("chunk", F.floor((F.col("id") - F.col("_w")["lo"]) / F.col("_w")["w"]).cast("long")).drop("_w")
+    rows = rows.withColumn("chunk", F.floor((place - F.col("_w")["lo"]) / F.col("_w")["w"]).cast("long")).drop("_w")
     inside = Window.partitionBy("key", "chunk").orderBy("id")
     ahead = F.collect_list("id").over(inside.rowsBetween(1, k))
     heads = (

@@ -9,10 +9,11 @@ from sofralytics.plans.registry import query, rounded
 
 def _links(t):
     """Mentions tied to the review rows of the documents, so the three-way join has matches."""
-    return t.mentions_v.withColumn("review_id", F.col("review_id") % 1000)
+    ids = t.documents.agg((F.max("doc_id") + 1).alias("n")).scalar()
+    return t.mentions_v.withColumn("review_id", F.col("review_id") % ids)
 
 
-_LINKED = "linked AS (SELECT * REPLACE (review_id % 1000 AS review_id) FROM mentions_v)"
+_LINKED = "linked AS (SELECT * REPLACE (review_id % (SELECT max(doc_id) + 1 FROM documents) AS review_id) FROM mentions_v)"
 _COUNTS = """count(*) AS total, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
     count(*) FILTER (WHERE sentiment = 'neutral') AS neutral"""
 

@@ -72,16 +72,20 @@ def dish_lookup(t):
 @query(
     "dish_exact_match",
     "dictionary_v",
-    sql=f""", {LOOKUP} SELECT conv_id, turn, l.canonical FROM
-           (SELECT conv_id, turn, {NORMALIZE.format(c="concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2))")} AS key FROM conversations)
+    sql=f""", {LOOKUP} SELECT conv_id, turn, position, l.canonical FROM
+           (SELECT conv_id, turn, position, {NORMALIZE.format(c="concat(p[position], ' ', coalesce(p[position + 1], ''))")} AS key FROM
+             (SELECT conv_id, turn, p, unnest(range(1, greatest(len(p), 2))) AS position FROM
+               (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS p FROM conversations)))
            LEFT JOIN lookup l USING (key)""",
 )
 def dish_exact_match(t):
-    """The opening two words of every message looked up as a dish name."""
-    asked = t.conversations.select(
-        "conv_id", "turn", F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("query")
-    )
-    return dish.exact_match(asked, dish.lookup_table(dish_dictionary(t))).select("conv_id", "turn", "canonical")
+    """Every two words in a row of every message looked up as a dish name."""
+    parts = F.split(F.coalesce("text", F.lit("")), " ")
+    messages = t.conversations.select("conv_id", "turn", parts.alias("p"))
+    placed = messages.select("conv_id", "turn", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1)))).alias("position"))
+    pair = F.concat(F.get("p", F.col("position") - 1), F.lit(" "), F.coalesce(F.get("p", F.col("position")), F.lit("")))
+    asked = placed.select("conv_id", "turn", F.col("position").cast("long").alias("position"), pair.alias("query"))
+    return dish.exact_match(asked, dish.lookup_table(dish_dictionary(t))).select("conv_id", "turn", "position", "canonical")
 
 
 @query("dish_mentions_exact", "dictionary_v", sql=f", {EXACT} SELECT review_id, canonical, matched_text, score FROM exact")

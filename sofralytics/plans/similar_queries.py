@@ -84,10 +84,8 @@ def location_scores(t):
 
 @query("dish_fuzzy_lookup", "dictionary_v")
 def dish_fuzzy_lookup(t):
-    """Every distinct message opening looked up in the dictionary with spelling mistakes allowed."""
-    asked = t.conversations.select(
-        F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("query")
-    )
+    """Every part's whole name looked up in the dictionary with spelling mistakes allowed."""
+    asked = t.part.select(F.col("p_name").alias("query"))
     return similar.fuzzy_lookup(asked, dish.lookup_table(dish_dictionary(t)))
 
 

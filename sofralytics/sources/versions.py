@@ -29,5 +29,11 @@ def latest(spark: SparkSession, root: str, before: int | None = None) -> DataFra
     return spark.read.parquet(f"{root}/v={known[-1]}") if known else None
 
 
+def earlier(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+    """The rows of all complete versions older than ``before``, for tables whose versions are increments; or None."""
+    known = [v for v in _folders(spark, root) if v < before]
+    return spark.read.parquet(*[f"{root}/v={v}" for v in known]) if known else None
+
+
 def write(frame: DataFrame, root: str, version: int) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/v={version}")

@@ -35,11 +35,29 @@ def first_seen(stream: DataFrame, keys, event_time: str, horizon: str = "7 days"
     """First record of every key within the horizon.
 
     State is bounded by the watermark: a repeat that arrives more than ``horizon`` later passes again and is
-    then absorbed by the upsert.
+    then absorbed by the upsert.  Records older than the watermark are dropped, first ones too; use
+    ``first_seen_batches`` for sources that deliver such records.
     """
     return stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_seen_batches(keys, root: str) -> Callable[[DataFrame, int], None]:
+    """Keep the first record of every key, however late it comes: a batch less the keys that earlier batches kept.
+
+    For sources that backfill, where ``first_seen`` would drop what is older than its watermark.  A retried batch is
+    compared with the batches before it only, so it gives the same rows again.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(list(keys))
+        stored = versions.earlier(batch.sparkSession, root, number)
+        if stored is not None:
+            fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
+        versions.write(fresh.select(*batch.columns), root, number)
+
+    return handle
+
+
 def append_batches(transform: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
     """Write ``transform(batch)`` under the batch number."""
 
