@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,12 +51,33 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 @contextmanager
 def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
     """A session setting that holds while the jobs in this block run."""
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that writes rows as a table of the shared warehouse; its tables are dropped at the end of the block."""
+    names: list[str] = []
+
+    def keep(frame: DataFrame, name: str) -> DataFrame:
+        names.append(f"scratch_{name}_{uuid.uuid4().hex}")
+        with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            frame.write.format("parquet").saveAsTable(names[-1])
+        return spark.table(names[-1])
+
+    try:
+        yield keep
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def arrow_rows(spark: SparkSession, rows: int):

@@ -22,7 +22,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _ENCODERS: dict[tuple[str, int], Encoder] = {}  # of this worker process; a worker serves many tasks
 OUTPUTS = "n_pieces int, score double, ids array<int>, alternatives array<struct<score:double,changes:array<struct<start:int,size:int,ids:array<int>>>>>, round_trip boolean"
 _ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
@@ -214,19 +214,18 @@ class Encoder:
     def encode(self, text: str) -> tuple[array, float, list]:
         """ids, score and the alternatives: their scores and what they change in ids."""
         parts = self.split(text)
-        words = [self.word(p) for p in parts]
-        ids = array("i")
-        for w in words:
-            ids.extend(w.ids)
-        score = sum(w.score for w in words)
+        known, look_up = self.words.get, self.word
+        words = [known(p) or look_up(p) for p in parts]
+        pieces = [w.ids for w in words]
+        ids = array("i", chain.from_iterable(pieces))
+        score = sum([w.score for w in words])
         if self.n_best < 2 or not words:
             return ids, score, []
-        losses = np.fromiter((w.loss for w in words), dtype=np.float64, count=len(words))
-        near = np.argsort(losses, kind="stable")[: self.n_best - 1]
-        starts = np.concatenate([[0], np.cumsum(np.fromiter((len(w.ids) for w in words), dtype=np.int64, count=len(words)))])
+        near = np.argsort(np.array([w.loss for w in words]), kind="stable")[: self.n_best - 1]
+        starts = {k: sum(map(len, pieces[:k])) for k in near.tolist()}
         paths: list[tuple[float, tuple]] = [(0.0, ())]
-        for k in near.tolist():
-            more = [(loss + extra, (*made, (int(starts[k]), len(words[k].ids), new))) for loss, made in paths for extra, new in self.others(parts[k])]
+        for k in starts:
+            more = [(loss + extra, (*made, (starts[k], len(pieces[k]), new))) for loss, made in paths for extra, new in self.others(parts[k])]
             paths = heapq.nsmallest(self.n_best, paths + more)
         alternatives = [
             {"score": score - loss, "changes": [{"start": a, "size": n, "ids": list(new)} for a, n, new in sorted(made)]} for loss, made in paths if made
