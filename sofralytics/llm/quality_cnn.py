@@ -27,7 +27,7 @@ from sofralytics.llm.common import crc_mod
 
 WIDTH, FILTERS, BLOCK, STRETCH = 6, 16, 128, 1 << 16
 PAD = 256  # the value of places behind the text
-SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE, SEED = 1500, 16_384, 10, 32, 0.02, 7
+SAMPLE, SAMPLE_BYTES, EPOCHS, STEPS, BATCH, RATE, SEED = 1500, 16_384, 10, 400, 32, 0.02, 7  # STEPS: at least so many
 FOLDS, THRESHOLD = 5, 0.3
 
 
@@ -92,13 +92,13 @@ def learn(texts: list[bytes], labels: list[int]) -> Network:
     names = ("filters", "bias", "mean_weights", "max_weights", "offset")
     first = {k: np.zeros_like(np.asarray(getattr(net, k), dtype=np.float32)) for k in names}
     second = {k: np.zeros_like(v) for k, v in first.items()}
-    t = 0
-    for epoch in range(EPOCHS):
+    t, epochs = 0, max(EPOCHS, -(-STEPS * BATCH // len(texts)))
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             grads = _gradients(net, [coded[i] for i in order[at : at + BATCH]], goal[order[at : at + BATCH]])
             t += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for k in names:
                 first[k] = 0.9 * first[k] + 0.1 * grads[k]
                 second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
