@@ -6,7 +6,7 @@ lexicon has at most ``LEXICON`` terms whatever the corpus: terms above a share o
 bound is why it is broadcast.
 
 A fingerprint is a list of hashes: of a text's sorted distinct lexicon terms, and of those that each of several random
-subsets of the lexicon keeps.  Subsets keep a half, a quarter, ... of the lexicon, so that for a text of any length some
+subsets of the lexicon keeps.  Subsets come in chains, each half of the one before, so that for a text of any length some
 keep few enough of its terms to survive an edit.  Likeness is the share of equal hashes among the subsets that keep a
 term of either text.  A text without lexicon terms is hashed whole in every place, so equal texts have equal
 fingerprints always.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sofralytics.llm.common import saved
 
 LOW, HIGH, LEXICON = 0.001, 0.2, 1_000_000
-SUBSETS = {1: 2, 2: 2, 3: 4, 4: 8, 5: 12, 6: 12, 7: 12, 8: 8, 9: 4}  # how many subsets keep a share of 1 / 2**level
+CHAINS = ((1, 2, 2), (3, 9, 8))  # first and last level, number of chains; a level keeps a share of 1 / 2**level
 DIGITS = 6
 RANGE, CUTS = 2000, 64
 _MARK = 0  # stands for the document itself among its terms
@@ -49,15 +49,23 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, limit: int =
 
 def hashes(found: Column, whole: Column) -> Column:
     """The fingerprint of sorted lexicon terms: the hash of all, then of each subset's, null where it keeps none."""
-    empty = F.size(found) == 0
+    parts = [F.array(F.when(F.size(found) > 0, F.xxhash64(found)))]
+    for first, last, count in CHAINS:
+        parts += [chain(found, seed, first, last) for seed in range(count)]
+    every = F.concat(*parts)
+    return F.when(F.size(found) == 0, F.array_repeat(whole, 1 + sum((b - a + 1) * n for a, b, n in CHAINS))).otherwise(every)
 
-    def kept(seed: int, level: int) -> Column:
-        mask = F.lit((1 << level) - 1).cast("bigint")
-        own = F.filter(found, lambda t: F.xxhash64(t, F.lit(level), F.lit(seed)).bitwiseAND(mask) == 0)
-        return F.when(empty, whole).when(F.size(own) > 0, F.xxhash64(own))
 
-    every = F.when(empty, whole).otherwise(F.xxhash64(found))
-    return F.array(every, *[kept(s, level) for level, n in SUBSETS.items() for s in range(n)])
+def chain(found: Column, seed: int, level: int, last: int) -> Column:
+    """The hashes of a chain of subsets, each half of the one before; each is worked out from that one."""
+    mask = F.lit((1 << level) - 1).cast("bigint")
+    kept = F.filter(found, lambda t: F.xxhash64(t, F.lit(seed)).bitwiseAND(mask) == 0)
+
+    def hashed(own: Column) -> Column:
+        here = F.array(F.when(F.size(own) > 0, F.xxhash64(own)))
+        return here if level == last else F.concat(here, chain(own, seed, level + 1, last))
+
+    return F.get(F.transform(F.array(kept), hashed), F.lit(0))  # binds the subset, so that it is worked out once
 
 
 def likeness(a: Column, b: Column) -> Column:
