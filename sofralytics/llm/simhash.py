@@ -189,7 +189,11 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, component_id) of every fingerprint: the smallest doc_id that links reach."""
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    tree = components(links(distinct, max_bits))
+    return named(distinct, components(links(distinct, max_bits)))
+
+
+def named(distinct: DataFrame, tree: DataFrame) -> DataFrame:
+    """(fp, component_id) of distinct fingerprints (fp, first_id) and their roots."""
     rooted = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.join(smallest, "root").select("fp", "component_id")
@@ -202,12 +206,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, width: int = 4) -
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, width: int = 4) -> DataFrame:
-    """One row of each component, the one with the smallest id (of equal ids, the smallest text hash), columns as given.
+    """One row of each component, the one with the smallest id (of equal ids, the smallest text hash), columns as given."""
+    return first_rows(docs, near_duplicates(docs, max_bits, width))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of each component of ``found``.
 
     The rows to keep are found among ids and hashes only; texts are then met by a semi-join on both.  Rows that are the
     same in both are numbered, and one stays.
     """
-    found = near_duplicates(docs, max_bits, width)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     first = saved(found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash"), "kept")
     first = first.distinct().select(F.struct("doc_id", "text_hash").alias("_key"))

@@ -56,3 +56,48 @@ def test_odd_rows_pass_through(spark, odd, small):
 def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark, odd, small):
     kept = corpus_pipeline.near_duplicates(spark, odd, small).collect()
     assert sum(r["doc_id"] == 1 for r in kept) == 1 and quality_cnn.THRESHOLD == 0.3
+
+
+def brute_force_firsts(texts):
+    """The smallest id of each set of documents linked by five-word-shingle Jaccard of 0.8 or more."""
+
+    def shingles(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+    held = {k: shingles(t) for k, t in texts.items()}
+    root = {k: k for k in held}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, x in held.items():
+        for b, y in held.items():
+            if a < b and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return sorted({find(k) for k in held})
+
+
+def test_near_duplicate_stage_equals_brute_force_jaccard(spark, docs, small):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    word = lambda i: f"w{i}"
+    base = [word(i) for i in range(100)]
+    texts |= {10_000: " ".join(base)}
+    for k, cuts in enumerate(((50,), (20, 70), (10, 50, 90), (5, 30, 60, 90)), 1):  # 5, 10, 15 and 20 shingles of 96 change
+        texts[10_000 + k] = " ".join(f"x{k}" if i in cuts else w for i, w in enumerate(base))
+    texts |= {20_000 + k: " ".join(map(word, range(500 + 3 * k, 560 + 3 * k))) for k in range(12)}  # a chain
+    rows = spark.createDataFrame([(k, t, "en", "a", len(t or "")) for k, t in texts.items()], docs.schema)
+    kept = corpus_pipeline.near_duplicates(spark, rows, small)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_force_firsts(texts)
+    assert 10_001 not in brute_force_firsts(texts)
+
+
+def test_near_duplicate_order_changes_no_result(spark, docs, small, monkeypatch):
+    from sofralytics.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "SAMPLED", 1)
+    kept = corpus_pipeline.near_duplicates(spark, docs, small)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_force_firsts({r["doc_id"]: r["text"] for r in docs.collect()})
