@@ -20,7 +20,17 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b"
+# The length of an account number in each country of the IBAN registry.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTH.items()) + r")\b"
+# Only the first four characters are taken, so that each place where an account may begin is looked at for itself.
+IBAN_HEAD = rf"\b(?={IBAN})[A-Z]{{2}}[0-9]{{2}}"
+IBAN_CHARS = 2 * max(IBAN_LENGTH)
 LOCAL_PHONE = r"(?<![+0-9.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9.-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
@@ -42,7 +52,7 @@ PROPOSED = (
     ("card", 2, CARD, lambda t: t.rlike("[0-9][\\x20-]?[0-9]")),
     ("phone", 3, PHONE, lambda t: t.rlike("\\+[0-9]")),
     ("local", 3, LOCAL_PHONE, lambda t: t.rlike("[0-9]{3}")),
-    ("iban", 4, IBAN, lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
+    ("iban", 4, IBAN_HEAD, lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
     ("ssn", 5, SSN, lambda t: t.rlike("-[0-9]{2}-")),
 )
 NO_MATCH = "array<struct<at:int,text:string>>"
@@ -113,6 +123,12 @@ def small_part(part: Column) -> Column:
     return (F.length(bare) <= 3) & (F.coalesce(bare.try_cast("int"), F.lit(0)) <= 255)
 
 
+def accounts(text: Column, heads: Column) -> Column:
+    """The heads' whole accounts, each as long as its country's are: array<struct<at, text>>."""
+    whole = lambda m: F.regexp_extract(F.substring(text, m["at"] + 1, F.lit(IBAN_CHARS)), f"^{IBAN}", 0)
+    return F.transform(heads, lambda m: F.struct(m["at"].alias("at"), whole(m).alias("text")))
+
+
 def confirmed(kind: int, found: Column, valid) -> Column:
     """Spans of the matches that ``valid`` accepts."""
     return F.transform(
@@ -151,14 +167,17 @@ def base_spans() -> Column:
 def added_spans(text: Column) -> Column:
     """What context and further checksums add: local phone numbers, bank accounts, social security numbers."""
     phone = weighed(3, text, F.col("_local"), lambda m: F.lit(True))
-    iban = weighed(4, text, F.col("_iban"), mod97)
+    iban = weighed(4, text, accounts(text, F.col("_iban")), mod97)
     ssn = weighed(5, text, F.col("_ssn"), lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"))
     return F.concat(phone, iban, ssn)
 
 
 def all_spans(base: Column, added: Column) -> Column:
-    """Base spans and those added ones that overlap no base span, ordered by start, then kind."""
-    free = F.filter(added, lambda a: ~F.exists(base, lambda b: (a["at"] < b["end"]) & (b["at"] < a["end"])))
+    """Base spans and those added ones that overlap no base span or are accounts, ordered by start, then kind.
+
+    An account's checksum is as good as a card's, whose digits may be part of it; both are listed.
+    """
+    free = F.filter(added, lambda a: (a["kind"] == KINDS.index("iban")) | ~F.exists(base, lambda b: (a["at"] < b["end"]) & (b["at"] < a["end"])))
     return F.array_sort(F.concat(base, free))
 
 

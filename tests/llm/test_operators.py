@@ -303,3 +303,36 @@ def test_wrapped_licence_and_lookalikes(spark, docs):
     ]
     found = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert found == {1: "mit", 2: "unknown"}
+
+
+def test_accounts_end_where_their_country_says(spark):
+    def account(country, body):
+        value = int("".join(str(int(c, 36)) for c in body + country + "00"))
+        return f"{country}{98 - value % 97:02d}{body}"
+
+    def luhn(number):
+        held = [int(c) for c in reversed(number)]
+        return sum(held[::2] + [2 * x - 9 * (x > 4) for x in held[1::2]]) % 10 == 0
+
+    card = next(a for a in (account("FR", f"200410100505000{i:02d}M02606") for i in range(100)) if luhn(re.search("[0-9]{12,19}", a)[0]))
+    plain = next(a for a in (account("BE", f"5390075470{i:02d}") for i in range(100)) if luhn(a[2:]))
+    texts = {
+        1: "iban DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX",
+        2: "iban GB29NWBK60161331926819 42",
+        3: "iban AT12 ABCD DE89 3704 0044 0532 0130 00 X",  # a false start before it
+        4: f"iban {card} end",
+        5: f"iban {plain} end",
+        6: "iban DE89 3704 0044 0532 0130 0",
+        7: "iban DE89 3704 0044 0532 0130 001",
+        8: "iban NO93 8601 1117 947 MT84MALT011000012345MTLCAST001S",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    spans = {r["doc_id"]: [texts[r["doc_id"]][s["at"] : s["end"]] for s in r["spans"] if s["kind"] == 4] for r in pii.find(docs).collect()}
+    assert spans[1] == ["DE89 3704 0044 0532 0130 00"] and clean[1] == "iban <IBAN> BIC COBADEFFXXX"
+    assert spans[2] == ["GB29NWBK60161331926819"]
+    assert spans[3] == ["DE89 3704 0044 0532 0130 00"]
+    assert spans[4] == [card] and clean[4] == "iban <IBAN> end"
+    assert spans[5] == [plain] and clean[5] == "iban <IBAN> end"
+    assert spans[6] == spans[7] == []
+    assert spans[8] == ["NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"] and clean[8] == "iban <IBAN> <IBAN>"
