@@ -4,8 +4,9 @@ The host is what stands between the first ``://`` and the next ``/``, ``?``, ``#
 goes on to the next ``?``, ``#`` or end.  A rule ``host/path`` fits its host and all subdomains where the path starts
 with the rule's; the longest rule wins (of equal rules with two verdicts: block).  Rules are a list held in the plan.
 
-The trees learn from labelled URLs: at most ``SAMPLE`` of them, chosen by hash.  Suffix statistics are the smoothed share
-of blocked URLs for each last host label, counted over the same sample, hence at most ``SAMPLE`` rows to broadcast.
+The trees learn from distinct labelled URLs: at most ``SAMPLE`` of them, chosen by hash.  Suffix statistics are the
+smoothed share of blocked URLs for each last host label, counted over all labelled URLs; they are broadcast only where
+they are few.
 
 A null URL or one without ``://`` has an empty host and path, fits no rule and is judged by its features; repeated rows get
 equal verdicts; labels other than 0 and 1 do not teach; without both labels the share of blocked URLs (none: 0) decides; an empty
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sofralytics.llm.common import ascii_lower, saved
+from sofralytics.operators.sizing import bounded
 
 SAMPLE, TREES, DEPTH, SEED, SMOOTHING, THRESHOLD = 20_000, 20, 4, 11, 10.0, 0.5
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "path_length", "suffix_rate", "suffix_log_count")
@@ -79,7 +81,7 @@ class Model:
         self.suffixes, self.trees, self.share = suffixes, trees, share
 
     def with_statistics(self, urls: DataFrame) -> DataFrame:
-        known = F.broadcast(self.suffixes.select(F.col("suffix").alias("_suffix"), "suffix_rate", "suffix_log_count"))
+        known = bounded(self.suffixes.select(F.col("suffix").alias("_suffix"), "suffix_rate", "suffix_log_count"))
         joined = urls.join(known, urls["suffix"] == known["_suffix"], "left").drop("_suffix")
         return joined.fillna({"suffix_rate": self.share, "suffix_log_count": 0.0})
 
@@ -95,15 +97,16 @@ class Model:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from rows (url, label: 1 is blocked)."""
     known = labelled.where(F.col("label").isin(0, 1)).select("url", F.col("label").cast("double").alias("label"))
-    chosen = known.orderBy(F.xxhash64(F.lit(SEED), "url"), "url", "label").limit(sample)
-    rows = saved(lexical(chosen), "urls")
-    seen = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
+    counted = known.groupBy(F.substring_index(host_and_path(F.col("url"))[0], ".", -1).alias("suffix")).agg(F.sum("label").alias("blocked"), F.count("*").alias("n"))
+    counted = saved(counted, "counted")
+    seen = counted.agg(F.sum("n").alias("n"), (F.sum("blocked") / F.sum("n")).alias("share")).first()
     if not seen["n"] or seen["share"] in (0.0, 1.0):
         return Model(None, None, float(seen["share"] or 0.0))
     share = float(seen["share"])
-    rate = (F.sum("label") + SMOOTHING * share) / (F.count("*") + SMOOTHING)
-    suffixes = saved(rows.groupBy("suffix").agg(rate.alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_log_count")), "suffixes")
-    model = Model(suffixes, None, share)
+    rate = (F.col("blocked") + SMOOTHING * share) / (F.col("n") + SMOOTHING)
+    model = Model(counted.select("suffix", rate.alias("suffix_rate"), F.log1p("n").alias("suffix_log_count")), None, share)
+    chosen = known.distinct().orderBy(F.xxhash64(F.lit(SEED), "url"), "url", "label").limit(sample)
+    rows = saved(lexical(chosen), "urls")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(model.with_statistics(rows)).select("_features", "label")
     learner = GBTClassifier(
         featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=TREES, maxDepth=DEPTH, seed=SEED, checkpointInterval=-1

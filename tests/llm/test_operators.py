@@ -336,3 +336,16 @@ def test_accounts_end_where_their_country_says(spark):
     assert spans[5] == [plain] and clean[5] == "iban <IBAN> end"
     assert spans[6] == spans[7] == []
     assert spans[8] == ["NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"] and clean[8] == "iban <IBAN> <IBAN>"
+
+
+def test_suffix_statistics_count_all_labelled_urls(spark):
+    from sofralytics.llm import url_filter
+
+    rows = [("http://hot.example.aa/", 1)] * 400 + [(f"http://h{i}.b{i % 40}/p{i}", i % 2) for i in range(400)] + [("http://x.cc/", 7)]
+    model = url_filter.train(spark.createDataFrame(rows, "url string, label int"), sample=50)
+    found = {r["suffix"]: r for r in model.suffixes.collect()}
+    assert model.share == 0.75 and set(found) == {"aa"} | {f"b{i}" for i in range(40)}
+    assert found["aa"]["suffix_log_count"] == pytest.approx(math.log1p(400)) and found["b3"]["suffix_log_count"] == pytest.approx(math.log1p(10))
+    assert found["b2"]["suffix_rate"] == pytest.approx((0 + 10 * 0.75) / 20)
+    judged = model.block_probability(url_filter.lexical(spark.createDataFrame([("http://q.b1/",), ("http://q.b2/",)], "url string"))).collect()
+    assert judged[0]["p_block"] > 0.5 > judged[1]["p_block"]
