@@ -102,6 +102,14 @@ def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have (names differ regardless of case)."""
+    held = {c.lower() for c in frame.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

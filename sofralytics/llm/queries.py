@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, imatch, katz, license_scan, mixing, pii, quality_cnn, sentencepiece, simhash, url_filter
+from sofralytics.llm import host_rules, imatch, katz, license_scan, mixing, pii, quality_cnn, sentencepiece, sharding, simhash, url_filter
 from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,30 @@ def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = katz.train(docs)
     scored = katz.score(docs, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+# CRC-32 byte by byte over the bytes' hexadecimal digits; numbers drawn from md5 as in the operator.
+SHARD_SQL = """
+WITH steps AS (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(x AS BIGINT) FOR x IN range(8)]),
+                 lambda r, s: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS v FROM range(256) t(i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM steps),
+keyed AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '~') AS k, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+            xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]),
+              lambda r, b: xor(t[CAST(xor(r & 255, b) AS INTEGER) + 1], r >> 8))) AS text_crc32
+          FROM documents, crc),
+drawn AS (SELECT *, [substr(md5('13:' || k || ':' || CAST(i AS VARCHAR)), 1, 13) FOR i IN range(9)] AS u FROM keyed),
+dealt AS (SELECT *, CAST(list_position(u[1:8], list_max(u[1:8])) - 1 AS INTEGER) AS shard, CAST(list_position(u, list_max(u)) - 1 AS INTEGER) AS grown_shard FROM drawn)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY substr(md5('13:slot:' || k), 1, 13), doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM dealt
+"""
+SHARDS = [1.0] * 8
+
+
+@query("op13_sharding", SHARD_SQL)
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    docs = documents(spark, sf_dir).select("doc_id", sharding.size_of(text).alias("size"), sharding.checksum(text).alias("text_crc32"))
+    docs = docs.withColumn("grown_shard", sharding.shard_of(F.col("doc_id"), [*SHARDS, 1.0]))
+    found = sharding.slots(sharding.assigned(docs, "doc_id", SHARDS), "doc_id", ["text_crc32", "size"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
