@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, imatch, katz, license_scan, mixing, pii, quality_cnn, sentencepiece, sharding, simhash, url_filter
+from sofralytics.llm import host_rules, imatch, katz, license_scan, mixing, pii, quality_cnn, sentencepiece, sharding, simhash, url_filter, whitening
 from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,20 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("grown_shard", sharding.shard_of(F.col("doc_id"), [*SHARDS, 1.0]))
     found = sharding.slots(sharding.assigned(docs, "doc_id", SHARDS), "doc_id", ["text_crc32", "size"])
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(rows, "embedding", 16)
+    explained = F.array(*[F.lit(e) for e in model.explained]).cast("array<double>")
+    found = whitening.whitened(rows, "embedding", model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return found.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
