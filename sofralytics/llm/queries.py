@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sofralytics.llm import host_rules, imatch, katz, license_scan, mixing, pii, quality_cnn, sentencepiece, sharding, simhash, url_filter, whitening
+from sofralytics.llm import alignment, host_rules, imatch, katz, license_scan, mixing, pii, quality_cnn, sentencepiece, sharding, simhash, url_filter, whitening
 from sofralytics.llm.common import documents, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(explained, F.col("at")).alias("explained"),
         F.lit(model.identity_error).alias("identity_error"),
     )
+
+
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    found = alignment.align(documents(spark, sf_dir).select("doc_id", "text"), BYTE_LEVEL, PIECES, groups=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
