@@ -285,4 +285,5 @@ def whitened(rows: DataFrame, vector: str, model: Whitening) -> DataFrame:
     x, both = fresh(rows, "_x"), fresh(rows, "_both")
     own = [c for c in rows.columns if c not in ("deviation", "whitened")]
     usable = rows.withColumn(x, lattice(F.col(vector))).where(F.col(x).isNotNull() & (F.size(x) == size) & F.lit(n > 0))
-    return usable.withColumn(both, project(x)).select(*own, f"{both}.deviation", f"{both}.whitened")
+    # not evaluated again by filters that Spark derives from the result
+    return usable.withColumn(both, project.asNondeterministic()(x)).select(*own, f"{both}.deviation", f"{both}.whitened")
