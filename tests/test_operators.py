@@ -134,7 +134,7 @@ def _log(spark, n=400, clients=3):
         status = rng.choice([200, 200, 404, 429, 429, 403, 500, 0])
         rows.append((i, ts, "a" if rng.random() < 0.5 else f"c{rng.randrange(clients)}", status, rng.choice([None, None, 10.0, 500.0]) if status == 429 else None))
     frame = spark.createDataFrame(rows, "request_id long, s long, client string, status int, retry_after_s double")
-    return rows, frame.select("request_id", F.timestamp_seconds("s").alias("ts"), "client", "status", (~F.col("status").isin(200, 404)).alias("failure"), "retry_after_s")
+    return rows, frame.select("request_id", F.timestamp_seconds("s").alias("ts"), "client", "status", F.col("status").isin(0, 403, 407, 429).alias("failure"), "retry_after_s")
 
 
 def test_backoff_and_streaks_equal_a_walk(spark):
@@ -150,7 +150,10 @@ def test_backoff_and_streaks_equal_a_walk(spark):
             backoff = min(90.0, max(backoff * 1.5, 2.0))
         elif status < 400:
             backoff = 0.0
-        streak = 0 if status in (200, 404) else streak + 1
+        if status in (0, 403, 407, 429):
+            streak += 1
+        elif 200 <= status < 400:
+            streak = 0
         state[client] = (backoff, streak)
         want[rid] = (round(backoff, 6), streak)
     limits = {"default": (1, 1, 2.0, 90.0)}
