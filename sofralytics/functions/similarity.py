@@ -6,6 +6,8 @@ and best-window ratios.  Only pairs that passed a blocking join reach these func
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,7 +110,8 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @pandas_udf(DoubleType())
 def weighted_ratio_udf(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
-    return pd.Series([weighted_ratio(x, y, f) for x, y, f in zip(a, b, floor)], dtype="float64")
+    """Null where a text is null."""
+    return pd.Series([None if x is None or y is None else weighted_ratio(x, y, f) for x, y, f in zip(a, b, floor)], dtype="float64")
 
 
 def word_sort_key(text: Column) -> Column:
@@ -117,20 +120,36 @@ def word_sort_key(text: Column) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
-def grams(text: Column) -> Column:
-    """Character pairs of the text padded with one blank at either end, repeats numbered.
+def numbered(values: Column) -> Column:
+    """The strings of an array with repeats numbered, so that sets of them count like multisets.
 
-    The pair array is bound to a lambda variable, so it is built once and not again for every element.
+    The array is bound to a lambda variable, so it is built once; arrays without a repeat are not searched.
     """
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
-    numbered = F.transform(
-        F.array(pairs),
-        lambda ps: F.transform(
-            ps, lambda g, i: F.concat(g, F.size(F.filter(F.slice(ps, F.lit(1), i), lambda h: h == g)).cast("string"))
+    return F.transform(
+        F.array(values),
+        lambda vs: F.when(F.size(F.array_distinct(vs)) == F.size(vs), F.transform(vs, lambda g: F.concat(g, F.lit("0")))).otherwise(
+            F.transform(vs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(vs, F.lit(1), i), lambda h: h == g)).cast("string")))
         ),
-    )
-    return numbered[0]
+    )[0]
+
+
+def _pairs(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+
+
+def grams(text: Column) -> Column:
+    """Character pairs of the text padded with one blank at either end, repeats numbered."""
+    return numbered(_pairs(F.concat(F.lit(" "), text, F.lit(" "))))
+
+
+def inner_grams(text: Column) -> Column:
+    """Character pairs of the text itself, repeats numbered; a text of one character has none."""
+    return F.when(F.length(text) > 1, numbered(_pairs(text))).otherwise(F.array().cast("array<string>"))
+
+
+def letters(text: Column) -> Column:
+    """The characters of the text, repeats numbered."""
+    return numbered(F.filter(F.split(text, ""), lambda c: c != ""))
 
 
 def shared_grams_needed(total_length: Column, threshold: float) -> Column:
@@ -142,3 +161,33 @@ def shared_grams_needed(total_length: Column, threshold: float) -> Column:
     """
     common = F.ceil(total_length * (threshold / 200.0) - 1e-9)
     return F.greatest(F.lit(1), 3 * common + 1 - total_length).cast("int")
+
+
+def alike_needs(threshold: float, lengths: int) -> list[int]:
+    """For each length the fewest grams shared with any text whose length allows the ratio ``threshold``."""
+    out = [1]
+    for a in range(1, lengths + 1):
+        partners = [b for b in range(1, 2 * a + 2) if min(a, b) * 200.0 >= (a + b) * (threshold - 1e-6)]
+        out.append(max(1, min(3 * math.ceil((a + b) * threshold / 200.0 - 1e-9) + 1 - a - b for b in partners)))
+    return out
+
+
+def window_needs(threshold: float, lengths: int, pairs: bool) -> list[int]:
+    """For each length m of the shorter text, the character pairs (or characters) that it shares at least with a longer one
+    of which some stretch of s <= m characters has a ratio of ``threshold`` with it; ``m + 1`` where no stretch can.
+
+    A common subsequence of c characters leaves m + s - 2 c unmatched, so it keeps 3 c - m - s - 1 pairs whole.
+    """
+    out = [0]
+    for m in range(1, lengths + 1):
+        common = [(c, s) for s in range(1, m + 1) if (c := math.ceil((m + s) * threshold / 200.0 - 1e-9)) <= s]
+        out.append(max(0, min((3 * c - m - s - 1 if pairs else c for c, s in common), default=m + 1)))
+    return out
+
+
+def only_whole(threshold: float, lengths: int) -> int:
+    """The largest length up to which a text has a window ratio of ``threshold`` only with texts that contain it whole."""
+    for m in range(1, lengths + 1):
+        if any(math.ceil((m + s) * threshold / 200.0 - 1e-9) <= s for s in range(1, m)) or (m - 1) * 2 * 100.0 >= 2 * m * threshold:
+            return m - 1
+    return lengths

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from sofralytics.functions import fixed_values as fv
 from sofralytics.functions.geo import haversine_km
 from sofralytics.functions.similarity import (
-    grams, indel_ratio, shared_grams_needed, weighted_ratio_udf, word_sort_key,
+    alike_needs, grams, indel_ratio, inner_grams, letters, only_whole, shared_grams_needed, weighted_ratio_udf, window_needs,
+    word_sort_key,
 )
 from sofralytics.functions.text import normalize
 from sofralytics.operators.dictionary import best_per_dish, candidates
@@ -224,51 +225,173 @@ def located_score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("location_score", location_score(km))
 
 
-def _rarest(frame: DataFrame, column: str, frequency: DataFrame, needed: Column) -> DataFrame:
-    """(column, g): the rarest grams of every text, enough of them that a partner sharing ``needed`` of all
-    its grams must share one of these."""
-    flat = frame.select(column, F.explode(grams(F.col(column))).alias("g"))
-    ranked = flat.join(bounded(frequency), "g", "left").groupBy(column).agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("r")
-    )
-    keep = F.greatest(F.lit(1), F.size("r") - needed + 1)
-    return ranked.select(column, F.explode(F.slice("r", F.lit(1), keep)).alias("x")).select(column, "x.g")
+LISTED_LENGTHS = 64
 
 
-def _fuzzy_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
-    """(text, key, score) with a weighted ratio of at least the threshold.
+def _window_needed(short: Column, threshold: float, pairs: bool) -> Column:
+    """Pairs (or characters) the shorter text of this length needs in common with the longer in the window case."""
+    listed = F.array(*[F.lit(n) for n in window_needs(threshold, LISTED_LENGTHS, pairs)])
+    if threshold >= 200.0:
+        return short + 1
+    joint = short * (200.0 / (200.0 - threshold))  # the fewest characters of the text and such a stretch
+    beyond = F.ceil(joint * (3 * threshold / 200.0 - 1) - 1 - SLACK) if pairs else F.ceil(joint * threshold / 200.0 - SLACK)
+    return F.when(short <= LISTED_LENGTHS, F.get(listed, short)).otherwise(F.greatest(F.lit(0), beyond).cast("int"))
 
-    An accepted pair has a word in common, or similar lengths and a plain or word-sorted ratio of the
-    threshold, or the shorter text nearly occurs in the longer.  Each case is an equi-join: on the word, on
-    the key's rarest character pairs, and on the shorter text's rarest pairs.  Texts and keys of a single
-    letter are left to exact matching.
-    """
-    window = threshold / 0.9
-    t = spread_by(texts.select("text"), "text")
-    d = keys.select("key")
-    count_grams = lambda f, c: f.select(F.explode(grams(F.col(c))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    whole = lambda size, share, pad: F.greatest(F.lit(1), F.ceil(size * share + pad - SLACK)).cast("int")
-    # Shared grams a text of this length needs at least, in the similar-length and in the window case.
-    alike = (3 * threshold / 200.0 - 1) * 200.0 / (200.0 - threshold)
-    inside = (3 * window / 200.0 - 1) * (1 + window / (200.0 - window))
-    key_needs = F.least(whole(F.length("key"), alike, 1), whole(F.length("key"), inside, -1))
-    text_needs = whole(F.length("text"), inside, -1)
 
-    lt, lk = F.length("text"), F.length("key")
+def _alike_needed(length: Column, threshold: float) -> Column:
+    listed = F.array(*[F.lit(n) for n in alike_needs(threshold, LISTED_LENGTHS)])
+    beyond = F.ceil(length * (200.0 / (200.0 - threshold)) * (3 * threshold / 200.0 - 1) + 1 - SLACK).cast("int")
+    return F.when(length <= LISTED_LENGTHS, F.get(listed, length)).otherwise(F.greatest(F.lit(1), beyond))
+
+
+def _word_set(text: Column) -> Column:
+    return F.array_join(F.array_distinct(F.split(text, " ")), " ")
+
+
+def _set_length(text: Column) -> Column:
+    return F.length(_word_set(text))
+
+
+def _tagged(tag: int, values: Column) -> Column:
+    return F.transform(values, lambda g: F.concat(F.lit(f"{tag}"), g))
+
+
+def _leading(values: Column, needed: Column) -> Column:
+    """Of the values, in an order that is the same everywhere, as many that two sets sharing ``needed`` meet in one."""
+    return F.slice(F.sort_array(values, asc=False), F.lit(1), F.greatest(F.lit(0), F.size(values) - needed + 1))
+
+
+def plausible_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """(text, key) of all pairs whose weighted ratio may reach the threshold; texts and keys are distinct.
+
+    Texts meet keys in one equi-join on tagged index entries, each case with as few of them as its bound allows:
+
+    * similar lengths: the leading pairs of both, of the whole texts and of their distinct words;
+    * the key nearly inside the text (lengths at least 1.5 times apart): the key's rarest pairs, and all of the text;
+    * the text nearly inside the key: the text's leading pairs, and all of the key;
+    * a word in common, where that alone lifts the score to the threshold or the lengths are close.
+
+    Pairs met are kept if they share as many character pairs as their case needs.  A single letter and a longer text
+    around it share no entry: they meet by the letter.
+    """
+    if threshold < LOWEST_BLOCKABLE:
+        return _counted_pairs(texts, keys, threshold)
+    window = threshold / 0.9 - SLACK
+    d = keys.select("key", F.length("key").alias("lk"), grams(F.col("key")).alias("kg"))
+    reach = d.agg(F.max("lk").alias("hi"), F.min("lk").alias("lo"))
+    longest, shortest = (reach.select(c).scalar() for c in ("hi", "lo"))
+    lt = F.length("text")
+    t = spread_by(texts.select("text").filter((lt * 8 >= shortest) & (lt <= longest * 8)), "text")  # farther apart none is scored
+    t = t.select("text", lt.alias("lt"), grams(F.col("text")).alias("tg"))
+
+    words = lambda c: _tagged(4, F.array_distinct(F.split(c, " ")))
+
+    def leading(c: str, g: str, size: str, lengths) -> Column:
+        """Entries for similar lengths, each with a length of the text that it is meant for."""
+        of = lambda gs, n: F.flatten(F.transform(lengths(n), lambda m: F.transform(_leading(gs, _alike_needed(n, threshold)), lambda x: F.concat(F.lit("3"), m.cast("string"), F.lit(":"), x))))
+        fewer = F.when(_set_length(F.col(c)) < F.col(size), of(grams(_word_set(F.col(c))), _set_length(F.col(c)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(of(F.col(g), F.col(size)), fewer))
+
+    ratio = threshold / (200.0 - threshold)  # a partner is at least this much as long
+    partners = lambda n: F.sequence(F.ceil(n * ratio - SLACK).cast("int"), F.floor(n / ratio + SLACK).cast("int"))
+    # The window case looks at the texts as they are and, with a lower weight, at their sorted words.
+    none = F.array().cast("array<string>")
+    resorted = lambda c, n: F.when(F.contains(c, F.lit(" ")), _leading(inner_grams(word_sort_key(c)), _window_needed(n, window / 0.95, True))).otherwise(none)
+    own_window = F.concat(_leading(inner_grams(F.col("text")), _window_needed(F.col("lt"), window, True)), resorted(F.col("text"), F.col("lt")))
+    inside_text = F.when(F.col("lt") * 3 <= longest * 2, _tagged(2, F.array_distinct(own_window))).otherwise(none)
+    t_entries = F.concat(_tagged(1, F.col("tg")), inside_text, leading("text", "tg", "lt", F.array), words(F.col("text")))
+    # Entries of the keys' own pairs, rarest first by how many keys have them.
+    inner = d.select("key", "lk", F.explode(inner_grams(F.col("key"))).alias("g"))
+    often = inner.groupBy("g").agg(F.count("*").alias("n"))
+    ranked = inner.join(often, "g").groupBy("key", "lk").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("r"))
+    rarest = F.slice("r", F.lit(1), F.greatest(F.lit(0), F.size("r") - _window_needed(F.col("lk"), window, True) + 1))
+    rare = ranked.select("key", F.explode(_tagged(1, F.array_distinct(F.concat(rarest, resorted(F.col("key"), F.col("lk")))))).alias("e"))
+    others = d.select("key", F.explode(F.concat(_tagged(2, F.col("kg")), leading("key", "kg", "lk", partners), words(F.col("key")))).alias("e"))
+    k_index = rare.unionByName(others).join(d, "key").withColumn("lku", _set_length(F.col("key")))
+
+    met = t.select("text", "lt", "tg", F.explode_outer(t_entries).alias("e")).join(bounded(k_index), "e")
+    tag, lt, lk = F.substring("e", 1, 1), F.col("lt"), F.col("lk")
     short, long = F.least(lt, lk), F.greatest(lt, lk)
-    comparable = (long <= short * 8) & (short > 1)
-    words = lambda f, c: f.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("g"))
-    every = lambda f, c: f.select(c, F.explode(grams(F.col(c))).alias("g"))
-    same_word = words(t, "text").join(bounded(words(d, "key")), "g").filter(comparable)
-    near_key = every(t, "text").join(bounded(_rarest(d, "key", count_grams(t, "text"), key_needs)), "g").filter(
-        comparable & (lt * 2 > lk)
-    )
-    in_key = _rarest(t, "text", count_grams(d, "key"), text_needs).join(bounded(every(d, "key")), "g").filter(
-        comparable & (lk >= lt * 1.5)
+    apart = (long * 2 >= short * 3) & (long <= short * 8)
+    shared = F.size(F.array_intersect("tg", "kg"))
+
+    def similar(a: Column, b: Column) -> Column:
+        return (F.least(a, b) * 200.0 >= (a + b) * (threshold - SLACK)) & (shared >= shared_grams_needed(a + b, threshold))
+
+    close = long * 2 < short * 3
+    keep = (
+        F.when(tag == "1", apart & (lk < lt) & (shared >= _window_needed(lk, window, True)))
+        .when(tag == "2", apart & (lt < lk) & (shared >= _window_needed(lt, window, True)))
+        .when(tag == "3", similar(lt, lk) | similar(_set_length(F.col("text")), F.col("lku")))
+        .otherwise(close | (apart & F.lit(0.9 * 95.0 >= threshold - SLACK)))
     )
-    pairs = same_word.unionByName(near_key).unionByName(in_key).select("text", "key").distinct()
-    scored = spread_by(pairs, "text", "key").withColumn("score", weighted_ratio_udf("text", "key", F.lit(threshold - SLACK)))
-    return scored.filter(F.col("score") >= threshold)
+    found = met.filter(keep).select("text", "key").distinct()
+    if threshold > 90.0:
+        return found
+    lettered = lambda f, c: f.select(c, F.explode(F.array_distinct(F.split(c, ""))).alias("g")).filter("g <> ''")
+    single = lambda f, c: f.filter(F.length(c) == 1).select(c, F.col(c).alias("g"))
+    near = F.length("text") * F.length("key") <= 8
+    one_text = single(t, "text").join(bounded(lettered(d, "key")), "g").filter(near).select("text", "key")
+    one_key = lettered(t.filter("lt <= 8"), "text").join(bounded(single(d, "key")), "g").filter(near).select("text", "key")
+    return found.unionByName(one_text).unionByName(one_key).distinct()
+
+
+def _counted_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """``plausible_pairs`` for low thresholds, where similar texts may share no character pair at all.
+
+    The index maps characters and words of the keys to keys; a text's entries are met with it and counted for each key
+    in one aggregation, and the counts decide.
+    """
+    t, d = texts.select("text"), keys.select("key")
+    far = threshold <= 60.0  # lengths more than 8 times apart can still reach the threshold
+    if not far:
+        reach = d.agg(F.max(F.length("key")).alias("hi"), F.min(F.length("key")).alias("lo"))
+        t = t.filter((F.length("text") * 8 >= reach.select("lo").scalar()) & (F.length("text") <= reach.select("hi").scalar() * 8))
+    t = spread_by(t, "text")
+
+    def indexed(frame: DataFrame, column: str) -> DataFrame:
+        words = _tagged(0, F.array_distinct(F.split(column, " ")))
+        return frame.select(column, F.explode(F.concat(_tagged(1, letters(F.col(column))), words)).alias("g"))
+
+    is_word = F.startswith(F.col("g"), F.lit("0"))
+    lt, lk = F.length("text"), F.length("key")
+    short, long = F.least(lt, lk), F.greatest(lt, lk)
+    apart = (long * 2 >= short * 3) & (F.lit(far) | (long <= short * 8))
+    close = long * 2 < short * 3
+    met = indexed(t, "text").join(bounded(indexed(d, "key")), "g").filter(close | apart)
+    counted = met.groupBy("text", "key").agg(F.count_if(~is_word).alias("shared"), F.count_if(is_word).alias("words"))
+
+    def alike(a: Column, b: Column) -> Column:
+        return (F.least(a, b) * 200.0 >= (a + b) * (threshold - SLACK)) & (F.col("shared") >= F.ceil((a + b) * (threshold / 200.0) - SLACK))
+
+    inside = apart & (F.col("shared") >= _window_needed(short, threshold / 0.9 - SLACK, False))
+    scale = F.when(long <= short * 8, 0.9).otherwise(0.6)
+    common_word = (F.col("words") > 0) & (close | (scale * 95.0 >= threshold - SLACK))
+    return counted.filter(alike(lt, lk) | alike(_set_length(F.col("text")), _set_length(F.col("key"))) | inside | common_word).select("text", "key")
+
+
+def _whole_score(threshold: float) -> Column:
+    """The weighted ratio of (text, key) where it follows from whole words and containment alone, else null.
+
+    With lengths 1.5 to 8 times apart and a shorter text so short that a window ratio that matters means that the longer
+    contains it, the score is 90 (contained), 85.5 (a common word, or contained with sorted words) or too low.
+    """
+    text, key = F.col("text"), F.col("key")
+    short, long = F.when(F.length(text) <= F.length(key), text).otherwise(key), F.when(F.length(text) <= F.length(key), key).otherwise(text)
+    limit = only_whole(min(threshold / 0.9, 95.0), LISTED_LENGTHS)
+    apart = (F.length(long) * 2 >= F.length(short) * 3) & (F.length(long) <= F.length(short) * 8)
+    common = F.arrays_overlap(F.split(text, " "), F.split(key, " ")) | F.contains(word_sort_key(long), word_sort_key(short))
+    known = apart & (F.length(short) <= limit) & F.lit(threshold > 80.0)
+    return F.when(known, F.when(F.contains(long, short), 90.0).when(common, 85.5).otherwise(0.0))
+
+
+def _fuzzy_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """(text, key, score) with a weighted ratio of at least the threshold."""
+    pairs = plausible_pairs(texts, keys, threshold).withColumn("whole", _whole_score(threshold))
+    pairs = spread_by(pairs.filter("whole IS NULL OR whole > 0"), "text", "key")
+    open_text = F.when(F.col("whole").isNull(), F.col("text"))
+    scored = pairs.withColumn("score", F.coalesce("whole", weighted_ratio_udf(open_text, "key", F.lit(threshold - SLACK))))
+    return scored.select("text", "key", "score").filter(F.col("score") >= threshold)
 
 
 def fuzzy_lookup(queries: DataFrame, lookup: DataFrame, column: str = "query", threshold: float = fv.FUZZY_LOOKUP_THRESHOLD, limit: int = fv.FUZZY_LOOKUP_LIMIT) -> DataFrame:

@@ -91,6 +91,6 @@ def dish_fuzzy_lookup(t):
 
 @query("dish_mentions_fuzzy", "dictionary_v")
 def dish_mentions_fuzzy(t):
-    """Dishes in every benchmark passage, spelling mistakes allowed."""
-    passages = t.benchmark.select(F.col("item_id").alias("review_id"), "text")
-    return similar.fuzzy_mentions(passages, dish.lookup_table(dish_dictionary(t)))
+    """Dishes in every document, spelling mistakes allowed."""
+    texts = t.documents.select(F.col("doc_id").alias("review_id"), "text")
+    return similar.fuzzy_mentions(texts, dish.lookup_table(dish_dictionary(t)))

@@ -1,6 +1,7 @@
 """Hand-computed fixtures and brute-force comparisons."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,14 +110,39 @@ def test_duplicates_equal_brute_force_under_skew(spark, chunk_rows):
     assert all((r.match_type == "exact") == (r.score == 100.0) for r in got)
 
 
-def test_fuzzy_lookup_equals_brute_force(spark):
-    keys = sorted({n for n in _names(9, 25) if len(n) > 1})
-    queries = sorted({n for n in _names(10, 25) if len(n) > 1})
-    lookup = spark.createDataFrame([(k, k, (i, 0, 0)) for i, k in enumerate(keys)], "key string, canonical string, key_order struct<a:long,b:int,c:int>")
-    for threshold in (75.0, 85.0):
-        got = {(r.text, r.key): round(r.score, 6) for r in similar._fuzzy_pairs(spark.createDataFrame([(q,) for q in queries], "text string"), lookup, threshold).collect()}
-        want = {(q, k): round(sim.weighted_ratio(q, k), 6) for q in queries for k in keys if sim.weighted_ratio(q, k) >= threshold}
-        assert got == want
+ODD_WORDS = ["a", "k", "x", "ab", "ka", "aa", "k a", "a k a", "kebap kebap", "kebap kebap ka", "abcdefgh", "bcdefghij k", "su ev li ta an lok bap ke niz de ka", "a" * 70, "kebap " * 14 + "x"]
+
+
+@pytest.mark.parametrize("threshold", [50.0, 75.0, 85.0, 90.0, 95.0])
+def test_fuzzy_pairs_equal_brute_force(spark, threshold):
+    keys = sorted({*_names(9, 25), *ODD_WORDS, "b", "abc"} - {""})
+    queries = sorted({*_names(10, 25), *ODD_WORDS, "e", "kaa"} - {""})
+    lookup = spark.createDataFrame([(k,) for k in keys], "key string")
+    texts = spark.createDataFrame([(q,) for q in queries], "text string")
+    got = {(r.text, r.key): round(r.score, 6) for r in similar._fuzzy_pairs(texts, lookup, threshold).collect()}
+    assert got == {(q, k): round(sim.weighted_ratio(q, k), 6) for q in queries for k in keys if sim.weighted_ratio(q, k) >= threshold}
+    if threshold >= 85.0:  # few pairs are scored besides those that are kept
+        assert similar.plausible_pairs(texts, lookup, threshold).count() < 2 * len(got) + 0.02 * len(keys) * len(queries)
+
+
+def test_fuzzy_lookup_finds_a_longer_key_from_one_letter(spark):
+    lookup = spark.createDataFrame([("ab", "Ab", (0, 0, 0)), ("xyz", "Xyz", (1, 0, 0))], "key string, canonical string, key_order struct<a:long,b:int,c:int>")
+    asked = spark.createDataFrame([("a",)], "query string")
+    assert [tuple(r) for r in similar.fuzzy_lookup(asked, lookup, threshold=75.0).collect()] == [("a", "Ab", 90.0)]
+
+
+def test_window_needs_are_met_by_every_window():
+    rng = random.Random(8)
+    for threshold in (60.0, 85.0, 94.4):
+        needs = {pairs: sim.window_needs(threshold, 12, pairs) for pairs in (True, False)}
+        for _ in range(4000):
+            short = "".join(rng.choices("ab", k=rng.randint(1, 8)))
+            long = "".join(rng.choices("abc", k=rng.randint(len(short), 12)))
+            if sim.window_ratio(short, long) < threshold:
+                continue
+            pair_counts = [Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (short, long)]
+            assert (pair_counts[0] & pair_counts[1]).total() >= needs[True][len(short)]
+            assert (Counter(short) & Counter(long)).total() >= needs[False][len(short)]
 
 
 def test_match_venues(spark):
