@@ -80,15 +80,36 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+@contextmanager
+def working(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that writes a step's rows to the shared folder; what it wrote is deleted at the end of the block.
+
+    The rows are tables of a database of their own in that folder, so dropping it deletes its files wherever they are.
+    """
+    base = f"working_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{shared_folder(spark)}/{base}'")
+
+    def keep(frame: DataFrame, name: str) -> DataFrame:
+        table = f"{base}.{name}_{uuid.uuid4().hex}"
+        with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            frame.write.format("parquet").saveAsTable(table)
+        return spark.table(table)
+
+    try:
+        yield keep
+    finally:
+        spark.sql(f"DROP DATABASE {base} CASCADE")
+
+
 def arrow_rows(spark: SparkSession, rows: int):
     """Bound the rows of an Arrow batch."""
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def mapped(frame: DataFrame, run, schema: str, name: str, rows: int = 256) -> DataFrame:
-    """``mapInArrow`` over few rows at a time, written to the shared folder."""
+def mapped(frame: DataFrame, run, schema: str, name: str, rows: int = 256, keep: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
+    """``mapInArrow`` over few rows at a time, written by ``keep``: for good, or as long as a block ``working`` lasts."""
     with arrow_rows(frame.sparkSession, rows):
-        return saved(frame.mapInArrow(run, schema), name)
+        return keep(frame.mapInArrow(run, schema), name)
 
 
 def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
