@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sofralytics.llm.common import saved
+from sofralytics.llm.common import fresh, saved
 
 BLOCK, SEED, FEW_SOURCES = 16.0, 42, 100_000
 _HASH_BITS = 52
@@ -57,8 +57,8 @@ def copies(mean: Column, *key: Column) -> Column:
     return F.aggregate(draws, F.lit(0), lambda acc, k: acc + k)
 
 
-def rates(docs: DataFrame, weights: DataFrame | None, temperature: float, budget: float | None) -> DataFrame:
-    """(_source, _rate) of every source.
+def rates(docs: DataFrame, weights: DataFrame | None, temperature: float, budget: float | None, names: tuple[str, str] = ("_source", "_rate")) -> DataFrame:
+    """The source and the rate of every source, under the given names.
 
     ``weights`` has (source, weight); without it the weight is the source's characters to the power ``temperature``.
     ``budget`` is the number of characters to return in the mean, by default as many as there are.
@@ -75,7 +75,7 @@ def rates(docs: DataFrame, weights: DataFrame | None, temperature: float, budget
     share = F.col("_weight") / F.lit(float(total["weight"] or 1.0))
     wanted = F.lit(float(total["chars"] or 0) if budget is None else float(budget))
     rate = F.when(F.col("_chars") > 0, share * wanted / F.col("_chars")).otherwise(0.0)
-    rated = weighed.select("_source", rate.alias("_rate"))
+    rated = weighed.select(F.col("_source").alias(names[0]), rate.alias(names[1]))
     return F.broadcast(rated) if total["n"] <= FEW_SOURCES else rated
 
 
@@ -85,10 +85,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     A column of the input named ``copy`` or ``mix_key`` is replaced.
     """
     own = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rated = rates(docs, weights, temperature, budget)
+    source, rate, drawn = (fresh(docs, n) for n in ("_source", "_rate", "_copies"))
+    rated = rates(docs, weights, temperature, budget, (source, rate))
     key = (F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    drawn = docs.select(*own).join(rated, F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("_copies", copies(F.col("_rate"), *key)).where(F.col("_copies") > 0)
-    spread = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    spread = spread.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "copy", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))))
-    return spread.select(*own, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    rows = docs.select(*own).join(rated, F.col("source").eqNullSafe(F.col(source)))
+    rows = rows.withColumn(drawn, copies(F.col(rate), *key)).where(F.col(drawn) > 0)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(drawn))))
+    rows = rows.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "copy", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))))
+    return rows.select(*own, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")

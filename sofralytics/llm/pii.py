@@ -27,9 +27,9 @@ IBAN_LENGTH = {
     25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
-IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTH.items()) + r")\b"
+IBAN = "(?i:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTH.items()) + r")\b"
 # Only the first four characters are taken, so that each place where an account may begin is looked at for itself.
-IBAN_HEAD = rf"\b(?={IBAN})[A-Z]{{2}}[0-9]{{2}}"
+IBAN_HEAD = rf"\b(?={IBAN})[A-Za-z]{{2}}[0-9]{{2}}"
 IBAN_CHARS = 2 * max(IBAN_LENGTH)
 LOCAL_PHONE = r"(?<![+0-9.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9.-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -41,7 +41,7 @@ CONTEXT = {
     "ssn": r"(?i)\b(?:ssn|social security|tax id)\b",
 }
 AGAINST = r"(?i)\b(?:version|isbn|order|invoice|serial|sku)\b"
-START = {"phone": 0.3, "iban": 0.6, "ssn": 0.3}
+START = {"phone": 0.3, "iban": 0.9, "ssn": 0.3}  # a passed checksum outweighs a word against it
 STEP, ACCEPT, NEAR = 0.4, 0.5, 40
 
 
@@ -52,7 +52,7 @@ PROPOSED = (
     ("card", 2, CARD, lambda t: t.rlike("[0-9][\\x20-]?[0-9]")),
     ("phone", 3, PHONE, lambda t: t.rlike("\\+[0-9]")),
     ("local", 3, LOCAL_PHONE, lambda t: t.rlike("[0-9]{3}")),
-    ("iban", 4, IBAN_HEAD, lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
+    ("iban", 4, IBAN_HEAD, lambda t: t.rlike("[A-Za-z]{2}[0-9]{2}")),
     ("ssn", 5, SSN, lambda t: t.rlike("-[0-9]{2}-")),
 )
 NO_MATCH = "array<struct<at:int,text:string>>"
@@ -103,7 +103,7 @@ def _luhn_digit(value: Column, doubled: Column) -> Column:
 
 def mod97(account: Column) -> Column:
     """The IBAN checksum: four leading characters moved to the end, letters as numbers, remainder 1."""
-    compact = F.regexp_replace(account, "\\x20", "")
+    compact = F.upper(F.regexp_replace(account, "\\x20", ""))
     turned = F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))
     value = F.aggregate(
         F.sequence(F.lit(1), F.length(turned)),
@@ -219,15 +219,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     A null text stays null.
     """
-    clean = F.when(F.col("text").isNotNull(), F.col("_clean"))
-    held = spanned(docs.withColumn("_text", F.coalesce("text", F.lit(""))), "_text")
-    held = held.withColumn("_clean", redacted(F.col("_text"), F.col("_spans")))
-    out = []
-    for c in docs.columns:
-        if c == "text":
-            out.append(clean.alias(c))
-        elif c == "n_chars":
-            out.append(F.when(F.size("_spans") > 0, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return held.select(*out)
+    own = {c: f"own{i}" for i, c in enumerate(docs.columns)}  # names that no step uses
+    held = spanned(docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.coalesce("text", F.lit("")).alias("text")), "text")
+    held = held.withColumn("_clean", redacted(F.col("text"), F.col("_spans")))
+    changed = {"text": F.when(F.col(own["text"]).isNotNull(), F.col("_clean"))}
+    if "n_chars" in own:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.size("_spans") > 0, F.length("_clean").cast(kind)).otherwise(F.col(own["n_chars"]))
+    return held.select(*[changed.get(c, F.col(n)).alias(c) for c, n in own.items()])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sofralytics.llm.common import mapped, saved, word_blocks
+from sofralytics.llm.common import fresh, mapped, saved, word_blocks
 
 BITS, MAX_BITS, CHUNK = 64, 4, 1024
 
@@ -205,11 +205,6 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, width: int = 4) -
     return prints.join(classes(prints, max_bits), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, width: int = 4) -> DataFrame:
-    """One row of each component, the one with the smallest id (of equal ids, the smallest text hash), columns as given."""
-    return first_rows(docs, near_duplicates(docs, max_bits, width))
-
-
 def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The first row of each component of ``found``.
 
@@ -218,11 +213,12 @@ def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     first = saved(found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash"), "kept")
-    first = first.distinct().select(F.struct("doc_id", "text_hash").alias("_key"))
+    key, copy = fresh(docs, "_key"), fresh(docs, "_copy")
+    first = first.distinct().select(F.struct("doc_id", "text_hash").alias(key))
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
-    kept = docs.withColumn("_key", F.struct("doc_id", text_hash)).join(first, "_key", "left_semi")
-    same = Window.partitionBy("_key").orderBy("_key")  # dealt as the join has dealt them
-    return kept.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") == 1).select(*docs.columns)
+    kept = docs.withColumn(key, F.struct("doc_id", text_hash)).join(first, key, "left_semi")
+    same = Window.partitionBy(key).orderBy(key)  # dealt as the join has dealt them
+    return kept.withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1).select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -56,3 +56,21 @@ def test_repeated_rows_agree(spark, odd, vocabulary):
     for name in ("quality", "simhash", "katz", "pieces", "rules", "pii"):
         found = [tuple(str(v) for v in r) for r in operators(spark, odd, vocabulary)[name]().where("doc_id = 1").collect()]
         assert len(found) == 2 and found[0] == found[1], name
+
+
+CLASHING = ["_source", "_rate", "_copies", "_key", "_copy", "_email", "_text", "_clean", "_spans"]
+
+
+@pytest.mark.parametrize("run", [mixing.mix, pii.redact, lambda d: simhash.first_rows(d, simhash.near_duplicates(d))], ids=["mix", "redact", "first_rows"])
+def test_names_used_inside_do_not_touch_the_input(spark, odd, run):
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    named = run(plain.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING}))
+    found = named.collect()
+    assert found and all(r[c] == f"{c}{'none' if r['doc_id'] is None else r['doc_id']}" for r in found for c in CLASHING)
+    assert rows(named.select("doc_id", "text")) == rows(run(plain).select("doc_id", "text"))
+
+
+@pytest.mark.parametrize("account", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "de89370400440532013000"])
+def test_accounts_stand_on_invoices(spark, account):
+    docs = spark.createDataFrame([(1, f"Invoice 77: pay {account} today"), (2, "Invoice 77: pay DE88370400440532013000 today")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == {1: "Invoice 77: pay <IBAN> today", 2: "Invoice 77: pay DE88370400440532013000 today"}
