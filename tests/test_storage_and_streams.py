@@ -64,7 +64,7 @@ def test_running_scores_equal_batch_scores_and_resume(spark, tables, folder):
     run()  # nothing new: no further version
     got = {tuple(r) for r in incremental.running_scores(spark, f"{folder}/sums").collect()}
     assert got == {tuple(r) for r in scoring.score_dishes(mentions).collect()}
-    assert len(versions._folders(spark, f"{folder}/sums")) == 3
+    assert len(versions.numbers(spark, f"{folder}/sums")) == 3
 
 
 def test_streamed_upsert_equals_batch(spark, folder):
