@@ -11,9 +11,10 @@ from sofralytics.functions.geo import haversine_km
 from sofralytics.functions.numeric import round_to
 from sofralytics.session import ensure_checkpoint_dir
 
-FINEST_CELL = 0.002
+FINEST_CELL = 3.5e-5  # of the earth's radius, some 220 m
 EDGE = 1e-9  # degrees of slack, so binary noise does not move a point off a tile's border
-LEVELS = 19  # 0.002 degrees doubled 18 times exceeds 360 degrees
+LEVELS = 17  # the finest cell doubled 16 times exceeds the earth's diameter
+CELL = ["level", "cx", "cy", "cz"]
 
 
 def nearest_to_point(venues: DataFrame, lat: float, lng: float, k: int) -> DataFrame:
@@ -22,18 +23,33 @@ def nearest_to_point(venues: DataFrame, lat: float, lng: float, k: int) -> DataF
     return venues.filter(distance.isNotNull()).withColumn("distance_km", distance).orderBy("distance_km", "restaurant_id").limit(k)
 
 
-def _cell(value: Column, level: Column) -> Column:
-    return F.floor(value / (F.lit(FINEST_CELL) * F.pow(F.lit(2.0), level))).cast("long")
+def _celled(rows: DataFrame, lat: str, lng: str) -> DataFrame:
+    """The rows with the cubic cell of their point on the unit sphere, for each row's ``level``."""
+    y, x = F.radians(lat), F.radians(lng)
+    size = F.lit(FINEST_CELL) * F.pow(F.lit(2.0), F.col("level"))
+    at = {"cx": F.cos(y) * F.cos(x), "cy": F.cos(y) * F.sin(x), "cz": F.sin(y)}
+    return rows.withColumns({c: F.floor(v / size).cast("long") for c, v in at.items()})
+
+
+def _around(cells: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
+    """Each cell with the cells at these offsets (``nx, ny, nz``) that the sphere's surface passes through."""
+    listed = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", o, strict=True)]) for o in offsets])
+    near = cells.withColumn("o", F.explode(listed)).select(*CELL, *[(F.col(f"c{c}") + F.col(f"o.{c}")).alias(f"n{c}") for c in "xyz"])
+    size = F.lit(FINEST_CELL) * F.pow(F.lit(2.0), F.col("level"))
+    low = [F.greatest(F.col(f"n{c}"), -F.col(f"n{c}") - 1, F.lit(0)) for c in "xyz"]  # nearest to the centre, in cells
+    high = [F.greatest(F.abs(F.col(f"n{c}")), F.abs(F.col(f"n{c}") + 1)) for c in "xyz"]
+    square = lambda parts: sum(((p.cast("double") * size) * (p.cast("double") * size) for p in parts), F.lit(0.0))
+    return near.filter((square(low) <= 1.0 + EDGE) & (square(high) >= 1.0 - EDGE))
 
 
 def nearest(points: DataFrame, venues: DataFrame, k: int) -> DataFrame:
     """Exact k nearest venues of every point, without comparing every pair.
 
-    ``points``: point_id, lat, lng; ``venues``: restaurant_id, lat, lng.  Venue counts per square cell at
-    doubling sizes give each point the smallest cell size whose 3x3 block already holds k venues.  The k-th
-    distance cannot exceed the far corner of that block, so only cells within that reach are joined.
-    Venues sharing one location beyond the k lowest ids can never be among the results and are left out
-    of the join.  The antimeridian is not wrapped.
+    ``points``: point_id, lat, lng; ``venues``: restaurant_id, lat, lng.  Points and venues lie in cubic cells of doubling
+    sizes around the unit sphere, so neither the antimeridian nor the poles are an edge.  A point takes the smallest size
+    at which the 3x3x3 cells around its own hold k venues; the k-th distance cannot exceed that block's far corner, so
+    only cells within that reach are met.  Which cells are near which is found once a cell, not once a point.
+    Venues sharing one location beyond the k lowest ids can never be among the results and are left out of the join.
     """
     spot = Window.partitionBy("lat", "lng").orderBy("restaurant_id")
     places = (
@@ -41,51 +57,27 @@ def nearest(points: DataFrame, venues: DataFrame, k: int) -> DataFrame:
         .select("restaurant_id", "lat", "lng")
         .withColumn("_rn", F.row_number().over(spot))
         .filter(F.col("_rn") <= k)
-        .drop("_rn")
+        .select("restaurant_id", F.col("lat").alias("v_lat"), F.col("lng").alias("v_lng"))
     )
     levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    celled = places.withColumn("level", F.explode(levels)).select(
-        "restaurant_id", F.col("lat").alias("v_lat"), F.col("lng").alias("v_lng"), "level",
-        _cell(F.col("lat"), F.col("level")).alias("cy"), _cell(F.col("lng"), F.col("level")).alias("cx"),
-    )
-    counts = celled.groupBy("level", "cy", "cx").agg(F.count("*").alias("n"))
+    held = _celled(places.withColumn("level", F.explode(levels)), "v_lat", "v_lng")
+    held = held.select("restaurant_id", "v_lat", "v_lng", "level", *[F.col(f"c{c}").alias(f"n{c}") for c in "xyz"])
+    met = ["level", "nx", "ny", "nz"]
+    counts = held.groupBy(*met).agg(F.count("*").alias("n"))
 
-    step = F.sequence(F.lit(-1), F.lit(1))
     asked = points.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("point_id", "lat", "lng")
-    blocks = (
-        asked.withColumn("level", F.explode(levels))
-        .withColumn("dy", F.explode(step))
-        .withColumn("dx", F.explode(step))
-        .select(
-            "point_id", "lat", "lng", "level",
-            (_cell(F.col("lat"), F.col("level")) + F.col("dy")).alias("cy"),
-            (_cell(F.col("lng"), F.col("level")) + F.col("dx")).alias("cx"),
-        )
-        .join(counts, ["level", "cy", "cx"])
-        .groupBy("point_id", "lat", "lng", "level")
-        .agg(F.sum("n").alias("n"))
-    )
-    enough = F.when(F.col("n") >= k, F.col("level"))
-    chosen = blocks.groupBy("point_id", "lat", "lng").agg(F.coalesce(F.min(enough), F.lit(LEVELS - 1)).alias("level"))
-
-    size = F.lit(FINEST_CELL) * F.pow(F.lit(2.0), F.col("level"))
-    reach = F.lit(2.0 * 2.0**0.5)  # far corner of the 3x3 block in cells
-    edge = F.least(F.lit(89.0), F.abs(F.col("lat")) + reach * size)
-    wide = F.least(F.lit(400.0), F.ceil(reach / F.cos(F.radians(edge))) + 1).cast("int")
-    wide = F.when(F.col("level") >= LEVELS - 1, F.lit(1)).otherwise(wide)
-    high = F.when(F.col("level") >= LEVELS - 1, F.lit(1)).otherwise(F.lit(4))
-    cells = (
-        chosen.withColumn("dy", F.explode(F.sequence(-high, high)))
-        .withColumn("dx", F.explode(F.sequence(-wide, wide)))
-        .select(
-            "point_id", "lat", "lng", "level",
-            (_cell(F.col("lat"), F.col("level")) + F.col("dy")).alias("cy"),
-            (_cell(F.col("lng"), F.col("level")) + F.col("dx")).alias("cx"),
-        )
-    )
-    pairs = cells.join(celled, ["level", "cy", "cx"]).withColumn(
-        "distance_km", haversine_km(F.col("lat"), F.col("lng"), F.col("v_lat"), F.col("v_lng"))
-    )
+    tall = _celled(asked.withColumn("level", F.explode(levels)), "lat", "lng")
+    block = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    blocks = _around(tall.select(*CELL).distinct(), block).join(counts, met).groupBy(*CELL).agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
+    level = F.coalesce(F.min(F.when(F.col("n").isNotNull(), F.col("level"))), F.lit(LEVELS - 1)).alias("level")
+    chosen = _celled(tall.join(blocks, CELL, "left").groupBy("point_id", "lat", "lng").agg(level), "lat", "lng")
+
+    steps = range(-4, 5)
+    gap = lambda d: max(abs(d) - 1, 0) ** 2
+    # The far corner of the block is 2 sqrt(3) cells away at most.
+    reach = [(x, y, z) for x in steps for y in steps for z in steps if gap(x) + gap(y) + gap(z) <= 12]
+    near = _around(chosen.select(*CELL).distinct(), reach).join(held, met).select(*CELL, "restaurant_id", "v_lat", "v_lng")
+    pairs = chosen.join(near, CELL).withColumn("distance_km", haversine_km(F.col("lat"), F.col("lng"), F.col("v_lat"), F.col("v_lng")))
     order = Window.partitionBy("point_id").orderBy("distance_km", "restaurant_id")
     return (
         pairs.withColumn("rank", F.row_number().over(order))

@@ -216,6 +216,17 @@ def test_nearest_equals_brute_force_on_uneven_data(spark):
         assert [got[(pid, k)] for k in (1, 2, 3)] == pytest.approx(best)
 
 
+def test_nearest_across_the_antimeridian_and_at_the_poles(spark):
+    v = spark.createDataFrame([(1, 0.0, -179.9995), (2, 0.0, 178.0), (3, 89.99, 10.0), (4, 89.99, -170.0), (5, -89.9, 0.0), (6, 80.0, 100.0)], "restaurant_id long, lat double, lng double")
+    asked = [(1, 0.001, 179.9995), (2, 89.995, 100.0), (3, -90.0, 77.0), (4, 90.0, 0.0), (5, 0.0, 180.0), (6, 0.0, -180.0)]
+    p = spark.createDataFrame(asked, "point_id long, lat double, lng double")
+    got = {(r.point_id, r["rank"]): (r.restaurant_id, r.distance_km) for r in places.nearest(p, v, 3).collect()}
+    assert got[(1, 1)][0] == 1 and got[(1, 1)][1] < 0.16
+    for pid, lat, lng in asked:
+        best = places.nearest_to_point(v, lat, lng, 3).collect()
+        assert [got[(pid, i)][1] for i in (1, 2, 3)] == pytest.approx([r.distance_km for r in best], abs=1e-9)
+
+
 def test_lexeme_search_and_stemming(spark):
     docs = spark.createDataFrame([(1, "Çiya Sofrası Kadıköy"), (2, "Kebapçılar Çarşısı"), (3, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "ciya KADIKOY"), (2, "kebapci"), (3, "ve")], "query_id long, query string")
