@@ -109,19 +109,47 @@ def test_streamed_hours_and_windows_equal_batch(spark, tables, folder):
     assert windows.agg(F.sum("requests")).first()[0] == 6 * log.count()
 
 
-def test_streamed_health_equals_batch(spark, tables, folder):
-    log = tables.requests_v.withColumn("client", F.col("client").cast("string"))
-    for part, frame in enumerate((log.filter("request_id < 500"), log.filter("request_id >= 500"))):
-        _write(frame.select("request_id", "ts", "client", "status", "failure", "retry_after_s"), folder, part)
+def test_streamed_health_equals_batch_on_shuffled_batches(spark, tables, folder):
+    log = tables.requests_v.withColumn("client", F.col("client").cast("string")).withColumn("ts", F.col("ts").cast("timestamp"))
+    columns = ["request_id", "ts", "client", "status", "failure", "retry_after_s"]
+    # Neighbouring rows land in different batches; the last batch ends the wait, a day and more after all others.
+    for part in range(2):
+        _write(log.filter(F.pmod(F.xxhash64("request_id"), F.lit(2)) == part).select(*columns), folder, part)
+    end = log.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("request_id"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit("end").alias("client"),
+        F.lit(200).alias("status"), F.lit(False).alias("failure"), F.lit(None).cast("double").alias("retry_after_s"),
+    )
+    kinds = dict(log.dtypes)
+    _write(end.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns]), folder, 2)
     schema = spark.read.parquet(f"{folder}/in").drop("part").schema
     stream = incremental.file_stream(spark, f"{folder}/in/*", schema, files_per_batch=1)
-    got = {r.request_id: (round(r.backoff_s, 6), r.streak) for r in _memory(spark, requests.client_health(stream, 2.0, 90.0), "health").collect()}
+    health = requests.client_health(stream, 2.0, 90.0, lateness="399 days", idle_s=10**9)
+    query = health.writeStream.format("memory").queryName("health").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.request_id: (round(r.backoff_s, 6), r.streak) for r in spark.table("health").collect()}
     limits = {"default": (1, 1, 2.0, 90.0)}
     backoff = {r.request_id: round(r.backoff_s, 6) for r in requestlog.backoff_state(log, limits, key="client").collect()}
     streaks = {r.request_id: r.streak for r in requestlog.failure_streaks(log).collect()}
     assert got == {k: (backoff[k], streaks[k]) for k in backoff}
 
 
+def test_idle_clients_leave_the_state(spark, folder):
+    rows = "request_id long, s long, client string, status int, failure boolean, retry_after_s double"
+    steps = [[(i, 1000 + i, f"c{i}", 429, True, None) for i in range(50)], [(100, 10_000, "late", 200, False, None)], [(101, 90_000, "late", 200, False, None), (102, 90_000, "c1", 429, True, None)], [(103, 200_000, "late", 200, False, None)]]
+    totals = []
+    for number, step in enumerate(steps):
+        _write(spark.createDataFrame(step, rows).withColumn("ts", F.timestamp_seconds("s")), folder, number)
+        schema = spark.read.parquet(f"{folder}/in").drop("part").schema
+        stream = incremental.file_stream(spark, f"{folder}/in/*", schema)
+        health = requests.client_health(stream, 2.0, 90.0, lateness="1 second", idle_s=3600)
+        query = health.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+        query.awaitTermination()
+        totals.append(max((s["numRowsTotal"] for p in query.recentProgress[-1:] for s in p["stateOperators"]), default=None))
+    assert totals[0] == 50 and totals[1] <= 1 and totals[-1] <= 2
+    got = {r.request_id: (r.backoff_s, r.streak) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got[7] == (2.0, 1) and got[102] == (2.0, 1)  # c1 was idle for long: no streak of two
+
+
 def test_jobs_from_bronze_to_scores(spark, tables):
     parts = jobs.clean(tables.bronze_venues_v, tables.bronze_reviews_v, F.lit("2024-06-01").cast("timestamp"))
     assert parts["reviews"].count() + parts["rejected_reviews"].count() <= tables.bronze_reviews_v.count()
