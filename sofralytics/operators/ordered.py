@@ -1,7 +1,7 @@
 """Running values per key that do not need a whole key in one task.
 
 A window partitioned by key alone puts all rows of a busy key into one task.  Here every key is cut into
-chunks (an hour of a log, say): values run inside each (key, chunk), each chunk is summarised to one row,
+chunks of bounded rows (``with_parts``): values run inside each (key, chunk), each chunk is summarised to one row,
 the summaries are combined per key, and the carried-in value is joined back on (key, chunk).  The large
 side is shuffled once; the window and the join share its partitioning.  Keys and chunk must not be NULL.
 """
@@ -12,7 +12,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CHUNK = "_chunk"
+CHUNK, PART, STARTS = "_chunk", "_part", "_starts"
+CHUNK_ROWS = 1_000_000
+
+
+def chunk_starts(rows: DataFrame, keys, time: str, chunk_rows: int) -> DataFrame:
+    """(keys, starts): the seconds at which a key's second and later chunks of about ``chunk_rows`` rows begin.
+
+    Rows are counted by second, counts are summed up within days, and days are chained.  Only keys of more than one chunk
+    are returned, one number for each ``chunk_rows`` rows of the log.  A chunk is larger only by the rows of its last second.
+    """
+    second = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000).alias("s")
+    counted = rows.groupBy(*keys, second).agg(F.count("*").alias("n")).withColumn("d", F.floor(F.col("s") / 86_400))
+    inside = Window.partitionBy(*keys, "d").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    days = counted.groupBy(*keys, "d").agg(F.sum("n").alias("n")).withColumn("days_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    placed = counted.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(days, [*keys, "d"])
+    number = F.floor((F.col("before") + F.col("days_before")) / chunk_rows).alias("c")
+    firsts = placed.groupBy(*keys, number).agg(F.min("s").alias("s")).filter("c > 0")
+    return firsts.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias(STARTS))
+
+
+def with_starts(rows: DataFrame, keys, time: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows with their key's ``chunk_starts`` (empty for most keys)."""
+    starts = chunk_starts(rows, keys, time, chunk_rows)  # bounded: a number for each chunk_rows rows
+    return rows.join(F.broadcast(starts), list(keys), "left").withColumn(STARTS, F.coalesce(STARTS, F.array().cast("array<bigint>"))).select(*rows.columns, STARTS)
+
+
+def chunk_at(second: Column) -> Column:
+    """The number of the chunk that holds a second."""
+    return F.size(F.filter(STARTS, lambda s: s <= second))
+
+
+def with_parts(rows: DataFrame, keys, time: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows with ``_part``, the number of their chunk within the key; equal seconds share a chunk."""
+    second = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000)
+    return with_starts(rows, keys, time, chunk_rows).withColumn(PART, chunk_at(second)).drop(STARTS)
 
 
 def _local(keys, order) -> Window:

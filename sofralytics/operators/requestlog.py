@@ -12,9 +12,7 @@ from pyspark.sql.window import Window
 
 from sofralytics.functions import fixed_values as fv
 from sofralytics.functions.numeric import round_to
-from sofralytics.operators.ordered import carry_last, running_since_reset
-
-HOUR_CHUNK = "hour"
+from sofralytics.operators.ordered import CHUNK_ROWS, PART, STARTS, carry_last, chunk_at, running_since_reset, with_parts, with_starts
 
 
 def _limit(platform: Column, position: int, limits: dict | None = None) -> Column:
@@ -28,10 +26,6 @@ def _limit(platform: Column, position: int, limits: dict | None = None) -> Colum
     return chosen.otherwise(default) if chosen is not None else default
 
 
-def hour_of(ts: Column) -> Column:
-    return F.date_trunc(HOUR_CHUNK, ts)
-
-
 def quota_use(log: DataFrame, unit: str, limits: dict | None = None, key: str = "platform") -> DataFrame:
     """Requests per key in each calendar ``hour`` or ``day`` against the quota."""
     position = {"day": 0, "hour": 1}[unit]
@@ -40,36 +34,34 @@ def quota_use(log: DataFrame, unit: str, limits: dict | None = None, key: str =
     return counts.withColumns({"quota": limit.cast("long"), "over_quota": F.col("requests") > limit})
 
 
-def sliding_rate(log: DataFrame, limit: int = fv.CLIENT_RATE_PER_MINUTE, seconds: int = 60, key: str = "client") -> DataFrame:
+def sliding_rate(log: DataFrame, limit: int = fv.CLIENT_RATE_PER_MINUTE, seconds: int = 60, key: str = "client", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """For every request: requests of the same key in the last ``seconds`` (it included), and whether over the limit.
 
-    A row is counted from just inside the window's start up to its own moment.  Each key is cut into hours, or into
-    stretches of ``seconds`` where these are longer; rows in the last ``seconds`` of a stretch are also handed to the next
-    one as look-back rows, so a busy key spreads over as many tasks as it has stretches.
+    A row is counted from just inside the window's start up to its own moment.  Each key is cut into chunks of about
+    ``chunk_rows`` rows; a row less than ``seconds`` before later chunks is also handed to these as a look-back row, so a
+    busy key spreads over as many tasks as it has chunks.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = seconds * 1_000_000
-    hour_us = max(3_600_000_000, span)
-    base = log.withColumn("_us", micros).withColumn("_h", F.floor(F.col("_us") / hour_us))
-    late = F.col("_us") % hour_us >= hour_us - span
-    slots = F.when(late, F.array(F.struct(F.col("_h").alias("h"), F.lit(True).alias("own")), F.struct((F.col("_h") + 1).alias("h"), F.lit(False).alias("own"))))
-    slots = slots.otherwise(F.array(F.struct(F.col("_h").alias("h"), F.lit(True).alias("own"))))
-    rows = base.withColumn("_slot", F.explode(slots)).withColumns({"_h": F.col("_slot.h"), "_own": F.col("_slot.own")})
+    base = with_starts(log, [key], "ts", chunk_rows).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    own = chunk_at(F.floor(F.col("_us") / 1_000_000))
+    base = base.withColumns({"_own": own, "_last": chunk_at(F.floor((F.col("_us") + (span - 1)) / 1_000_000))}).drop(STARTS)
+    rows = base.withColumn("_h", F.explode(F.sequence("_own", "_last")))
     window = Window.partitionBy(key, "_h").orderBy("_us").rangeBetween(-(span - 1), 0)
-    counted = rows.withColumn("recent", F.count("*").over(window)).filter("_own")
+    counted = rows.withColumn("recent", F.count("*").over(window)).filter("_h = _own")
     return counted.select(*log.columns, "recent", (F.col("recent") > limit).alias("over_limit"))
 
 
-def request_gaps(log: DataFrame, limits: dict | None = None, key: str = "platform") -> DataFrame:
+def request_gaps(log: DataFrame, limits: dict | None = None, key: str = "platform", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Seconds since the key's previous request and how far that falls short of the minimum delay."""
-    previous = carry_last(log, [key], ["ts", "request_id"], hour_of(F.col("ts")), {"previous_ts": F.col("ts")}, include_current=False)
+    parts = with_parts(log, [key], "ts", chunk_rows)
+    previous = carry_last(parts, [key], ["ts", "request_id"], F.col(PART), {"previous_ts": F.col("ts")}, include_current=False).drop(PART)
     to_us = lambda c: F.unix_micros(c.cast("timestamp"))
     gap = (to_us(F.col("ts")) - to_us(F.col("previous_ts"))) / 1_000_000.0
     delay = _limit(F.col(key), 2, limits)
     return previous.withColumns({"gap_s": gap, "shortfall_s": F.greatest(F.lit(0.0), delay - gap)}).drop("previous_ts")
 
 
-def backoff_state(log: DataFrame, limits: dict | None = None, key: str = "platform") -> DataFrame:
+def backoff_state(log: DataFrame, limits: dict | None = None, key: str = "platform", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Backoff seconds of the key after every response.
 
     429, 403, 407 and connection errors double it, 5xx raise it by half, both to at least the key's delay and
@@ -84,8 +76,8 @@ def backoff_state(log: DataFrame, limits: dict | None = None, key: str = "platfo
     double = status.isin(0, 403, 407, 429) & ~forced
     half = status >= 500
     setting = F.coalesce(success | forced, F.lit(False))
-    order, chunk = ["ts", "request_id"], hour_of(F.col("ts"))
-    rows = running_since_reset(log, [key], order, chunk, {"_doubles": double.cast("int"), "_halves": half.cast("int")}, setting)
+    order, chunk = ["ts", "request_id"], F.col(PART)
+    rows = running_since_reset(with_parts(log, [key], "ts", chunk_rows), [key], order, chunk, {"_doubles": double.cast("int"), "_halves": half.cast("int")}, setting)
     first = (double | half) & (F.col("_doubles") + F.col("_halves") == 1)
     rows = carry_last(
         rows, [key], order, chunk,
@@ -101,17 +93,18 @@ def backoff_state(log: DataFrame, limits: dict | None = None, key: str = "platfo
     # Thirty doublings exceed any cap, so the powers stay finite.
     raised = start * F.pow(F.lit(2.0), F.least(more_doubles, F.lit(60))) * F.pow(F.lit(1.5), F.least(more_halves, F.lit(100)))
     value = F.when(since == 0, F.coalesce("_set", F.lit(0.0))).otherwise(F.least(cap, raised))
-    return rows.withColumn("backoff_s", value).drop("_doubles", "_halves", "_set", "_first")
+    return rows.withColumn("backoff_s", value).drop("_doubles", "_halves", "_set", "_first", PART)
 
 
-def failure_streaks(log: DataFrame, threshold: int = fv.FAILURES_TO_BLACKLIST, key: str = "client") -> DataFrame:
+def failure_streaks(log: DataFrame, threshold: int = fv.FAILURES_TO_BLACKLIST, key: str = "client", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Failures of the key since its last success up to every request, and whether that reaches the blacklist.
 
     ``failure`` marks bans (by status or text) and connection errors.  Only a status of 200-399 that is no failure
     counts as a success and starts again at 0; any other answer, a 404 or a 5xx say, leaves the streak as it is.
     """
     success = F.col("status").between(200, 399) & ~F.col("failure")
-    rows = running_since_reset(log, [key], ["ts", "request_id"], hour_of(F.col("ts")), {"streak": F.col("failure").cast("int")}, success)
+    parts = with_parts(log, [key], "ts", chunk_rows)
+    rows = running_since_reset(parts, [key], ["ts", "request_id"], F.col(PART), {"streak": F.col("failure").cast("int")}, success).drop(PART)
     return rows.withColumn("blacklisted", F.col("streak") >= threshold)
 
 

@@ -197,6 +197,26 @@ def test_running_values_do_not_depend_on_the_chunk(spark):
     assert results[0] == results[1] == results[2]
 
 
+def test_a_busy_client_in_one_hour_is_many_chunks(spark):
+    rng = random.Random(12)
+    rows = [(i, 7200 + rng.randrange(3600) if i % 3 else rng.randrange(10**6), "hot" if i % 3 else f"c{rng.randrange(40)}", rng.choice([200, 403, 429, 500, 404])) for i in range(6000)]
+    log = spark.createDataFrame(rows, "request_id long, s long, client string, status int").withColumn("ts", F.timestamp_seconds("s"))
+    log = log.withColumns({"failure": F.col("status").isin(403, 429), "retry_after_s": F.lit(None).cast("double")})
+    parts = ordered.with_parts(log, ["client"], "ts", 100)
+    sizes = [r["count"] for r in parts.filter("client = 'hot'").groupBy("_part").count().collect()]
+    assert len(sizes) >= 39 and max(sizes) <= 100 + 12  # a chunk ends with a whole second
+    assert parts.filter("client <> 'hot'").agg(F.max("_part")).first()[0] == 0
+    limits = {"default": (1, 1, 2.0, 90.0)}
+    for run in (
+        lambda n: requestlog.failure_streaks(log, chunk_rows=n).select("request_id", "streak"),
+        lambda n: requestlog.backoff_state(log, limits, "client", n).select("request_id", F.round("backoff_s", 6)),
+        lambda n: requestlog.request_gaps(log, limits, "client", n).select("request_id", "gap_s"),
+        lambda n: requestlog.sliding_rate(log, chunk_rows=n).select("request_id", "recent"),
+        lambda n: requestlog.sliding_rate(log, seconds=900, chunk_rows=n).select("request_id", "recent"),
+    ):
+        assert {tuple(r) for r in run(100).collect()} == {tuple(r) for r in run(10**6).collect()}
+
+
 def test_sliding_rate_across_hours(spark):
     rows = [(1, 3590), (2, 3595), (3, 3601), (4, 3655), (5, 3656), (6, 7300)]
     frame = spark.createDataFrame([(i, s, "a") for i, s in rows], "request_id long, s long, client string").select("request_id", "client", F.timestamp_seconds("s").alias("ts"))
