@@ -98,3 +98,44 @@ def test_near_duplicate_order_changes_no_result(spark, docs, small, monkeypatch)
     monkeypatch.setattr(near_copies, "SAMPLED", 1)
     kept = corpus_pipeline.near_duplicates(spark, docs, small)
     assert sorted(r["doc_id"] for r in kept.collect()) == brute_force_firsts({r["doc_id"]: r["text"] for r in docs.collect()})
+
+
+def test_close_pairs_of_a_task_connect_what_all_pairs_do():
+    import numpy as np
+
+    from sofralytics.llm import near_copies
+
+    random = np.random.default_rng(4)
+    sizes = [1, 2, 40, 90]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    held = []
+    for g, size in enumerate(sizes):
+        base = random.integers(0, 2**63, 60).astype(np.uint64)
+        for _ in range(size):
+            changed = base.copy()
+            changed[random.integers(0, 60, random.integers(0, 16))] = random.integers(0, 2**63)
+            held.append(np.unique(changed))
+            base = changed if random.random() < 0.5 else base  # similar sets drift apart
+    n = np.array([len(h) for h in held], np.int32)
+    sketch = np.frombuffer(b"".join(map(near_copies.parity, held)), np.uint64).reshape(len(held), -1)
+    fp = np.arange(len(held))
+    root = np.where(random.random(len(held)) < 0.3, group * 1000, fp + 10**6)
+    part = np.where(group == 3, fp % 2, -1)
+
+    def joined(forest):
+        pairs = [(int(a), int(b)) for x, y in near_copies.met(group, part, fp, root, n, sketch, forest) for a, b in zip(x, y)]
+        low = {(int(g), int(r)): (int(g), int(r)) for g, r in zip(group, root)}
+
+        def find(k):
+            while low[k] != k:
+                k = low[k]
+            return k
+
+        for a, b in pairs:
+            x, y = sorted((find((int(group[a]), int(root[a]))), find((int(group[b]), int(root[b])))))
+            low[y] = x
+        return pairs, [find(k) for k in low]
+
+    every, forest = joined(False), joined(True)
+    assert every[1] == forest[1] and set(forest[0]) <= set(every[0])
+    assert len(forest[0]) < min(len(held), len(every[0]))
