@@ -111,11 +111,16 @@ def venue_documents(venues: DataFrame, platforms: DataFrame, scores: DataFrame,
     return out
 
 
+def dish_key(dishes: DataFrame) -> Column:
+    """What a dish is looked up by: its canonical name where it has one, else its name, without case and accents."""
+    return search_key(F.coalesce("canonical_name", "name") if "canonical_name" in dishes.columns else F.col("name"))
+
+
 def dish_venues(dishes: DataFrame, scores: DataFrame, venues: DataFrame) -> DataFrame:
     """Active venues serving each dish; names are compared without case and accents."""
     served = scores.select("restaurant_id", "score", "review_count", search_key(F.col("food")).alias("_k"))
     place = venues.filter("is_active").select("restaurant_id", F.col("name").alias("venue"), "slug", "district")
-    asked = dishes.select("dish_id", F.col("name").alias("dish"), search_key(F.col("name")).alias("_k"))
+    asked = dishes.select("dish_id", F.col("name").alias("dish"), dish_key(dishes).alias("_k"))
     return served.join(place, "restaurant_id").join(asked, "_k").drop("_k")
 
 
@@ -137,7 +142,7 @@ def dish_stats(dishes: DataFrame, served: DataFrame) -> DataFrame:
 def dish_sentiment(dishes: DataFrame, mentions: DataFrame) -> DataFrame:
     """Label counts of each dish over all mentions, 0 when it is never mentioned."""
     counts = mentions.groupBy(search_key(F.col("food")).alias("_k")).agg(*label_counts(F.col("sentiment")))
-    rows = dishes.select("dish_id", "name", search_key(F.col("name")).alias("_k")).join(counts, "_k", "left")
+    rows = dishes.select("dish_id", "name", dish_key(dishes).alias("_k")).join(counts, "_k", "left")
     return rows.select("dish_id", "name", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", *LABELS)])
 
 
@@ -145,3 +150,23 @@ def best_venues(served: DataFrame, k: int = 20) -> DataFrame:
     """The k best scored venues of each dish."""
     order = Window.partitionBy("dish_id").orderBy(F.col("score").desc_nulls_first(), "restaurant_id")
     return served.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+
+def dish_by_slug(dishes: DataFrame, slug: str) -> DataFrame:
+    """The dish of a slug; none where it is unknown."""
+    return dishes.filter(F.col("slug") == slug)
+
+
+def dish_documents(dishes: DataFrame, scores: DataFrame, venues: DataFrame, mentions: DataFrame, k: int = 20) -> DataFrame:
+    """One row a dish: its own columns, ``venues`` (the k best, best first), ``stats`` over all venues and ``sentiment``.
+
+    The k best are found by rank before anything is gathered, so a dish that every venue serves stays a short row.
+    """
+    served = dish_venues(dishes, scores, venues)
+    entry = F.struct("position", "restaurant_id", "venue", "slug", "district", "score", "review_count")
+    best = best_venues(served, k).groupBy("dish_id").agg(F.array_sort(F.collect_list(entry)).alias("venues"))
+    stats = dish_stats(dishes, served).select(
+        "dish_id", F.struct("avg_score", "max_score", "min_score", "total_reviews", F.col("venues").alias("venue_count")).alias("stats")
+    )
+    felt = dish_sentiment(dishes, mentions).select("dish_id", F.struct("total", *LABELS).alias("sentiment"))
+    return dishes.join(best, "dish_id", "left").join(stats, "dish_id").join(felt, "dish_id")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from sofralytics.functions import fixed_values as fv
 from sofralytics.functions.geo import haversine_km, within_km
 from sofralytics.functions.text import search_key, trigram_similarity, trigrams, without_stopwords
+from sofralytics.operators.detail import dish_key
 
 Stemmer = Callable[[Column], Column]
 
@@ -231,7 +232,7 @@ def dish_venue_counts(dishes: DataFrame, scores: DataFrame) -> DataFrame:
         scores.select(search_key(F.col("food")).alias("_k"), "restaurant_id").distinct().groupBy("_k").agg(F.count("*").alias("_n"))
     )
     return (
-        dishes.withColumn("_k", search_key(F.col("name")))
+        dishes.withColumn("_k", dish_key(dishes))
         .join(counts, "_k", "left")
         .withColumn("restaurant_count", F.coalesce("_n", F.lit(0)).cast("long"))
         .drop("_k", "_n")
@@ -245,7 +246,8 @@ def suggest_dishes(queries: DataFrame, dishes: DataFrame, scores: DataFrame, k:
     similar = similar.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("dish_id"))
     by_word = lexeme_search(queries, dishes.select(F.col("dish_id").alias("doc_id"), F.col("name").alias("text")), stem)
     pairs = similar.unionByName(by_word.withColumnRenamed("doc_id", "dish_id")).distinct()
-    rows = pairs.join(queries, "query_id").join(dishes.select("dish_id", "name", "category"), "dish_id")
+    kept = [c for c in ("dish_id", "name", "canonical_name", "category") if c in dishes.columns]
+    rows = pairs.join(queries, "query_id").join(dishes.select(*kept), "dish_id")
     rows = rows.withColumn("similarity", trigram_similarity(trigrams(F.col("name")), trigrams(F.col("query"))))
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "dish_id")
     best = rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)

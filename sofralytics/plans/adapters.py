@@ -88,6 +88,14 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {part} GROUP BY lower(p_name)
         """,
     ),
+    "named_dishes_v": (
+        ("dishes_v",),
+        """
+        SELECT dish_id, CASE WHEN dish_id % 3 = 0 THEN concat('usta ', name) ELSE name END AS name,
+               CASE WHEN dish_id % 3 = 0 THEN name END AS canonical_name, replace(name, ' ', '-') AS slug, category
+        FROM {dishes_v}
+        """,
+    ),
     "bronze_venues_v": (
         ("supplier", "nation"),
         """

@@ -157,3 +157,28 @@ def dish_sentiment(t):
 def best_venues_per_dish(t):
     return detail.best_venues(_served(t)).select("dish_id", "restaurant_id", "score", "position")
 
+
+
+_BY_KEY = _SERVED.replace("JOIN dishes_v d ON d.name = s.food", "JOIN named_dishes_v d ON coalesce(d.canonical_name, d.name) = s.food")
+
+
+@query(
+    "dish_documents",
+    "named_dishes_v",
+    "venues_v",
+    "scores_v",
+    "mentions_v",
+    sql=f""", {_STATS.replace(_SERVED, _BY_KEY)},
+           ranked AS (SELECT *, row_number() OVER (PARTITION BY dish_id ORDER BY score DESC NULLS FIRST, restaurant_id) AS position FROM served),
+           lists AS (SELECT dish_id, string_agg(concat_ws('|', restaurant_id, venue, slug, district, coalesce(CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR), '-'), review_count), ';' ORDER BY position) AS venues
+             FROM ranked WHERE position <= 20 GROUP BY dish_id),
+           felt AS (SELECT dish_id, {_COUNTS} FROM named_dishes_v d JOIN mentions_v ON food = coalesce(canonical_name, name) GROUP BY dish_id)
+           SELECT d.dish_id, d.slug, d.name, d.category, l.venues, s.avg_score, s.max_score, s.min_score, coalesce(s.total_reviews, 0) AS total_reviews, coalesce(s.venues, 0) AS venue_count,
+             coalesce(f.total, 0) AS total, coalesce(f.positive, 0) AS positive, coalesce(f.negative, 0) AS negative, coalesce(f.neutral, 0) AS neutral
+           FROM named_dishes_v d LEFT JOIN lists l USING (dish_id) LEFT JOIN stats s USING (dish_id) LEFT JOIN felt f USING (dish_id)""",
+)
+def dish_documents(t):
+    """Dish documents, a third of the dishes known by a canonical name, with the whole list of venues spelt out."""
+    out = detail.dish_documents(t.named_dishes_v, scoring.score_dishes(t.mentions_v), t.venues_v, t.mentions_v)
+    line = lambda v: F.concat_ws("|", v["restaurant_id"], v["venue"], v["slug"], v["district"], F.coalesce(F.round(v["score"] * 100).cast("long").cast("string"), F.lit("-")), v["review_count"])
+    return out.select("dish_id", "slug", "name", "category", F.array_join(F.transform("venues", line), ";").alias("venues"), "stats.*", "sentiment.*")

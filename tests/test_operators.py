@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sofralytics.functions import similarity as sim
-from sofralytics.operators import dictionary, extract_html, ordered, places, requestlog, scoring, search, sentiment, similar
+from sofralytics.operators import detail, dictionary, extract_html, ordered, places, requestlog, scoring, search, sentiment, similar
 
 
 def test_dish_score_by_hand(spark):
@@ -247,6 +247,21 @@ def test_nearest_across_the_antimeridian_and_at_the_poles(spark):
         assert [got[(pid, i)][1] for i in (1, 2, 3)] == pytest.approx([r.distance_km for r in best], abs=1e-9)
 
 
+def test_dishes_are_looked_up_by_their_canonical_names(spark):
+    dishes = spark.createDataFrame([(1, "Acılı dürüm", "Adana Kebap", "acili-durum"), (2, "Ayran", None, "ayran"), (3, "Boza", None, "boza")], "dish_id long, name string, canonical_name string, slug string")
+    scores = spark.createDataFrame([(7, "adana kebap", 8.5, 4), (8, "Adana Kebap", 9.0, 2), (7, "ayran", 6.0, 3)], "restaurant_id long, food string, score double, review_count long")
+    venues = spark.createDataFrame([(7, "Deniz", "deniz", "Kadikoy", True), (8, "Koy", "koy", None, True)], "restaurant_id long, name string, slug string, district string, is_active boolean")
+    mentions = spark.createDataFrame([("ADANA KEBAP", "positive"), ("adana kebap", "negative"), ("ayran", "neutral")], "food string, sentiment string")
+    got = {r.slug: r for r in detail.dish_documents(dishes, scores, venues, mentions).collect()}
+    durum = got["acili-durum"]
+    assert [(v.venue, v.score) for v in durum.venues] == [("Koy", 9.0), ("Deniz", 8.5)] and durum.stats.avg_score == 8.75
+    assert tuple(durum.sentiment) == (2, 1, 1, 0) and got["ayran"].sentiment.neutral == 1
+    assert got["boza"].venues is None and (got["boza"].stats.venue_count, got["boza"].sentiment.total) == (0, 0)
+    counts = {r.dish_id: r.restaurant_count for r in search.dish_venue_counts(dishes, scores).collect()}
+    assert counts == {1: 2, 2: 1, 3: 0}
+    assert [r.dish_id for r in detail.dish_by_slug(dishes, "ayran").collect()] == [2] and detail.dish_by_slug(dishes, "x").isEmpty()
+
+
 def test_lexeme_search_and_stemming(spark):
     docs = spark.createDataFrame([(1, "Çiya Sofrası Kadıköy"), (2, "Kebapçılar Çarşısı"), (3, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "ciya KADIKOY"), (2, "kebapci"), (3, "ve")], "query_id long, query string")
