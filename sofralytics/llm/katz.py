@@ -1,6 +1,6 @@
 """Katz backoff language model of order two, and the log10 probability of every text.
 
-p(w | v) = d(c) c(v, w) / c(v) where the pair was seen ``MIN_COUNT`` times or more in training, else a(v) p(w).  d is the
+p(w | v) = d(c) c(v, w) / c(v) where the pair was seen in training, once is enough, else a(v) p(w).  d is the
 Good-Turing discount of counts up to ``TOP``; a(v) gives what the discounted pairs of v leave to the words not seen after
 v, so every distribution sums to one over the known words, the end and one unknown word.  p(w) is the Good-Turing
 discounted word distribution; its missing mass is the unknown word's.  Where all of a history's mass would be taken, half
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sofralytics.llm.common import arrow_rows, crc_mod, saved, scratch, setting, word_blocks
 
-MIN_COUNT, TOP, SMOOTH = 2, 5, 0.1
+TOP, SMOOTH = 5, 0.1
 STRETCH_TOKENS, STRETCH_DOCS, SHARD_TOKENS = 1_000_000, 60_000, 1_500_000
 PASSES = 2  # of look-ups, each over a part of the shards, so that no more than a part is shuffled at a time
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"  ")  # no word has a blank
@@ -88,6 +88,13 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
+def parts_of(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, start, end) of the runs of sorted shard numbers; shards that have no key cost nothing."""
+    names, starts = np.unique(shard, return_index=True)
+    ends = np.append(starts, len(shard))[1:]
+    return list(zip(names.tolist(), starts.tolist(), ends.tolist(), strict=True))
+
+
 def shard_column(key: Column, shards: int) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(shards).cast("bigint"), 32).cast("int")
 
@@ -125,8 +132,8 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def pair_counts(training: DataFrame, shards: int) -> DataFrame:
-    """(pair, first, second, c) of the pairs seen ``MIN_COUNT`` times; and for each c up to ``TOP`` + 1 a row with null
-    pair, c, and in ``first`` how many pairs have it."""
+    """(pair, first, second, c) of all pairs; and for each c up to ``TOP`` + 1 a row with null pair, c, and in ``first``
+    how many pairs have it."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found, sizes in stretches(batches, 0):
@@ -134,8 +141,7 @@ def pair_counts(training: DataFrame, shards: int) -> DataFrame:
             keys = pair_keys(before, found)
             keys, at, n = np.unique(keys, return_index=True, return_counts=True)
             first, second, shard = before[at], found[at], shard_of(keys, shards)
-            ends = np.searchsorted(shard, np.arange(shards + 1))
-            rows = [(s, a, b) for s, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+            rows = parts_of(shard)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([s for s, _, _ in rows], pa.int32()),
@@ -151,8 +157,7 @@ def pair_counts(training: DataFrame, shards: int) -> DataFrame:
         n = np.frombuffer(b"".join(group["n"]), dtype=np.int32)
         keys, at, back = np.unique(pair_keys(first, second), return_index=True, return_inverse=True)
         c = np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
-        kept = c >= MIN_COUNT
-        rows = pd.DataFrame({"pair": keys[kept].view(np.int64), "first": first[at][kept].view(np.int64), "second": second[at][kept].view(np.int64), "c": c[kept]})
+        rows = pd.DataFrame({"pair": keys.view(np.int64), "first": first[at].view(np.int64), "second": second[at].view(np.int64), "c": c})
         of = np.bincount(np.minimum(c, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
         sums = pd.DataFrame({"pair": pd.Series([None] * len(of), dtype="Int64"), "first": of.astype(np.int64), "second": np.zeros(len(of), np.int64), "c": np.arange(1, len(of) + 1)})
         return pd.concat([rows.astype({"pair": "Int64"}), sums], ignore_index=True)
@@ -161,15 +166,15 @@ def pair_counts(training: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(merge, "pair bigint, first bigint, second bigint, c bigint")
 
 
-def discounts(counts: dict[int, int], least: int) -> list[float]:
-    """Good-Turing discounts of counts ``least`` .. ``TOP``; half a count is taken off where they are no shares."""
+def discounts(counts: dict[int, int]) -> list[float]:
+    """Good-Turing discounts of counts 1 .. ``TOP``; half a count is taken off where they are no shares."""
     n = [float(counts.get(r, 0)) for r in range(TOP + 2)]
     out = []
     common = (TOP + 1) * n[TOP + 1] / n[1] if n[1] else 1.0
     for r in range(1, TOP + 1):
         d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else -1.0
         out.append(d if 0 < d < 1 else 1 - 0.5 / r)
-    return [0.0 if r < least else d for r, d in enumerate(out, 1)]
+    return out
 
 
 def discounted(c: Column, d: list[float]) -> Column:
@@ -200,11 +205,11 @@ def _train(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Mode
         shards = max(8, n // SHARD_TOKENS)
         pairs = keep(pair_counts(training, shards), "pairs")
     of_words = {r["r"]: r["types"] for r in classes}
-    d1 = discounts(of_words, 1)
+    d1 = discounts(of_words)
     held = sum((d1[r["r"] - 1] if r["r"] <= TOP else 1.0) * r["c"] for r in classes)  # discounted tokens
     unknown = max(1 - held / n, 0.5 / (n + 1)) if n else 1.0
     of_pairs = {r["c"]: r["n"] for r in pairs.where("pair IS NULL").groupBy("c").agg(F.sum("first").alias("n")).collect()}
-    d2 = discounts(of_pairs, MIN_COUNT)
+    d2 = discounts(of_pairs)
     p = F.lit(1 - unknown) * discounted(F.col("c"), d1) / F.lit(held or 1.0)
     listed = words.select("word", "c", p.alias("p"))
     starts = docs.where(~held_out(F.col("doc_id"))).count()
@@ -251,17 +256,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             fresh = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]))
             times = np.diff(np.append(fresh, len(keys)))
             keys, owner = keys[fresh], owner[fresh]
-            shard = shard_of(keys, shards)
-            ends = np.searchsorted(shard, np.arange(shards + 1))
             names, ids, of, n = [], [], [], []
-            for s, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-                if b > a:
-                    own = keys[a:b]
-                    head = np.concatenate([[True], own[1:] != own[:-1]])
-                    names.append(s)
-                    ids.append(packed(own[head]))
-                    of.append(np.add.reduceat(np.ones(b - a, np.int32), np.flatnonzero(head)).astype(np.int32).tobytes())
-                    n.append(owner[a:b].tobytes() + times[a:b].astype(np.int32).tobytes())
+            for s, a, b in parts_of(shard_of(keys, shards)):
+                own = keys[a:b]
+                head = np.concatenate([[True], own[1:] != own[:-1]])
+                names.append(s)
+                ids.append(packed(own[head]))
+                of.append(np.add.reduceat(np.ones(b - a, np.int32), np.flatnonzero(head)).astype(np.int32).tobytes())
+                n.append(owner[a:b].tobytes() + times[a:b].astype(np.int32).tobytes())
             yield _row_batch(shard=pa.array(names, pa.int32()), stretch=pa.array([stretch] * len(names), pa.int64()), keys=pa.array(ids, pa.binary()), docs=pa.array(of, pa.binary()), owners=pa.array(n, pa.binary()), n=pa.nulls(len(names), pa.int32()))
             at = 0
             for batch in rows if part == 0 else ():

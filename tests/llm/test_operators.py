@@ -175,13 +175,13 @@ def test_katz_equals_plain_model(spark, texts, monkeypatch):
         words.update(w)
         pairs.update(zip([0, *w[:-1]], w, strict=True))
     n, types = sum(words.values()), len(words)
-    d1, d2 = katz.discounts(Counter(words.values()), 1), katz.discounts(Counter(pairs.values()), 2)
+    d1, d2 = katz.discounts(Counter(words.values())), katz.discounts(Counter(pairs.values()))
     off = lambda c, d: (d[c - 1] if c <= katz.TOP else 1) * c
     held = sum(off(c, d1) for c in words.values())
     unknown = max(1 - held / n, 0.5 / (n + 1))
     p = {w: (1 - unknown) * off(c, d1) / held for w, c in words.items()}
     of = lambda a: words[a] if a != 0 else len(train)
-    q = {k: off(c, d2) / of(k[0]) for k, c in pairs.items() if c >= 2}
+    q = {k: off(c, d2) / of(k[0]) for k, c in pairs.items()}
     q_sum, p_sum = Counter(), Counter()
     for (a, b), x in q.items():
         q_sum[a] += x
@@ -200,6 +200,11 @@ def test_katz_equals_plain_model(spark, texts, monkeypatch):
     assert sum(r["score"] for r in apart) > sum(r["base_score"] for r in apart)
 
 
+def test_katz_parts():
+    assert katz.parts_of(np.array([2, 2, 5, 9, 9, 9], np.int32)) == [(2, 0, 2), (5, 2, 3), (9, 3, 6)]
+    assert katz.parts_of(np.empty(0, np.int32)) == []
+
+
 def test_katz_key_packing():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert np.array_equal(katz.unpacked(katz.packed(keys)), keys) and np.array_equal(katz.unpacked(katz.packed(keys[:1])), keys[:1])
