@@ -36,6 +36,7 @@ from sofralytics.llm.common import arrow_rows, crc_mod, saved, scratch, setting,
 
 TOP, SMOOTH = 5, 0.1
 STRETCH_TOKENS, STRETCH_DOCS, SHARD_TOKENS = 1_000_000, 60_000, 1_500_000
+PARTS = 4  # of the histories, whose rows of the model are made one part after the other, so that only a part is shuffled
 PASSES = 2  # of look-ups, each over a part of the shards, so that no more than a part is shuffled at a time
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"  ")  # no word has a blank
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -213,24 +214,34 @@ def _train(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Mode
     p = F.lit(1 - unknown) * discounted(F.col("c"), d1) / F.lit(held or 1.0)
     listed = words.select("word", "c", p.alias("p"))
     starts = docs.where(~held_out(F.col("doc_id"))).count()
-    before = listed.select(F.col("word").alias("first"), F.col("c").alias("c_first")).unionByName(
-        spark.range(1).select(F.lit(_signed(START)).alias("first"), F.lit(starts).cast("bigint").alias("c_first"))
-    )
-    seen = pairs.where("pair IS NOT NULL").join(before, "first").join(listed.select(F.col("word").alias("second"), F.col("p").alias("p_second")), "second")
-    seen = keep(seen.select("pair", "first", "c_first", "p_second", (discounted(F.col("c"), d2) / F.col("c_first")).alias("q")), "seen")
-    mass = seen.groupBy("first").agg(F.sum("q").alias("q_sum"), F.sum("p_second").alias("p_sum"), F.first("c_first").alias("c"))
-    most = 1 - 0.5 / (F.col("c") + 1)
-    scale = F.least(F.lit(1.0), most / F.col("q_sum"))
-    mass = keep(mass.select("first", scale.alias("scale"), F.log10((1 - F.col("q_sum") * scale) / F.greatest(1 - F.col("p_sum"), F.lit(unknown))).alias("backoff")), "backoff")
-    kept = seen.join(mass, "first").select(F.col("pair").alias("key"), F.lit(0).cast("bigint").alias("c"), (F.log10(F.col("q") * F.col("scale")) - F.col("backoff") - F.log10("p_second")).alias("gain"))
-    own = listed.join(mass, listed["word"] == mass["first"], "left").select(
-        F.col("word").alias("key"), "c", (F.log10("p") + F.coalesce("backoff", F.lit(0.0)) - F.lit(math.log10(unknown))).alias("gain")
-    )
-    start = mass.where(F.col("first") == _signed(START)).select(F.col("first").alias("key"), F.lit(0).cast("bigint").alias("c"), F.col("backoff").alias("gain"))
-    table = saved(kept.unionByName(own).unionByName(start), "model")
+    before = listed.select(F.col("word").alias("first"), "c").unionByName(spark.range(1).select(F.lit(_signed(START)).alias("first"), F.lit(starts).cast("bigint").alias("c")))
+    table = None
+    for part in range(PARTS):
+        of_part = F.pmod(F.col("first"), F.lit(PARTS).cast("bigint")) == part
+        rows = _of_histories(pairs.where(F.col("pair").isNotNull() & of_part), before.where(of_part), listed, d2, unknown)
+        table = rows if table is None else table.unionByName(rows)
     return Model(table, int(n), int(types), float(unknown), int(shards))
 
 
+def _of_histories(pairs: DataFrame, before: DataFrame, listed: DataFrame, d2: list[float], unknown: float) -> DataFrame:
+    """The model's rows of some histories (first, c): of themselves and of the pairs that they begin."""
+    with scratch(pairs.sparkSession) as keep:
+        second = listed.select(F.col("word").alias("second"), F.col("p").alias("p_second"))
+        seen = keep(pairs.join(second, "second").select("pair", "first", "p_second", discounted(F.col("c"), d2).alias("counted")), "seen")
+        sums = seen.groupBy("first").agg(F.sum("counted").alias("counted"), F.sum("p_second").alias("p_sum"))
+        mass = sums.join(before, "first").withColumn("q_sum", F.col("counted") / F.col("c"))
+        scale = F.least(F.lit(1.0), (1 - 0.5 / (F.col("c") + 1)) / F.col("q_sum"))
+        left = (1 - F.col("q_sum") * scale) / F.greatest(1 - F.col("p_sum"), F.lit(unknown))
+        mass = keep(mass.select("first", (scale / F.col("c")).alias("share"), F.log10(left).alias("backoff")), "backoff")
+        gain = F.log10(F.col("counted") * F.col("share")) - F.col("backoff") - F.log10("p_second")
+        kept = seen.join(mass, "first").select(F.col("pair").alias("key"), F.lit(0).cast("bigint").alias("c"), gain.alias("gain"))
+        known = before.join(mass, "first", "left").join(listed.select(F.col("word").alias("first"), "p"), "first", "left")
+        # the start is no word: it only has a backoff weight, and none where there is no document
+        gain = F.coalesce(F.log10("p") - F.lit(math.log10(unknown)), F.lit(0.0)) + F.coalesce("backoff", F.lit(0.0))
+        own = known.select(F.col("first").alias("key"), F.when(F.col("p").isNotNull(), F.col("c")).otherwise(0).cast("bigint").alias("c"), gain.alias("gain"))
+        return saved(kept.unionByName(own), "model")
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
