@@ -8,7 +8,7 @@ loss as well: the smallest difference between best and second-best way into a no
 
 A text starts with one blank more, as the vocabulary's marker wants it; a character without a piece is spelt by byte
 pieces, also the marker itself, so decoding gives every text back exactly.  Texts are whole; words seen lately are
-remembered by each worker, at most ``REMEMBERED`` of them.
+remembered by each worker, up to twice ``REMEMBERED`` characters of them, but no word of over ``LONG`` characters.
 
 Null and empty texts have no pieces, score 0 and no alternatives.  Equal scores are ordered by the search, alike on every
 run; repeated rows give equal results; an empty table gives an empty table; other columns pass through, but those named
@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 from itertools import chain, count
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-REMEMBERED = 500_000
+REMEMBERED, LONG = 4_000_000, 200  # characters of remembered words; a longer word is never remembered
 _ENCODERS: dict[tuple[str, int], Encoder] = {}  # of this worker process; a worker serves many tasks
 OUTPUTS = "n_pieces int, score double, ids array<int>, alternatives array<struct<score:double,changes:array<struct<start:int,size:int,ids:array<int>>>>>, round_trip boolean"
 _ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
@@ -85,12 +86,14 @@ class Word:
 
 
 class Encoder:
-    """Segments words and keeps the last ``REMEMBERED`` to twice as many of them."""
+    """Segments words and keeps the last of them: ``REMEMBERED`` characters to twice as many."""
 
     def __init__(self, vocabulary: Vocabulary, n_best: int):
         self.vocabulary, self.n_best = vocabulary, n_best
         self.words: dict[str, Word] = {}
         self.older: dict[str, Word] = {}
+        self.held = 0  # characters of ``words``
+        self.longest = max(map(len, vocabulary.known), default=1)
         # a tree of characters: children, and ids and score of the piece that ends here
         self.root: list = [{}, None]
         for piece, entry in vocabulary.known.items():
@@ -108,25 +111,16 @@ class Encoder:
             _ENCODERS[key] = Encoder(vocabulary, n_best)
         return _ENCODERS[key]
 
-    def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each place the pieces that start there: (end, ids, score)."""
-        known, size = self.vocabulary.known, len(word)
-        out: list[list[tuple[int, tuple[int, ...], float]]] = []
-        for i in range(size):
-            here, end, single = [], i + 1, False
-            while end <= size:
-                sub = word[i:end]
-                if sub not in known:
-                    break
-                if (entry := known[sub]) is not None:
-                    here.append((end, (entry[0],), entry[1]))
-                    single |= end == i + 1
-                end += 1
-            if not single:
-                spelt = self.spelt(word[i])
-                here.append((i + 1, spelt, sum(self.vocabulary.scores[b] for b in spelt)))
-            out.append(here)
-        return out
+    def arcs_into(self, word: str, at: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
+        """The pieces that end at a place: (start, ids, score)."""
+        known, single = self.vocabulary.known, False
+        for i in range(at - 1, max(at - self.longest, 0) - 1, -1):
+            if (entry := known.get(word[i:at])) is not None:
+                yield i, (entry[0],), entry[1]
+                single |= i == at - 1
+        if not single:
+            spelt = self.spelt(word[at - 1])
+            yield at - 1, spelt, sum(self.vocabulary.scores[b] for b in spelt)
 
     def forward(self, word: str) -> tuple[list[float], list[float], list]:
         """Best and second-best score of each place, and the best arc into it."""
@@ -134,7 +128,7 @@ class Encoder:
         best, second, back = [0.0] + [low] * size, [low] * (size + 1), [None] * (size + 1)
         for i in range(size):
             base, end, node, single = best[i], i, root, False
-            for c in word[i:]:
+            for c in word[i : i + self.longest]:
                 node = node[0].get(c)
                 if node is None:
                     break
@@ -166,43 +160,55 @@ class Encoder:
     def word(self, text: str) -> Word:
         found = self.words.get(text)
         if found is None:
-            if len(self.words) >= REMEMBERED:
-                self.older, self.words = self.words, {}
-            if (found := self.older.get(text)) is not None:
-                self.words[text] = found
-                return found
+            if len(text) <= LONG and (found := self.older.get(text)) is not None:
+                return self.remember(text, found)
             best, second, back = self.forward(text)
             parts, at, loss = [], len(text), np.inf
             while at:
                 loss = min(loss, best[at] - second[at])
                 at, ids = back[at][0], back[at][1]
                 parts.append(ids)
-            found = self.words[text] = Word(tuple(x for p in reversed(parts) for x in p), best[-1], loss)
+            found = Word(tuple(x for p in reversed(parts) for x in p), best[-1], loss)
+            if len(text) <= LONG:
+                self.remember(text, found)
         return found
 
-    def others(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
-        """(loss, ids) of the next n_best - 1 paths: A-star from the end, led by the forward scores."""
-        word = self.word(text)
+    def remember(self, text: str, found: Word) -> Word:
+        if self.held >= REMEMBERED:
+            self.older, self.words, self.held = self.words, {}, 0
+        self.words[text] = found
+        self.held += len(text)
+        return found
+
+    def others(self, text: str, word: Word) -> list[tuple[float, tuple[int, ...]]]:
+        """(loss, ids) of the next n_best - 1 paths: A-star from the end, led by the forward scores.
+
+        A node is a partial path and what it has lost against the best one; its best arc loses nothing, so it is followed
+        to the start at once.  Each other arc on the way is one more path, and only those below the losses of ``n_best``
+        paths known so far are kept: the work is linear in the text's length, ties included.
+        """
         if word._others is None:
-            arcs = self.arcs(text)
-            best, _, _ = self.forward(text)
-            into: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(text) + 1)]
-            for i, here in enumerate(arcs):
-                for end, ids, score in here:
-                    into[end].append((i, ids, score))
+            best, second, back = self.forward(text)
             tick, out = count(), []
-            heap = [(-best[-1], next(tick), len(text), 0.0, ())]
+            known = [0.0]  # the least losses of paths known so far, sorted
+            heap = [(0.0, next(tick), len(text), ())]
             while heap and len(out) < self.n_best:
-                rank, _, at, done, tail = heapq.heappop(heap)
-                if at == 0:
-                    ids, node = [], tail
-                    while node:
-                        ids.extend(node[0])
-                        node = node[1]
-                    out.append((word.score + rank, tuple(ids)))
-                    continue
-                for i, ids, score in into[at]:
-                    heapq.heappush(heap, (-(best[i] + score + done), next(tick), i, score + done, (ids, tail)))
+                loss, _, at, tail = heapq.heappop(heap)
+                while at:
+                    bound = known[-1] if len(known) == self.n_best else np.inf
+                    if loss + (best[at] - second[at]) < bound:
+                        for i, ids, score in self.arcs_into(text, at):
+                            more = loss + (best[at] - (best[i] + score))
+                            if (i, ids) != back[at] and (len(known) < self.n_best or more < known[-1]):
+                                insort(known, more)
+                                del known[self.n_best :]
+                                heapq.heappush(heap, (more, next(tick), i, (ids, tail)))
+                    at, tail = back[at][0], (back[at][1], tail)
+                ids = []
+                while tail:
+                    ids.extend(tail[0])
+                    tail = tail[1]
+                out.append((loss, tuple(ids)))
             word._others = [x for x in out if x[1] != word.ids][: self.n_best - 1]
         return word._others
 
@@ -225,7 +231,7 @@ class Encoder:
         starts = {k: sum(map(len, pieces[:k])) for k in near.tolist()}
         paths: list[tuple[float, tuple]] = [(0.0, ())]
         for k in starts:
-            more = [(loss + extra, (*made, (starts[k], len(pieces[k]), new))) for loss, made in paths for extra, new in self.others(parts[k])]
+            more = [(loss + extra, (*made, (starts[k], len(pieces[k]), new))) for loss, made in paths for extra, new in self.others(parts[k], words[k])]
             paths = heapq.nsmallest(self.n_best, paths + more)
         alternatives = [
             {"score": score - loss, "changes": [{"start": a, "size": n, "ids": list(new)} for a, n, new in sorted(made)]} for loss, made in paths if made

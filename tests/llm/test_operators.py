@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -210,6 +211,39 @@ def test_katz_key_packing():
     assert np.array_equal(katz.unpacked(katz.packed(keys)), keys) and np.array_equal(katz.unpacked(katz.packed(keys[:1])), keys[:1])
 
 
+def arcs(vocabulary, word):
+    """For each place of a word the pieces that start there: (end, ids, score)."""
+    out = []
+    for i in range(len(word)):
+        found = [(end, vocabulary.known.get(word[i:end])) for end in range(i + 1, len(word) + 1)]
+        here = [(end, (entry[0],), entry[1]) for end, entry in found if entry]
+        if not here or here[0][0] > i + 1:
+            spelt = tuple(vocabulary.byte_ids[b] for b in word[i].encode())
+            here.append((i + 1, spelt, sum(vocabulary.scores[b] for b in spelt)))
+        out.append(here)
+    return out
+
+
+@pytest.mark.parametrize("unit", ["a", "ACGT", "QmFzZTY0+/", "漢", "\u2603"])
+def test_long_unbroken_text(unit):
+    vocabulary = sentencepiece.Vocabulary.load(PIECES)
+    encoder = sentencepiece.Encoder(vocabulary, 4)
+    text = (unit * 160_000)[:160_000]
+    start = time.process_time()
+    ids, score, others = encoder.encode(text)
+    assert time.process_time() - start < 5
+    assert sentencepiece.decoded(vocabulary.bytes, ids) == text.encode() and not encoder.words
+    assert len(others) in (0, 3) and all(o["score"] <= score for o in others)
+    short = (unit * 12)[:12]  # all paths of a short one: ties give as many alternatives as there are paths
+    paths = {0: [0.0]}
+    for at, here in enumerate(arcs(vocabulary, " " + short)):
+        for end, _, s in here:
+            paths.setdefault(end, []).extend(x + s for x in paths[at])
+    best, score, others = encoder.encode(short)
+    assert np.allclose([score, *(o["score"] for o in others)], sorted(paths[13], reverse=True)[:4])
+    assert len({tuple(map(str, o["changes"])) for o in others}) == len(others)
+
+
 def test_segmentations_equal_all_paths():
     vocabulary = sentencepiece.Vocabulary.load(PIECES)
     encoder = sentencepiece.Encoder(vocabulary, 4)
@@ -225,7 +259,7 @@ def test_segmentations_equal_all_paths():
                 for end, piece, s in arcs[at]:
                     walk(arcs, end, ids + piece, score + s)
 
-        walk(encoder.arcs(" " + text if text else ""), 0, (), 0.0)
+        walk(arcs(vocabulary, " " + text if text else ""), 0, (), 0.0)
         ids, score, others = encoder.encode(text)
         assert [score, *(o["score"] for o in others)] == sorted((s for s, _ in paths), reverse=True)[:4]
         assert sentencepiece.decoded(vocabulary.bytes, ids) == text.encode()
