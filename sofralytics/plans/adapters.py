@@ -5,6 +5,8 @@ Each view is one SQL text valid in Spark and in the checking engine, with ``{tab
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLE_NAMES = (
@@ -170,6 +172,11 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def for_spark(text: str) -> str:
+    """The text with divisors such as 1000.0 as doubles: Spark would divide them as exact decimals, the checking engine does not."""
+    return re.sub(r"(/ \d+\.\d+)(?![\w.])", r"\1D", text)
+
+
 class Tables:
     """Driver tables of one folder and the views over them; nothing is read until a plan runs."""
 
@@ -182,5 +189,5 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in VIEW_SQL:
             needs, text = VIEW_SQL[name]
-            return self.spark.sql(text, **{need: getattr(self, need) for need in needs})
+            return self.spark.sql(for_spark(text), **{need: getattr(self, need) for need in needs})
         raise AttributeError(name)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sofralytics.functions import text
 from sofralytics.operators import requestlog, similar
+from sofralytics.plans.adapters import VIEW_SQL, for_spark
 from sofralytics.sources import versions
 from sofralytics.streaming import incremental
 
@@ -40,3 +41,17 @@ def test_late_first_records_are_kept(spark, folder):
     for number, rows in enumerate([[("a", 100), ("a", 101)], [("b", 1), ("a", 2)], [("b", 5)]]):
         handle(spark.createDataFrame(rows, "k string, t long"), number)
     assert sorted(r["k"] for r in versions.earlier(spark, folder, 9).collect()) == ["a", "b"]
+
+
+def _made_venues(spark):
+    _, text = VIEW_SQL["venues_v"]
+    supplier = spark.range(1, 1001).select(F.col("id").alias("s_suppkey"), F.lit("S").alias("s_name"), F.lit(1).alias("s_nationkey"))
+    nation = spark.createDataFrame([(1, "N")], "n_nationkey int, n_name string")
+    return spark.sql(for_spark(text), supplier=supplier, nation=nation)
+
+
+def test_coordinates_are_divided_as_doubles(spark):
+    """As in the SQL, where 28.60 + 350 / 1000.0 is just above 28.95 and so outside a box that ends there."""
+    for r in _made_venues(spark).collect():
+        k = r["restaurant_id"]
+        assert (r["lat"], r["lng"]) == (40.8 + (k * 37 % 400) / 1000.0, 28.6 + (k * 53 % 550) / 1000.0)
