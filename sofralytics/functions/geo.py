@@ -14,7 +14,7 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     """Great-circle distance in kilometres; NULL when a coordinate is missing."""
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lng = F.sin(F.radians(lng2 - lng1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lng * half_lng
+    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * (half_lng * half_lng)
     return F.lit(2 * fv.EARTH_RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 

@@ -8,6 +8,7 @@ from sofralytics.functions import fixed_values as fv
 from sofralytics.functions import geo
 from sofralytics.functions.numeric import round_to
 from sofralytics.operators import places
+from sofralytics.plans.adapters import for_spark
 from sofralytics.plans.registry import query, rounded
 
 LAT, LNG = 41.0, 28.9
@@ -54,7 +55,7 @@ _POINTS = """SELECT c_custkey AS point_id, CAST(40.75 + (c_custkey * 29 % 500) /
              {rounded('km', 6)} AS distance_km FROM pairs QUALIFY rank <= 3""",
 )
 def nearest_venues_per_point(t):
-    points = t.spark.sql(_POINTS, customer=t.customer)
+    points = t.spark.sql(for_spark(_POINTS), customer=t.customer)
     out = places.nearest(points, t.venues_v.filter("is_active"), 3)
     return out.withColumn("distance_km", round_to(F.col("distance_km"), 6))
 
@@ -132,7 +133,7 @@ def _tile_sql(hot: int, levels: int) -> str:
 
 @query("adaptive_tiles", sql=_tile_sql(100, 6))
 def adaptive_tiles(t):
-    return places.tile(t.spark.sql(_TILE_POINTS, orders=t.orders), 100)
+    return places.tile(t.spark.sql(for_spark(_TILE_POINTS), orders=t.orders), 100)
 
 
 @query(

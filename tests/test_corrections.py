@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from sofralytics.functions import text
-from sofralytics.operators import requestlog, similar
+from sofralytics.operators import places, requestlog, similar
+from sofralytics.plans import place_queries
 from sofralytics.plans.adapters import VIEW_SQL, for_spark
 from sofralytics.sources import versions
 from sofralytics.streaming import incremental
@@ -55,3 +56,10 @@ def test_coordinates_are_divided_as_doubles(spark):
     for r in _made_venues(spark).collect():
         k = r["restaurant_id"]
         assert (r["lat"], r["lng"]) == (40.8 + (k * 37 % 400) / 1000.0, 28.6 + (k * 53 % 550) / 1000.0)
+
+
+def test_distances_tie_as_in_the_sql(spark):
+    """Two venues at the same distance in decimals; binary noise, and with it the order, is that of the SQL."""
+    points = spark.sql(for_spark(place_queries._POINTS), customer=spark.createDataFrame([(1087,)], "c_custkey long"))
+    near = places.nearest(points, _made_venues(spark).filter("is_active"), 3).orderBy("rank").collect()
+    assert [r["restaurant_id"] for r in near][1:] == [184, 984]
