@@ -20,7 +20,7 @@ from sofralytics.functions.similarity import (
 from sofralytics.functions.text import normalize
 from sofralytics.operators.dictionary import best_per_dish, candidates
 from sofralytics.operators.sizing import bounded, spread_by
-from sofralytics.session import ensure_checkpoint_dir
+from sofralytics.session import ensure_checkpoint_dir, written
 
 # Below this ratio two short different texts may share no character pair at all.
 LOWEST_BLOCKABLE = 76.0
@@ -261,9 +261,11 @@ def _leading(values: Column, needed: Column) -> Column:
     return F.slice(F.sort_array(values, asc=False), F.lit(1), F.greatest(F.lit(0), F.size(values) - needed + 1))
 
 
-def plausible_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+def plausible_pairs(texts: DataFrame, keys: DataFrame, threshold: float, near_only: bool = False) -> DataFrame:
     """(text, key) of all pairs whose weighted ratio may reach the threshold; texts and keys are distinct.
 
+    With ``near_only`` those of them whose lengths are less than 1.5 times apart.
+
     Texts meet keys in one equi-join on tagged index entries, each case with as few of them as its bound allows:
 
     * similar lengths: the leading pairs of both, of the whole texts and of their distinct words;
@@ -299,15 +301,17 @@ def plausible_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> Data
     resorted = lambda c, n: F.when(F.contains(c, F.lit(" ")), _leading(inner_grams(word_sort_key(c)), _window_needed(n, window / 0.95, True))).otherwise(none)
     own_window = F.concat(_leading(inner_grams(F.col("text")), _window_needed(F.col("lt"), window, True)), resorted(F.col("text"), F.col("lt")))
     inside_text = F.when(F.col("lt") * 3 <= longest * 2, _tagged(2, F.array_distinct(own_window))).otherwise(none)
-    t_entries = F.concat(_tagged(1, F.col("tg")), inside_text, leading("text", "tg", "lt", F.array), words(F.col("text")))
+    near_entries = [leading("text", "tg", "lt", F.array), words(F.col("text"))]
+    t_entries = F.concat(*near_entries) if near_only else F.concat(_tagged(1, F.col("tg")), inside_text, *near_entries)
     # Entries of the keys' own pairs, rarest first by how many keys have them.
     inner = d.select("key", "lk", F.explode(inner_grams(F.col("key"))).alias("g"))
     often = inner.groupBy("g").agg(F.count("*").alias("n"))
     ranked = inner.join(often, "g").groupBy("key", "lk").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("r"))
     rarest = F.slice("r", F.lit(1), F.greatest(F.lit(0), F.size("r") - _window_needed(F.col("lk"), window, True) + 1))
     rare = ranked.select("key", F.explode(_tagged(1, F.array_distinct(F.concat(rarest, resorted(F.col("key"), F.col("lk")))))).alias("e"))
-    others = d.select("key", F.explode(F.concat(_tagged(2, F.col("kg")), leading("key", "kg", "lk", partners), words(F.col("key")))).alias("e"))
-    k_index = rare.unionByName(others).join(d, "key").withColumn("lku", _set_length(F.col("key")))
+    near_entries = [leading("key", "kg", "lk", partners), words(F.col("key"))]
+    others = d.select("key", F.explode(F.concat(*near_entries) if near_only else F.concat(_tagged(2, F.col("kg")), *near_entries)).alias("e"))
+    k_index = (others if near_only else rare.unionByName(others)).join(d, "key").withColumn("lku", _set_length(F.col("key")))
 
     met = t.select("text", "lt", "tg", F.explode_outer(t_entries).alias("e")).join(bounded(k_index), "e")
     tag, lt, lk = F.substring("e", 1, 1), F.col("lt"), F.col("lk")
@@ -325,8 +329,8 @@ def plausible_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> Data
         .when(tag == "3", similar(lt, lk) | similar(_set_length(F.col("text")), F.col("lku")))
         .otherwise(close | (apart & F.lit(0.9 * 95.0 >= threshold - SLACK)))
     )
-    found = met.filter(keep).select("text", "key").distinct()
-    if threshold > 90.0:
+    found = met.filter(keep & close if near_only else keep).select("text", "key").distinct()
+    if near_only or threshold > 90.0:
         return found
     lettered = lambda f, c: f.select(c, F.explode(F.array_distinct(F.split(c, ""))).alias("g")).filter("g <> ''")
     single = lambda f, c: f.filter(F.length(c) == 1).select(c, F.col(c).alias("g"))
@@ -385,9 +389,9 @@ def _whole_score(threshold: float) -> Column:
     return F.when(known, F.when(F.contains(long, short), 90.0).when(common, 85.5).otherwise(0.0))
 
 
-def _fuzzy_pairs(texts: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+def _fuzzy_pairs(texts: DataFrame, keys: DataFrame, threshold: float, near_only: bool = False) -> DataFrame:
     """(text, key, score) with a weighted ratio of at least the threshold."""
-    pairs = plausible_pairs(texts, keys, threshold).withColumn("whole", _whole_score(threshold))
+    pairs = plausible_pairs(texts, keys, threshold, near_only).withColumn("whole", _whole_score(threshold))
     pairs = spread_by(pairs.filter("whole IS NULL OR whole > 0"), "text", "key")
     open_text = F.when(F.col("whole").isNull(), F.col("text"))
     scored = pairs.withColumn("score", F.coalesce("whole", weighted_ratio_udf(open_text, "key", F.lit(threshold - SLACK))))
@@ -409,6 +413,53 @@ def fuzzy_lookup(queries: DataFrame, lookup: DataFrame, column: str = "query", t
     return best.groupBy("text", "canonical").agg(F.max("score").alias("score"))
 
 
+CONTAINED = 90.0  # the weighted ratio of a text and a key inside it (or around it), with lengths 1.5 to 8 times apart
+
+
+def contained_keys(texts: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(text, key): for each text the first key (by ``key_order``) that it contains or that contains it, lengths 1.5 to 8 times apart.
+
+    Texts are distinct.  A key inside a text is met by its rarest character pair (a letter by itself), a text inside a key by
+    the stretches of the keys.
+    """
+    lt, lk = F.length("text"), F.length("key")
+    first = F.min_by("key", "key_order").alias("key"), F.min("key_order").alias("key_order")
+    pairs_of = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
+    keys = lookup.select("key", "key_order")
+    entries = keys.select("key", "key_order", F.explode(F.when(lk > 1, pairs_of(F.col("key"))).otherwise(F.array("key"))).alias("g"))
+    often = entries.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = entries.join(often, "g").groupBy("key", "key_order").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    # A letter reaches texts of up to eight characters only.
+    none = F.array().cast("array<string>")
+    own = F.concat(F.when(lt > 1, pairs_of(F.col("text"))).otherwise(none), F.when(lt <= 8, F.split("text", "")).otherwise(none))
+    met = texts.select("text", F.explode(F.array_distinct(own)).alias("g")).join(bounded(rarest), "g")
+    inside = met.filter((lt * 2 >= lk * 3) & (lt <= lk * 8) & F.contains("text", F.col("key")))
+    starts = keys.select("key", "key_order", F.explode(F.sequence(F.lit(1), lk)).alias("i"))
+    stretches = starts.select("key", "key_order", "i", F.explode(F.sequence(F.lit(1), lk - F.col("i") + 1)).alias("n"))
+    stretches = stretches.filter((lk >= F.col("n") * 1.5) & (lk <= F.col("n") * 8))
+    stretches = stretches.groupBy(F.call_function("substring", F.col("key"), F.col("i"), F.col("n")).alias("text")).agg(*first)
+    around = texts.select("text").join(bounded(stretches), "text")
+    return inside.select("text", "key", "key_order").unionByName(around).groupBy("text").agg(*first).select("text", "key")
+
+
+def best_keys(texts: DataFrame, lookup: DataFrame, threshold: float) -> DataFrame:
+    """(text, canonical, score): the most similar key of each distinct text, of equal scores the first by ``key_order``.
+
+    Lengths at least 1.5 times apart score ``CONTAINED`` at most.  So a text that contains a key, or lies in one, is compared
+    only with keys of similar length at that threshold; all pairs are looked for only where no key is contained.
+    """
+    keys = lookup.select("key")
+    if threshold <= CONTAINED:
+        inside = written(contained_keys(texts, lookup), "contained")
+        rest = texts.join(inside, "text", "left_anti")
+        pairs = _fuzzy_pairs(rest, keys, threshold).unionByName(_fuzzy_pairs(inside.select("text"), keys, CONTAINED, near_only=True))
+        pairs = pairs.unionByName(inside.withColumn("score", F.lit(CONTAINED)))
+    else:
+        pairs = _fuzzy_pairs(texts, keys, threshold)
+    best = F.min_by(F.struct("canonical", "score"), F.struct((-F.col("score")).alias("s"), F.col("key_order").alias("o")))
+    return pairs.join(bounded(lookup), "key").groupBy("text").agg(best.alias("b")).select("text", "b.*")
+
+
 def fuzzy_mentions(reviews: DataFrame, lookup: DataFrame, threshold: float = fv.FUZZY_DISH_THRESHOLD) -> DataFrame:
     """Dishes named in each review literally or misspelt, best match per dish.
 
@@ -422,14 +473,9 @@ def fuzzy_mentions(reviews: DataFrame, lookup: DataFrame, threshold: float = fv.
     open_runs = runs.join(bounded(lookup.select("key")), "key", "left_anti").filter(
         (F.length("candidate") >= 3) & ~F.col("candidate").isin(*fv.TURKISH_STOPWORDS)
     )
-    distinct = open_runs.select(F.col("key").alias("text")).distinct()
-    best = (
-        _fuzzy_pairs(distinct, lookup.select("key"), threshold)
-        .join(lookup, "key")
-        .groupBy("text")
-        .agg(F.min_by(F.struct("canonical", "score"), F.struct((-F.col("score")).alias("s"), F.col("key_order").alias("o"))).alias("b"))
-    )
+    distinct = written(open_runs.select(F.col("key").alias("text")).distinct(), "runs")
+    best = best_keys(distinct, lookup, threshold)
     loose = open_runs.join(best, F.col("key") == F.col("text")).select(
-        "review_id", "b.canonical", "position", F.col("candidate").alias("matched_text"), "b.score", F.lit("fuzzy").alias("method")
+        "review_id", "canonical", "position", F.col("candidate").alias("matched_text"), "score", F.lit("fuzzy").alias("method")
     )
     return best_per_dish(hits.unionByName(loose))

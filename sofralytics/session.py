@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans are written for.  AQE decides broadcast versus shuffle
 # from measured sizes, splits skewed join partitions and coalesces small ones.
@@ -46,3 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder and read from there by every later step."""
+    path = f"{ensure_checkpoint_dir(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -125,6 +125,25 @@ def test_fuzzy_pairs_equal_brute_force(spark, threshold):
         assert similar.plausible_pairs(texts, lookup, threshold).count() < 2 * len(got) + 0.02 * len(keys) * len(queries)
 
 
+@pytest.mark.parametrize("threshold", [50.0, 85.0, 95.0])
+def test_best_keys_equal_brute_force(spark, threshold):
+    """Also that a text with a key inside it is scored with keys of similar length only."""
+    keys = [*random.Random(2).sample(sorted({*_names(9, 25), *ODD_WORDS, "b", "abc", "kedeniz"} - {""}), 60), "ka", "a"]
+    keys = list(dict.fromkeys(keys))
+    queries = sorted({*_names(10, 25), *_names(9, 10), *ODD_WORDS, "e", "kaa", "denizke"} - {"", *keys})
+    rows = [(k, f"C{i}", (i, 0, 0)) for i, k in enumerate(keys)]
+    lookup = spark.createDataFrame(rows, "key string, canonical string, key_order struct<a:long,b:int,c:int>")
+    texts = spark.createDataFrame([(q,) for q in queries], "text string")
+    got = {r.text: (r.canonical, round(r.score, 6)) for r in similar.best_keys(texts, lookup, threshold).collect()}
+    scored = {q: max(((round(sim.weighted_ratio(q, k), 6), -i) for i, k in enumerate(keys))) for q in queries}
+    assert got == {q: (f"C{-i}", score) for q, (score, i) in scored.items() if score >= threshold}
+    inside = similar.contained_keys(texts, lookup)
+    by_hand = {q: [k for k in keys if (k in q or q in k) and 1.5 <= max(len(q), len(k)) / min(len(q), len(k)) <= 8] for q in queries}
+    assert {r.text: r.key for r in inside.collect()} == {q: found[0] for q, found in by_hand.items() if found}
+    near = similar.plausible_pairs(inside.select("text"), lookup.select("key"), 90.0, near_only=True)
+    assert near.count() < similar.plausible_pairs(texts, lookup.select("key"), 85.0).count() / 2
+
+
 def test_fuzzy_lookup_finds_a_longer_key_from_one_letter(spark):
     lookup = spark.createDataFrame([("ab", "Ab", (0, 0, 0)), ("xyz", "Xyz", (1, 0, 0))], "key string, canonical string, key_order struct<a:long,b:int,c:int>")
     asked = spark.createDataFrame([("a",)], "query string")
