@@ -113,55 +113,53 @@ def _longest_first(keywords) -> list[str]:
     return sorted((k.strip().lower() for k in keywords), key=len, reverse=True)
 
 
-def _beverage(name: Column, beverages) -> tuple[Column, Column]:
-    hit = first_contained(name, _longest_first(beverages))
-    single = ~F.contains(hit, F.lit(" "))
-    words = F.size(F.split(name, " "))
-    overridden = single & ((words >= 3) | contains_any(name, fv.FOOD_OVERRIDE_TERMS))
-    return hit, overridden
+def _once(value: Column, body) -> Column:
+    """``body`` of the value, which is bound to a lambda variable and so computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _overridden(name: Column, drink: Column) -> Column:
+    single = ~F.contains(drink, F.lit(" "))
+    return single & ((F.size(F.split(name, " ")) >= 3) | contains_any(name, fv.FOOD_OVERRIDE_TERMS))
 
 
 def classify_item(item: Column, beverages=fv.BEVERAGE_KEYWORDS, sides=fv.SIDE_ITEM_KEYWORDS) -> Column:
     """Struct (type, category, confidence): side item, beverage, or food."""
-    name = squeeze_lower(item)
-    side = first_contained(name, _longest_first(sides))
-    drink, overridden = _beverage(name, beverages)
 
     def made(kind, category, confidence):
         return F.struct(F.lit(kind).alias("type"), category.cast("string").alias("category"), F.lit(confidence).alias("confidence"))
 
     nothing = F.lit(None)
-    return (
-        F.when(side.isNotNull(), made(fv.ITEM_SIDE, side, 0.95))
-        .when(drink.isNotNull() & ~overridden, made(fv.ITEM_BEVERAGE, drink, 0.9))
-        .when(drink.isNotNull(), made(fv.ITEM_FOOD, nothing, 0.7))
-        .otherwise(made(fv.ITEM_FOOD, nothing, 0.6))
-    )
+
+    def drink_or_food(name, drink):
+        food = F.when(drink.isNull(), made(fv.ITEM_FOOD, nothing, 0.6))
+        return food.when(_overridden(name, drink), made(fv.ITEM_FOOD, nothing, 0.7)).otherwise(made(fv.ITEM_BEVERAGE, drink, 0.9))
+
+    def kind(name):
+        other = _once(first_contained(name, _longest_first(beverages)), lambda drink: drink_or_food(name, drink))
+        return _once(first_contained(name, _longest_first(sides)), lambda side: F.when(side.isNotNull(), made(fv.ITEM_SIDE, side, 0.95)).otherwise(other))
+
+    return _once(squeeze_lower(item), kind)
 
 
 def is_beverage(item: Column, beverages=fv.BEVERAGE_KEYWORDS) -> Column:
-    drink, overridden = _beverage(squeeze_lower(item), beverages)
-    return drink.isNotNull() & ~overridden
+    found = lambda name, drink: drink.isNotNull() & ~_overridden(name, drink)
+    return _once(squeeze_lower(item), lambda name: _once(first_contained(name, _longest_first(beverages)), lambda drink: F.coalesce(found(name, drink), F.lit(False))))
 
 
 def is_side_item(item: Column, sides=fv.SIDE_ITEM_KEYWORDS) -> Column:
-    return first_contained(squeeze_lower(item), _longest_first(sides)).isNotNull()
+    return _once(squeeze_lower(item), lambda name: first_contained(name, _longest_first(sides)).isNotNull())
 
 
 def menu_buckets(menus: DataFrame, items: str = "items") -> DataFrame:
     """Each menu's item array split into foods, beverages, side items and (always empty) unknown."""
-    kinds = F.transform(F.col(items), lambda i: F.struct(i.alias("item"), classify_item(i)["type"].alias("type")))
-    pick = lambda kind: F.transform(F.filter(F.col("_k"), lambda s: s["type"] == kind), lambda s: s["item"])
-    return (
-        menus.withColumn("_k", kinds)
-        .withColumns(
-            {
-                "foods": pick(fv.ITEM_FOOD), "beverages": pick(fv.ITEM_BEVERAGE), "side_items": pick(fv.ITEM_SIDE),
-                "unknown": F.array().cast("array<string>"),
-            }
-        )
-        .drop("_k")
-    )
+    typed = F.transform(F.col(items), lambda i: F.struct(i.alias("item"), classify_item(i)["type"].alias("type")))
+    pick = lambda kinds, kind: F.transform(F.filter(kinds, lambda s: s["type"] == kind), lambda s: s["item"])
+    names = {"foods": fv.ITEM_FOOD, "beverages": fv.ITEM_BEVERAGE, "side_items": fv.ITEM_SIDE}
+    # One value with all buckets, so that no bucket makes the plan classify the items again.
+    split = _once(typed, lambda kinds: F.struct(*[pick(kinds, kind).alias(name) for name, kind in names.items()]))
+    rows = spread(menus).withColumn("_k", split)
+    return rows.withColumns({**{name: F.col("_k")[name] for name in names}, "unknown": F.array().cast("array<string>")}).drop("_k")
 
 
 def extracted_dishes(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:

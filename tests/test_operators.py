@@ -53,6 +53,15 @@ DISHES = [(0, "Adana Kebap", ["adana"], "kebap", "guney"), (1, "Mercimek Çorbas
 DISH_SCHEMA = "load_position long, canonical string, aliases array<string>, category string, region string"
 
 
+def test_menu_items_are_classified_once(spark):
+    """The plan lower-cases an item once, not once for every keyword it is searched for."""
+    menus = spark.createDataFrame([(1, ["Adana Kebap", " AYRAN ", "Peçete", "çay", None]), (2, []), (3, None)], "m long, items array<string>")
+    got = dictionary.menu_buckets(menus)
+    rows = {r.m: (r.foods, r.beverages, r.side_items, r.unknown) for r in got.collect()}
+    assert rows == {1: (["Adana Kebap", None], [" AYRAN ", "çay"], ["Peçete"], []), 2: ([], [], [], []), 3: (None, None, None, [])}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(lower(") <= 1
+
+
 def test_exact_and_fuzzy_mentions(spark):
     entries = spark.createDataFrame(DISHES, DISH_SCHEMA)
     lookup = dictionary.lookup_table(entries)
