@@ -11,6 +11,7 @@ from sofralytics.functions.text import ascii_fold, contains_any, first_contained
 from sofralytics.operators.sizing import bounded, spread
 
 MAX_WORDS = 4
+PLACE_BITS = 40  # a position as one number: the words in a run above these bits, the first word below
 
 
 def lookup_table(dictionary: DataFrame) -> DataFrame:
@@ -54,7 +55,8 @@ def _key_form(run: Column) -> Column:
 def word_windows(reviews: DataFrame) -> DataFrame:
     """(review_id, start, run): the up to four words that begin at every word of the text."""
     rows = spread(reviews.select("review_id", "text")).select("review_id", tokens(F.col("text")).alias("w"))
-    runs = F.transform(F.col("w"), lambda word, i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(MAX_WORDS)), " "))
+    # Word by word, since a slice copies the whole array first; past the end there is null, which is left out.
+    runs = F.transform(F.col("w"), lambda word, i: F.concat_ws(" ", word, *[F.get(F.col("w"), i + k) for k in range(1, MAX_WORDS)]))
     return rows.select("review_id", F.posexplode(runs).alias("start", "run"))
 
 
@@ -87,24 +89,29 @@ def exact_mentions(reviews: DataFrame, lookup: DataFrame) -> DataFrame:
     shuffle on review and dish.
     """
     space = F.lit(" ")
-    keys = lookup.select(
-        "key", "canonical", F.split_part("key", space, F.lit(1)).alias("first"), F.size(F.split("key", " ")).alias("key_words")
-    )
-    run, key = F.col("run"), F.col("key")
-    odd = F.contains(run, F.lit("_"))
-    first = F.split_part(F.when(odd, normalize(run)).otherwise(run), space, F.lit(1))
+    first_word = lambda c: F.call_function("substring_index", c, space, F.lit(1))
+    keys = lookup.select("key", "canonical", first_word(F.col("key")).alias("first"), F.size(F.split("key", " ")).alias("key_words"))
+    run, key, odd = F.col("run"), F.col("key"), F.col("odd")
+    runs = word_windows(reviews).withColumn("odd", F.contains(run, F.lit("_")))
+    runs = runs.withColumn("first", first_word(F.when(odd, normalize(run)).otherwise(run)))
     # A run with an underscore may use more or fewer tokens than the key has words; take the longest.
     odd_length = F.array_max(
         F.filter(F.sequence(F.lit(1), F.size(F.split(run, " "))), lambda n: normalize(F.array_join(F.slice(F.split(run, " "), F.lit(1), n), " ")) == key)
     )
-    same = F.startswith(F.concat(run, space), F.concat(key, space))
+    # The cheap prefix test comes first; most keys with the same first word fail it.
+    same = F.startswith(run, key) & ((F.length(run) == F.length(key)) | F.startswith(run, F.concat(key, space)))
     words = F.when(odd, odd_length).when(same, F.col("key_words"))
-    hits = word_windows(reviews).withColumn("first", first).join(bounded(keys), "first").withColumn("n", words).filter("n IS NOT NULL")
+    hits = runs.join(bounded(keys), "first").withColumn("n", words).filter("n IS NOT NULL")
+    text = F.when(odd, F.call_function("substring_index", run, space, F.col("n"))).otherwise(key)
+    # Repeats of a text in a review are reduced to the earliest first: the position as one number keeps this a hash aggregation.
+    place = F.shiftleft(F.col("n").cast("long"), PLACE_BITS) + F.col("start")
+    earliest = hits.select("review_id", "canonical", text.alias("matched_text"), place.alias("place")).groupBy("review_id", "canonical", "matched_text")
+    earliest = earliest.agg(F.min("place").alias("place"))
+    start = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))
     return best_per_dish(
-        hits.select(
-            "review_id", "canonical", F.struct("n", "start").alias("position"),
-            F.call_function("substring_index", F.col("run"), F.lit(" "), F.col("n")).alias("matched_text"),
-            F.lit(100.0).alias("score"), F.lit("exact").alias("method"),
+        earliest.select(
+            "review_id", "canonical", F.struct(F.shiftright("place", PLACE_BITS).cast("int").alias("n"), start.cast("int").alias("start")).alias("position"),
+            "matched_text", F.lit(100.0).alias("score"), F.lit("exact").alias("method"),
         )
     )
 

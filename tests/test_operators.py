@@ -62,6 +62,22 @@ def test_menu_items_are_classified_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(lower(") <= 1
 
 
+def test_exact_hits_are_reduced_by_hash(spark):
+    """A word costs the same in a long text as in a short one, and repeats of a name are not sorted."""
+    lookup = dictionary.lookup_table(spark.createDataFrame(DISHES, DISH_SCHEMA))
+    text = "ayran " * 3000 + "Adana Kebap adana adana_kebap ayranlı adana kebapçı mercimek"
+    reviews = spark.createDataFrame([(1, text), (1, "adana__kebap"), (2, "_ayran_"), (3, "_")], "review_id long, text string")
+    found = dictionary.exact_mentions(reviews, lookup)
+    got = {(r.review_id, r.canonical): r.matched_text for r in found.collect()}
+    assert got == {(1, "Adana Kebap"): "adana__kebap", (1, "Mercimek Çorbası"): "mercimek", (1, "Ayran"): "ayran", (2, "Ayran"): "_ayran_"}
+    windows = dictionary.word_windows(reviews)
+    assert [r.run for r in windows.filter("review_id = 1 AND start >= 2998 AND start < 3001").orderBy("start").collect()] == [
+        "ayran ayran adana kebap", "ayran adana kebap adana", "adana kebap adana adana_kebap"
+    ]
+    assert "slice(" not in windows._jdf.queryExecution().optimizedPlan().toString()
+    assert "HashAggregate(keys=[review_id" in found._jdf.queryExecution().executedPlan().toString().replace("key=", "keys=").replace("SortAggregate", "")
+
+
 def test_exact_and_fuzzy_mentions(spark):
     entries = spark.createDataFrame(DISHES, DISH_SCHEMA)
     lookup = dictionary.lookup_table(entries)
