@@ -9,7 +9,7 @@ from sofralytics.operators import scoring
 from sofralytics.operators import sentiment as sent
 from sofralytics.plans.dictionary_queries import EXTRACTED, extracted
 from sofralytics.plans.registry import query, rounded, strings, stripped
-from sofralytics.session import ensure_checkpoint_dir
+from sofralytics.session import written
 
 # Words that do occur in the driver documents, used next to the built-in Turkish lists.
 POSITIVE = ("the", "les", "und", "tion", "ment")
@@ -150,8 +150,7 @@ MENTIONS = f"""{SENTIMENT}, {ASPECTS},
 
 
 def _mentions(t):
-    ensure_checkpoint_dir(t.spark)
-    dishes = extracted(t).checkpoint()
+    dishes = written(extracted(t), "dishes")
     return sent.mention_rows(dishes, _sentiment(t), sent.aspect_sentiment(_aspects(t, dishes), **WORDS))
 
 
