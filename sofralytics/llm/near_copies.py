@@ -9,7 +9,10 @@ Each set has a sketch: the parity of its hashes in ``PARITY`` classes.  Two sket
 have hashes apart, and similar sets have at most a ninth of all apart, so most candidates are dropped without their
 sets and none wrongly; what is left is compared hash by hash.
 
-Equal sets are one.  Under each index entry all sets are first compared with its smallest.  Then those of an entry that
+Equal sets are one.  SimHash links come first: sets whose fingerprints over the same five-word shingles are within
+``simhash.MAX_BITS`` bits are found by the deletion variants of ``op5_simhash``, one spanning forest a group, and kept
+where the sets are similar.  Four of 64 bits miss most pairs near the threshold, so an exact check over the index follows
+for what they leave apart.  Under each index entry all sets are first compared with its smallest.  Then those of an entry that
 are not connected yet are compared inside tasks, sketch against sketch: once a spanning forest of the pairs that pass
 leaves a task, so a large group of near copies gives few pairs; and, when these are compared hash by hash, once every pair
 that passes and is still not connected, so nothing is lost where a pair of the forest was not similar after all.  An
@@ -68,21 +71,23 @@ def parity(held: np.ndarray) -> bytes:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash`` (of the whole text, null as empty), ``fp``, the hash of the set, ``n`` and ``sketch`` of every row."""
+    """Of every row ``doc_id``, ``text_hash`` (of the whole text, null as empty), ``fp``, the hash of the set, ``n``, ``sketch`` and ``mark``, the SimHash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, sketches = [], [], []
+            fps, sizes, sketches, marks = [], [], [], []
             for t in batch.column(2).to_pylist():
                 held = shingles(t)
                 fps.append(xxhash.xxh64_intdigest(held.tobytes()))
                 sizes.append(len(held))
                 sketches.append(parity(held))
+                marks.append(simhash.fingerprint(t, WIDTH))
             columns = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", "n", "sketch"])
+            columns.append(pa.array(np.array(marks, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", "n", "sketch", "mark"])
 
-    return mapped(_texts(docs), run, f"doc_id {kind}, text_hash bigint, fp bigint, n int, sketch binary", "prints")
+    return mapped(_texts(docs), run, f"doc_id {kind}, text_hash bigint, fp bigint, n int, sketch binary, mark bigint", "prints")
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -189,7 +194,7 @@ def alike(pairs: DataFrame, docs: DataFrame, found: DataFrame, keep: Keep) -> Da
                 same.append(whole * common >= top * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    return mapped(_paired(pairs, sets, "held"), run, "a bigint, b bigint", "alike")
+    return mapped(_paired(pairs, sets, "held"), run, "a bigint, b bigint", "alike", rows=32)  # a row holds two whole sets
 
 
 def shared(docs: DataFrame, keep: Keep) -> DataFrame:
@@ -282,13 +287,28 @@ def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return to[label]
 
 
+def marked(found: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets that SimHash links: the first sets of linked fingerprints, and sets of one fingerprint with its first.
+
+    Texts of one set may repeat its shingles differently and so have several fingerprints; the smallest is the set's.
+    """
+    sets = found.groupBy("fp").agg(F.min("mark").alias("mark"))
+    first = saved(sets.groupBy("mark").agg(F.min("fp").alias("first")), "marks")
+    same = sets.join(first, "mark").where(F.col("fp") != F.col("first")).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = simhash.links(first.select(F.col("mark").alias("fp")))
+    for side in ("a", "b"):
+        near = near.join(first.select(F.col("mark").alias(side), F.col("first").alias(f"first_{side}")), side)
+    return same.unionByName(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b): links that connect the same sets as all similar pairs do."""
     with working(docs.sparkSession) as keep:
         sketches = keep(found.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
         index = shared(docs, keep)
         with working(docs.sparkSession) as brief:
-            tried = index.where(F.col("low") < F.col("fp")).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+            tried = index.where(F.col("low") < F.col("fp")).select(F.col("low").alias("a"), F.col("fp").alias("b"))
+            tried = tried.unionByName(marked(found)).distinct()
             edges = alike(close(tried, sketches, brief), docs, found, brief)
         for forest in (True, False):
             tree = simhash.components(edges)

@@ -92,6 +92,22 @@ def test_near_duplicate_stage_equals_brute_force_jaccard(spark, docs, small):
     assert 10_001 not in brute_force_firsts(texts)
 
 
+def test_near_duplicate_stage_links_by_simhash(spark, docs):
+    """SimHash finds copies with few words changed, and what it finds is tried whether or not an index entry is shared."""
+    from sofralytics.llm import near_copies, simhash
+
+    base = [f"w{i}" for i in range(1000)]
+    texts = {k: " ".join(f"x{k}" if i == 100 * k else w for i, w in enumerate(base)) for k in range(1, 6)} | {9: "other words in a row here"}
+    rows = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in texts.items()], docs.schema)
+    found = near_copies.prints(rows).select("doc_id", "fp", "mark").collect()
+    marks = {r["doc_id"]: r["mark"] % 2**64 for r in found}
+    assert marks == {k: simhash.fingerprint(t.encode(), 5) for k, t in texts.items()}
+    ids = {r["fp"]: r["doc_id"] for r in found}
+    pairs = {frozenset((ids[r["a"]], ids[r["b"]])) for r in near_copies.marked(near_copies.prints(rows)).collect()}
+    close = {frozenset((a, b)) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= simhash.MAX_BITS}
+    assert pairs and pairs <= close and set().union(*pairs) == set().union(*close)
+
+
 def test_near_duplicate_order_changes_no_result(spark, docs, small, monkeypatch):
     from sofralytics.llm import near_copies
 
