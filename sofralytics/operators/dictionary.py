@@ -81,28 +81,44 @@ def best_per_dish(matches: DataFrame) -> DataFrame:
     )
 
 
+def word_places(reviews: DataFrame) -> DataFrame:
+    """(review_id, start, spaced, w0 .. w3, m0 .. m3): every word of the text and the three after it, not joined to a string.
+
+    Where the text holds an underscore (``spaced``), which is part of a word but a space in a key, ``m0`` .. ``m3`` are
+    the same words in the form of keys, null where nothing is left.
+    """
+    underscore, none = F.contains("text", F.lit("_")), F.array().cast("array<string>")
+    rows = spread(reviews.select("review_id", "text")).select("review_id", underscore.alias("spaced"), tokens(F.col("text")).alias("w"))
+    rows = rows.withColumn("m", F.when(F.col("spaced"), F.transform("w", lambda word: F.nullif(normalize(word), F.lit("")))).otherwise(none))
+    # The words shifted once a text, so that no lambda runs and no array is copied for each word.
+    names = [f"{c}{k}" for c in "wm" for k in range(MAX_WORDS)]
+    rows = rows.select("review_id", "spaced", *[F.slice(name[0], F.lit(int(name[1]) + 1), F.size(name[0])).alias(name) for name in names])
+    return rows.select("review_id", "spaced", F.posexplode(F.arrays_zip(*names)).alias("start", "at")).select("review_id", "spaced", "start", *[F.col(f"at.{name}") for name in names])
+
+
 def exact_mentions(reviews: DataFrame, lookup: DataFrame) -> DataFrame:
     """Dishes named literally in each review, best match per dish.
 
     Every word of the text is joined to the keys that start with it, and the words after it are compared
-    in the join condition, so runs that match nothing are never built.  Only matched rows reach the
-    shuffle on review and dish.
+    with the key's in the join condition, so no run of words is built unless the text holds an underscore.
+    Only matched rows reach the shuffle on review and dish.  No lambda runs on words, so that they, the join
+    and the first aggregation are one compiled stage; its code must stay under the 8,000 bytes a method
+    that the JVM compiles (a test holds it there).
     """
-    space = F.lit(" ")
-    first_word = lambda c: F.call_function("substring_index", c, space, F.lit(1))
-    keys = lookup.select("key", "canonical", first_word(F.col("key")).alias("first"), F.size(F.split("key", " ")).alias("key_words"))
-    run, key, odd = F.col("run"), F.col("key"), F.col("odd")
-    runs = word_windows(reviews).withColumn("odd", F.contains(run, F.lit("_")))
-    runs = runs.withColumn("first", first_word(F.when(odd, normalize(run)).otherwise(run)))
+    first_word = lambda c: F.call_function("substring_index", c, F.lit(" "), F.lit(1))
+    of_key = F.split("key", " ")
+    keys = lookup.select("key", "canonical", first_word(F.col("key")).alias("first"), F.size(of_key).alias("key_words"), *[F.get(of_key, F.lit(k)).alias(f"k{k}") for k in range(1, MAX_WORDS)])
+    words, forms, key = [F.col(f"w{k}") for k in range(MAX_WORDS)], [F.col(f"m{k}") for k in range(MAX_WORDS)], F.col("key")
+    run = F.concat_ws(" ", *words)
+    odd = F.col("spaced") & F.contains(run, F.lit("_"))
+    runs = word_places(reviews).withColumn("first", F.when(odd, first_word(F.concat_ws(" ", *forms))).otherwise(F.col("w0")))
     # A run with an underscore may use more or fewer tokens than the key has words; take the longest.
-    odd_length = F.array_max(
-        F.filter(F.sequence(F.lit(1), F.size(F.split(run, " "))), lambda n: normalize(F.array_join(F.slice(F.split(run, " "), F.lit(1), n), " ")) == key)
-    )
-    # The cheap prefix test comes first; most keys with the same first word fail it.
-    same = F.startswith(run, key) & ((F.length(run) == F.length(key)) | F.startswith(run, F.concat(key, space)))
-    words = F.when(odd, odd_length).when(same, F.col("key_words"))
-    hits = runs.join(bounded(keys), "first").withColumn("n", words).filter("n IS NOT NULL")
-    text = F.when(odd, F.call_function("substring_index", run, space, F.col("n"))).otherwise(key)
+    odd_length = F.coalesce(*[F.when(words[n - 1].isNotNull() & (F.concat_ws(" ", *forms[:n]) == key), n) for n in range(MAX_WORDS, 0, -1)])
+    same = F.col("key_words") <= MAX_WORDS
+    for k in range(1, MAX_WORDS):
+        same &= F.col(f"k{k}").isNull() | F.coalesce(F.col(f"k{k}") == words[k], F.lit(False))
+    hits = runs.join(bounded(keys), "first").withColumn("n", F.when(odd, odd_length).when(same, F.col("key_words"))).filter("n IS NOT NULL")
+    text = F.when(odd, F.call_function("substring_index", run, F.lit(" "), F.col("n"))).otherwise(key)
     # Repeats of a text in a review are reduced to the earliest first: the position as one number keeps this a hash aggregation.
     place = F.shiftleft(F.col("n").cast("long"), PLACE_BITS) + F.col("start")
     earliest = hits.select("review_id", "canonical", text.alias("matched_text"), place.alias("place")).groupBy("review_id", "canonical", "matched_text")

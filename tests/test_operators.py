@@ -1,6 +1,7 @@
 """Hand-computed fixtures and brute-force comparisons."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -78,6 +79,36 @@ def test_exact_hits_are_reduced_by_hash(spark):
     assert "HashAggregate(keys=[review_id" in found._jdf.queryExecution().executedPlan().toString().replace("key=", "keys=").replace("SortAggregate", "")
 
 
+def test_exact_hits_are_one_compiled_stage(spark, capsys):
+    """Words, join and first aggregation are compiled together, in methods short enough for the JVM; runs with underscores as by hand."""
+    lookup = dictionary.lookup_table(spark.createDataFrame(DISHES, DISH_SCHEMA))
+    keys = {r["key"]: r["canonical"] for r in lookup.collect()}
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["adana", "kebap", "kebap_", "_", "adana_kebap", "ayran", "mercimek", "çorbası", "__corbasi", "Kebap"]) for _ in range(rng.randrange(9))) for _ in range(300)]
+    reviews = spark.createDataFrame(list(enumerate(texts)), "review_id long, text string")
+    found = dictionary.exact_mentions(reviews, lookup)
+    expected = {}
+    for i, words in enumerate(t.lower().split() for t in texts):
+        for n in range(1, 5):
+            for start in range(len(words) - n + 1):
+                run = " ".join(words[start : start + n])
+                name = keys.get(" ".join(run.replace("_", " ").split()))
+                if name and len(run) > len(expected.get((i, name), "")):
+                    expected[i, name] = run
+    assert {(r.review_id, r.canonical): r.matched_text for r in found.collect()} == expected and len(expected) > 300
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        capsys.readouterr()
+        dictionary.exact_mentions(reviews, lookup).explain("codegen")
+        stages = capsys.readouterr().out.split("== Subtree ")[1:]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    plans = [s.split("Generated code")[0] for s in stages]
+    assert any("Generate posexplode" in p and "BroadcastHashJoin" in p and "HashAggregate" in p for p in plans)
+    assert all(int(size) < 8000 for s in stages for size in re.findall(r"maxMethodCodeSize:(\d+)", s))
+
+
 def test_exact_and_fuzzy_mentions(spark):
     entries = spark.createDataFrame(DISHES, DISH_SCHEMA)
     lookup = dictionary.lookup_table(entries)
