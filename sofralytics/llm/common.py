@@ -63,14 +63,20 @@ def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A function that writes rows as a table of the shared warehouse; its tables are dropped at the end of the block."""
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """A function that writes rows as a table of the shared warehouse; its tables are dropped at the end of the block.
+
+    With a column the table is bucketed by it, so that later groups of that column are read without a shuffle.
+    """
     names: list[str] = []
 
-    def keep(frame: DataFrame, name: str) -> DataFrame:
+    def keep(frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
         names.append(f"scratch_{name}_{uuid.uuid4().hex}")
+        writer = frame.write.format("parquet")
+        if by:
+            writer = writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
         with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            frame.write.format("parquet").saveAsTable(names[-1])
+            writer.saveAsTable(names[-1])
         return spark.table(names[-1])
 
     try:

@@ -7,37 +7,42 @@ discounted word distribution; its missing mass is the unknown word's.  Where all
 a count is kept back for backoff.
 
 Counting and look-up work on packed keys, since a corpus has about as many distinct pairs as words: a task turns a
-stretch of documents into 64-bit word hashes, sorts them, and sends each shard of the key space one binary row.  Shards
-are ranges of uniformly hashed *pairs*, so a frequent word or pair is one key among many and no shard is hot; their number
-grows with the corpus.  The model is two tables: pairs, and words with their backoff weights, joined by Spark.  To score,
-shards meet the model's rows of their range, and send back sums for each stretch's documents:
-
-    score = sum over tokens of (log a(v) + log p(w)) + sum over seen pairs of (log p(w | v) - log a(v) - log p(w))
-
-Every step's rows are written; those that only later steps of the training need are dropped after it.  Null texts count as empty (they are one end); repeated rows are scored once each and null
-ids as empty ids; an empty training set leaves only the unknown word, with probability one; an empty table gives an empty
-table; other columns are ignored.
+stretch of documents into 64-bit word hashes once and writes them, as its distinct words and each token's place among
+them.  Every later step reads these rows.  A stretch sends each shard of the key space its distinct keys of words and
+pairs, six bytes each, and the shard answers with a byte or more of count for each key, in the order of the keys; so no
+pair is a row of its own, and no step sorts or joins pairs one by one.  Shards are ranges of uniformly hashed *keys*, so a
+frequent word or pair is one key among many and no shard is hot; their number grows with the corpus.
+
+Training: shards count the keys and name one stretch that has it the owner of each pair; stretches add up, for every
+history, the discounted counts and the seconds' probabilities of the pairs they own; shards add these up to a(v).  The
+model is a row a shard of words (count, share, backoff) and one of pairs (count).  Scoring asks the shards for these
+values and adds up the texts' tokens where the stretch is:
+
+    log10 p(w | v) = log10(d(c) c(v, w)) + log10 share(v)   if the pair was seen, else   log10 a(v) + log10 p(w)
+
+Every step's rows are written; those that only later steps need are dropped after it.  Null texts count as empty (they
+are one end); repeated rows are scored once each and null ids as empty ids; an empty training set leaves only the unknown
+word, with probability one; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sofralytics.llm.common import arrow_rows, crc_mod, saved, scratch, setting, word_blocks
 
 TOP, SMOOTH = 5, 0.1
 STRETCH_TOKENS, STRETCH_DOCS, SHARD_TOKENS = 1_000_000, 60_000, 1_500_000
-PARTS = 4  # of the histories, whose rows of the model are made one part after the other, so that only a part is shuffled
 PASSES = 2  # of look-ups, each over a part of the shards, so that no more than a part is shuffled at a time
+STATE_ROWS = 8  # stretches of some megabytes in an Arrow batch
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"  ")  # no word has a blank
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FOLDS = 10
@@ -60,14 +65,6 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def histories(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The word before each token; the start before each document's first."""
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = START
-    return before
-
-
 def stretches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
     """Runs of documents of about ``STRETCH_TOKENS`` tokens: their rows, all tokens, tokens of each document."""
     rows, found, total, docs = [], [], 0, 0
@@ -96,10 +93,6 @@ def parts_of(shard: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(names.tolist(), starts.tolist(), ends.tolist(), strict=True))
 
 
-def shard_column(key: Column, shards: int) -> Column:
-    return F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(shards).cast("bigint"), 32).cast("int")
-
-
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences of as many bytes as the largest needs, after that number and the first key."""
     steps = np.diff(keys)
@@ -121,50 +114,132 @@ def inputs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, c): training counts of word hashes, the end among them."""
+def small_counts(c: np.ndarray) -> bytes:
+    """How many, then a byte for each count, then those of 255 and more in full."""
+    return np.int64(len(c)).tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.int64).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found, _ in stretches(batches, 0):
-            words, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "c"])
 
-    return training.select("text").mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+def counts_of(data: bytes) -> np.ndarray:
+    size = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+    c = np.frombuffer(data, dtype=np.uint8, count=size, offset=8).astype(np.int64)
+    c[c == 255] = np.frombuffer(data, dtype=np.int64, offset=8 + size)
+    return c
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bytes, all the lowest bytes first; the highest compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 4), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T
+    return wide.reshape(-1).view("<u4").astype(np.int64)
+
 
+_STATE = "stretch bigint, tokens bigint, doc_id array<string>, held_out array<boolean>, sizes binary, words binary, width int, places binary"
 
-def pair_counts(training: DataFrame, shards: int) -> DataFrame:
-    """(pair, first, second, c) of all pairs; and for each c up to ``TOP`` + 1 a row with null pair, c, and in ``first``
-    how many pairs have it."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found, sizes in stretches(batches, 0):
-            before = histories(found, sizes)
-            keys = pair_keys(before, found)
-            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
-            first, second, shard = before[at], found[at], shard_of(keys, shards)
-            rows = parts_of(shard)
+def state_rows(docs: DataFrame) -> DataFrame:
+    """A row a stretch of the rows of ``inputs``: ids, tokens of each document, distinct words, each token's place among these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for i, (rows, found, sizes) in enumerate(stretches(batches, 2)):
+            words, at = np.unique(np.append(found, np.uint64(START)), return_inverse=True)
+            width = max(1, (len(words).bit_length() + 7) // 8)
+            ids, held = ([x for batch in rows for x in batch.column(k).to_pylist()] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([s for s, _, _ in rows], pa.int32()),
-                    pa.array([first[a:b].tobytes() for _, a, b in rows], pa.binary()),
-                    pa.array([second[a:b].tobytes() for _, a, b in rows], pa.binary()),
-                    pa.array([n[a:b].astype(np.int32).tobytes() for _, a, b in rows], pa.binary()),
+                    pa.array([(task << 32) + i], pa.int64()), pa.array([len(found)], pa.int64()), pa.array([ids], pa.list_(pa.string())), pa.array([held], pa.list_(pa.bool_())),
+                    pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), pa.array([packed(words)], pa.binary()), pa.array([width], pa.int32()), pa.array([planes(at[:-1], width)], pa.binary()),
                 ],
-                names=["shard", "first", "second", "n"],
+                names=[c.split()[0] for c in _STATE.split(", ")],
             )
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        first, second = (np.frombuffer(b"".join(group[c]), dtype=np.uint64) for c in ("first", "second"))
-        n = np.frombuffer(b"".join(group["n"]), dtype=np.int32)
-        keys, at, back = np.unique(pair_keys(first, second), return_index=True, return_inverse=True)
-        c = np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
-        rows = pd.DataFrame({"pair": keys.view(np.int64), "first": first[at].view(np.int64), "second": second[at].view(np.int64), "c": c})
-        of = np.bincount(np.minimum(c, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
-        sums = pd.DataFrame({"pair": pd.Series([None] * len(of), dtype="Int64"), "first": of.astype(np.int64), "second": np.zeros(len(of), np.int64), "c": np.arange(1, len(of) + 1)})
-        return pd.concat([rows.astype({"pair": "Int64"}), sums], ignore_index=True)
+    return docs.mapInArrow(run, _STATE)
+
+
+class Stretch:
+    """A row of ``state_rows``: sorted words, each token's word and the word before it (places among the words), sorted
+    distinct pairs, each token's pair, and a token that each pair stands at."""
 
-    sent = training.select("text").mapInArrow(send, "shard int, first binary, second binary, n binary")
-    return sent.groupBy("shard").applyInPandas(merge, "pair bigint, first bigint, second bigint, c bigint")
+    def __init__(self, row: dict):
+        self.id, self.doc_id, self.held_out = row["stretch"], row["doc_id"], row["held_out"]
+        self.sizes = np.frombuffer(row["sizes"], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words, self.at = unpacked(row["words"]), from_planes(row["places"], row["width"])
+        self.before = np.empty_like(self.at)
+        self.before[1:] = self.at[:-1]
+        self.before[self.starts] = np.searchsorted(self.words, np.uint64(START))
+        keys = pair_keys(self.words[self.before], self.words[self.at])
+        self.pairs, self.token, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+
+
+_SENT = "shard int, stretch bigint, kind int, keys binary, n binary"
+WORDS, PAIRS = 0, 1
+
+
+def sent_keys(state: DataFrame, shards: int, kinds: tuple[int, ...] = (WORDS, PAIRS), part: int | None = None, numbers: bool = True) -> DataFrame:
+    """(shard, stretch, kind, keys, n): each stretch's words and pairs of a shard and, with numbers, how often it has
+    them; with a part, the keys of that part of the shards only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                stretch, rows = Stretch(row), []
+                for kind in kinds:
+                    keys, used = (stretch.words, stretch.at) if kind == WORDS else (stretch.pairs, stretch.pair)
+                    n = np.bincount(used, minlength=len(keys)) if numbers else None
+                    for s, a, b in parts_of(shard_of(keys, shards)):
+                        if part is None or s % PASSES == part:
+                            rows.append((s, stretch.id, kind, packed(keys[a:b]), None if n is None else small_counts(n[a:b])))
+                yield _batch(_SENT, rows)
+
+    return state.select("stretch", F.lit(None).cast("array<string>").alias("doc_id"), F.lit(None).cast("array<boolean>").alias("held_out"), "sizes", "words", "width", "places").mapInArrow(run, _SENT)
+
+
+_COUNTED = "shard int, stretch bigint, kind int, keys binary, counts binary, mine binary, types array<bigint>, total bigint"
+
+
+def counted_keys(sent: DataFrame) -> DataFrame:
+    """For each shard and kind a row of its keys and their counts, with the number of keys that have each count up to
+    ``TOP`` + 1 and the sum; and a row for each stretch: the counts of its keys, and which of these it owns."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        out, found = [], group.to_pylist()
+        for kind in (WORDS, PAIRS):
+            rows = [r for r in found if r["kind"] == kind]
+            if not rows:
+                continue
+            parts = [unpacked(r["keys"]) for r in rows]
+            keys, at, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+            c = np.bincount(back, weights=np.concatenate([counts_of(r["n"]) for r in rows]), minlength=len(keys)).astype(np.int64)
+            own = np.zeros(len(back), bool)
+            own[at] = True
+            ends = np.cumsum([len(p) for p in parts]).tolist()
+            for r, part, end in zip(rows, parts, ends, strict=True):
+                a = end - len(part)
+                out.append((r["shard"], r["stretch"], kind, None, small_counts(c[back[a:end]]), np.packbits(own[a:end]).tobytes() if kind == PAIRS else None, None, None))
+            known = c > 0  # the start is sent with the words, but is none of them
+            types = np.bincount(np.minimum(c[known], TOP + 2), minlength=TOP + 3)
+            out.append((rows[0]["shard"], None, kind, packed(keys[known]) if known.any() else None, small_counts(c[known]), None, types.tolist(), int(c.sum())))
+        return pa.Table.from_batches([_batch(_COUNTED, out)])
+
+    return sent.groupBy("shard").applyInArrow(merge, _COUNTED)
+
+
+def answers(rows: list[dict], kind: int, column: str, read) -> np.ndarray:
+    """The shards' values for a stretch's sorted keys, in the order of the shards and so of the keys."""
+    return np.concatenate([read(r[column]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"])])
+
+
+def bits_of(data: bytes, size: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=size).astype(bool)
+
+
+def doubles(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.float64)
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -178,15 +253,30 @@ def discounts(counts: dict[int, int]) -> list[float]:
     return out
 
 
-def discounted(c: Column, d: list[float]) -> Column:
-    return F.when(c <= TOP, F.element_at(F.array(*[F.lit(x) for x in d]), F.least(c, F.lit(TOP)).cast("int")) * c).otherwise(c.cast("double"))
+def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return c * np.array([0.0, *d, 1.0])[np.minimum(c, TOP + 1)]
 
 
 class Model:
-    """``table``: (key, c, gain) of words, of the start and of pairs; the numbers that unknown words need."""
+    """A row a shard of words (keys, counts, log10 shares, log10 backoffs; the start among them, with no count) and one of
+    pairs (keys, counts); the numbers that the distributions need."""
+
+    def __init__(self, words: DataFrame, pairs: DataFrame, n: int, types: int, unknown: float, held: float, d1: list[float], d2: list[float], shards: int):
+        self.words, self.pairs, self.n, self.types, self.unknown, self.held, self.d1, self.d2, self.shards = words, pairs, n, types, unknown, held, d1, d2, shards
+
 
-    def __init__(self, table: DataFrame, n: int, types: int, unknown: float, shards: int):
-        self.table, self.n, self.types, self.unknown, self.shards = table, n, types, unknown, shards
+def word_share(c: np.ndarray, unknown: float, held: float, d1: list[float]) -> np.ndarray:
+    """p(w) of known words from their counts; 0 where there is no count."""
+    return (1 - unknown) * discounted(c, d1) / (held or 1.0)
+
+
+@contextmanager
+def reading_state(spark: SparkSession) -> Iterator[None]:
+    """Few rows of some megabytes at a time, in Parquet's reader as in Arrow's batches."""
+    with ExitStack() as stack:
+        stack.enter_context(arrow_rows(spark, STATE_ROWS))
+        stack.enter_context(setting(spark, "spark.sql.parquet.columnarReaderBatchSize", STATE_ROWS))
+        yield
 
 
 def train(docs: DataFrame) -> Model:
@@ -195,155 +285,148 @@ def train(docs: DataFrame) -> Model:
         return _train(docs, keep)
 
 
-def _train(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Model:
+def _train(docs: DataFrame, keep: Callable[..., DataFrame]) -> Model:
     spark = docs.sparkSession
-    training = inputs(docs).where(~F.col("held_out"))
     with arrow_rows(spark, 256):
-        words = keep(word_counts(training), "words")
-        near = F.when(F.col("c") <= TOP + 1, F.col("c")).otherwise(TOP + 2)
-        classes = words.groupBy(near.alias("r")).agg(F.count("*").alias("types"), F.sum("c").alias("c")).collect()  # at most TOP + 2 rows
-        n, types = sum(r["c"] for r in classes), sum(r["types"] for r in classes)
-        shards = max(8, n // SHARD_TOKENS)
-        pairs = keep(pair_counts(training, shards), "pairs")
-    of_words = {r["r"]: r["types"] for r in classes}
-    d1 = discounts(of_words)
-    held = sum((d1[r["r"] - 1] if r["r"] <= TOP else 1.0) * r["c"] for r in classes)  # discounted tokens
-    unknown = max(1 - held / n, 0.5 / (n + 1)) if n else 1.0
-    of_pairs = {r["c"]: r["n"] for r in pairs.where("pair IS NULL").groupBy("c").agg(F.sum("first").alias("n")).collect()}
-    d2 = discounts(of_pairs)
-    p = F.lit(1 - unknown) * discounted(F.col("c"), d1) / F.lit(held or 1.0)
-    listed = words.select("word", "c", p.alias("p"))
-    starts = docs.where(~held_out(F.col("doc_id"))).count()
-    before = listed.select(F.col("word").alias("first"), "c").unionByName(spark.range(1).select(F.lit(_signed(START)).alias("first"), F.lit(starts).cast("bigint").alias("c")))
-    table = None
-    for part in range(PARTS):
-        of_part = F.pmod(F.col("first"), F.lit(PARTS).cast("bigint")) == part
-        rows = _of_histories(pairs.where(F.col("pair").isNotNull() & of_part), before.where(of_part), listed, d2, unknown)
-        table = rows if table is None else table.unionByName(rows)
-    return Model(table, int(n), int(types), float(unknown), int(shards))
-
-
-def _of_histories(pairs: DataFrame, before: DataFrame, listed: DataFrame, d2: list[float], unknown: float) -> DataFrame:
-    """The model's rows of some histories (first, c): of themselves and of the pairs that they begin."""
-    with scratch(pairs.sparkSession) as keep:
-        second = listed.select(F.col("word").alias("second"), F.col("p").alias("p_second"))
-        seen = keep(pairs.join(second, "second").select("pair", "first", "p_second", discounted(F.col("c"), d2).alias("counted")), "seen")
-        sums = seen.groupBy("first").agg(F.sum("counted").alias("counted"), F.sum("p_second").alias("p_sum"))
-        mass = sums.join(before, "first").withColumn("q_sum", F.col("counted") / F.col("c"))
-        scale = F.least(F.lit(1.0), (1 - 0.5 / (F.col("c") + 1)) / F.col("q_sum"))
-        left = (1 - F.col("q_sum") * scale) / F.greatest(1 - F.col("p_sum"), F.lit(unknown))
-        mass = keep(mass.select("first", (scale / F.col("c")).alias("share"), F.log10(left).alias("backoff")), "backoff")
-        gain = F.log10(F.col("counted") * F.col("share")) - F.col("backoff") - F.log10("p_second")
-        kept = seen.join(mass, "first").select(F.col("pair").alias("key"), F.lit(0).cast("bigint").alias("c"), gain.alias("gain"))
-        known = before.join(mass, "first", "left").join(listed.select(F.col("word").alias("first"), "p"), "first", "left")
-        # the start is no word: it only has a backoff weight, and none where there is no document
-        gain = F.coalesce(F.log10("p") - F.lit(math.log10(unknown)), F.lit(0.0)) + F.coalesce("backoff", F.lit(0.0))
-        own = known.select(F.col("first").alias("key"), F.when(F.col("p").isNotNull(), F.col("c")).otherwise(0).cast("bigint").alias("c"), gain.alias("gain"))
-        return saved(kept.unionByName(own), "model")
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
+        state = keep(state_rows(inputs(docs).where(~F.col("held_out"))), "state", "stretch")
+    sizes = state.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size("doc_id")), F.lit(0)).alias("docs")).first()
+    shards, starts = max(8, sizes["n"] // SHARD_TOKENS), sizes["docs"]
+    with reading_state(spark):
+        # what the shards answer is left beside the model's rows: a byte a key
+        counted = saved(counted_keys(sent_keys(state, shards)), "counted")
+        per = counted.where("stretch IS NULL").select("kind", "total", F.posexplode("types").alias("r", "types")).groupBy("kind", "r")
+        per = per.agg(F.sum("types").alias("types"), F.sum("total").alias("total")).collect()  # at most 2 (TOP + 3) rows
+        of = {kind: {r["r"]: r["types"] for r in per if r["kind"] == kind} for kind in (WORDS, PAIRS)}
+        n, types = sizes["n"], sum(of[WORDS].values())
+        d1, d2 = discounts(of[WORDS]), discounts(of[PAIRS])
+        held = n - sum((1 - d1[r - 1]) * r * of[WORDS].get(r, 0) for r in range(1, TOP + 1))  # discounted tokens
+        unknown = max(1 - held / n, 0.5 / (n + 1)) if n else 1.0
+        sums = history_sums(state, counted, shards, unknown, held, d1, d2)
+        words = saved(model_words(sums, counted.where(F.col("stretch").isNull() & (F.col("kind") == WORDS)), starts, unknown), "words")
+    none = F.lit(None).cast("binary")
+    pairs = counted.where(F.col("stretch").isNull() & (F.col("kind") == PAIRS)).select("shard", "kind", "keys", "counts", none.alias("share"), none.alias("backoff"))
+    return Model(words, pairs, int(n), int(types), float(unknown), float(held), d1, d2, int(shards))
+
+
+_SUMS = "shard int, keys binary, counted binary, p_sum binary"
+
+
+def history_sums(state: DataFrame, counted: DataFrame, shards: int, unknown: float, held: float, d1: list[float], d2: list[float]) -> DataFrame:
+    """For each stretch and shard: the histories of the pairs that the stretch owns, their discounted counts, and the
+    probabilities of the words after them."""
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, rows = [], right.to_pylist()
+        for row in left.to_pylist():
+            stretch = Stretch(row)
+            p = word_share(answers(rows, WORDS, "counts", counts_of), unknown, held, d1)
+            c = answers(rows, PAIRS, "counts", counts_of)
+            parts = sorted((r for r in rows if r["kind"] == PAIRS), key=lambda r: r["shard"])
+            mine = np.concatenate([bits_of(r["mine"], int(np.frombuffer(r["counts"], dtype=np.int64, count=1)[0])) for r in parts])
+            token = stretch.token[mine]
+            first, second = stretch.before[token], stretch.at[token]
+            sums = [np.bincount(first, weights=w, minlength=len(stretch.words)) for w in (discounted(c[mine], d2), p[second])]
+            own = np.flatnonzero(np.bincount(first, minlength=len(stretch.words)))
+            keys, sums = stretch.words[own], [x[own] for x in sums]
+            out += [(s, packed(keys[a:b]), *[x[a:b].tobytes() for x in sums]) for s, a, b in parts_of(shard_of(keys, shards))]
+        return pa.Table.from_batches([_batch(_SUMS, out)])
+
+    replies = counted.where("stretch IS NOT NULL").select("stretch", "shard", "kind", "counts", "mine")
+    return state.groupBy("stretch").cogroup(replies.groupBy("stretch")).applyInArrow(add, _SUMS)
+
+
+_MODEL = "shard int, kind int, keys binary, counts binary, share binary, backoff binary"
+
+
+def model_words(sums: DataFrame, words: DataFrame, starts: int, unknown: float) -> DataFrame:
+    """The model's rows of words; a word that is no history has backoff 1."""
+
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        met, known = left.to_pylist(), [r for r in right.to_pylist() if r["keys"] is not None]
+        keys = np.concatenate([unpacked(r["keys"]) for r in known] or [np.empty(0, np.uint64)])
+        c = np.concatenate([counts_of(r["counts"]) for r in known] or [np.empty(0, np.int64)])
+        of = np.concatenate([unpacked(r["keys"]) for r in met] or [np.empty(0, np.uint64)])
+        every, back = np.unique(np.concatenate([keys, of]), return_inverse=True)
+        own, times = np.zeros(len(every), np.int64), np.where(every == np.uint64(START), starts, 0)
+        own[back[: len(keys)]] = c
+        times = np.maximum(times, own)
+        share, backoff = np.zeros(len(every)), np.zeros(len(every))
+        at = back[len(keys) :]
+        counted, p_sum = (np.bincount(at, weights=np.concatenate([doubles(r[x]) for r in met] or [np.empty(0)]), minlength=len(every)) for x in ("counted", "p_sum"))
+        is_history = counted > 0
+        t, q = times[is_history], counted[is_history] / times[is_history]
+        scale = np.minimum(1.0, (1 - 0.5 / (t + 1)) / q)
+        share[is_history] = np.log10(scale / t)
+        backoff[is_history] = np.log10((1 - q * scale) / np.maximum(1 - p_sum[is_history], unknown))
+        shard = (met or right.to_pylist())[0]["shard"]
+        rows = [(shard, WORDS, packed(every), small_counts(own), share.tobytes(), backoff.tobytes())] if len(every) else []
+        return pa.Table.from_batches([_batch(_MODEL, rows)])
+
+    return sums.groupBy("shard").cogroup(words.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(merge, _MODEL)
+
+
+_MET = "stretch bigint, shard int, kind int, counts binary, share binary, backoff binary"
+
+
+def met_keys(sent: DataFrame, table: DataFrame) -> DataFrame:
+    """The model's values for each stretch's keys; nought for those it does not know."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = {kind: [r for r in right.to_pylist() if r["kind"] == kind and r["keys"] is not None] for kind in (WORDS, PAIRS)}
+        tables = {kind: (unpacked(r[0]["keys"]), [counts_of(r[0]["counts"]), *([doubles(r[0][c]) for c in ("share", "backoff")] if kind == WORDS else [])]) for kind, r in known.items() if r}
+        out = []
+        for r in left.to_pylist():
+            ids = unpacked(r["keys"])
+            keys, values = tables.get(r["kind"], (None, [np.zeros(1, np.int64), *([np.zeros(1)] * 2 if r["kind"] == WORDS else [])]))
+            at = np.zeros(len(ids), np.int64) if keys is None else np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
+            hit = np.zeros(len(ids), bool) if keys is None else keys[at] == ids
+            counts, *rest = [np.where(hit, v[at], 0) for v in values]
+            out.append((r["stretch"], r["shard"], r["kind"], small_counts(counts), *([x.tobytes() for x in rest] or [None, None])))
+        return pa.Table.from_batches([_batch(_MET, out)])
+
+    return sent.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(meet, _MET)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every row."""
-    kind, shards = docs.schema["doc_id"].dataType.simpleString(), model.shards
+    kind, spark = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession
     whole = model.n + SMOOTH * (model.types + 1)
-    base_of_unknown, unknown = math.log10(SMOOTH / whole), math.log10(model.unknown)
-
-    def send(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for i, (rows, found, sizes) in enumerate(stretches(batches, 2)):
-            content = xxhash.xxh64_intdigest(found.tobytes(), seed=task) >> 16
-            stretch, docs_of = (content << 15) + i, np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-            every = np.arange(len(sizes), dtype=np.uint16)
-            keys = np.concatenate([found, pair_keys(histories(found, sizes), found), np.full(len(sizes), START, dtype=np.uint64)])
-            owner = np.concatenate([docs_of, docs_of, every])
-            mine = shard_of(keys, shards) % PASSES == part
-            keys, owner = keys[mine], owner[mine]
-            order = np.lexsort((owner, keys))
-            keys, owner = keys[order], owner[order]
-            fresh = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]))
-            times = np.diff(np.append(fresh, len(keys)))
-            keys, owner = keys[fresh], owner[fresh]
-            names, ids, of, n = [], [], [], []
-            for s, a, b in parts_of(shard_of(keys, shards)):
-                own = keys[a:b]
-                head = np.concatenate([[True], own[1:] != own[:-1]])
-                names.append(s)
-                ids.append(packed(own[head]))
-                of.append(np.add.reduceat(np.ones(b - a, np.int32), np.flatnonzero(head)).astype(np.int32).tobytes())
-                n.append(owner[a:b].tobytes() + times[a:b].astype(np.int32).tobytes())
-            yield _row_batch(shard=pa.array(names, pa.int32()), stretch=pa.array([stretch] * len(names), pa.int64()), keys=pa.array(ids, pa.binary()), docs=pa.array(of, pa.binary()), owners=pa.array(n, pa.binary()), n=pa.nulls(len(names), pa.int32()))
-            at = 0
-            for batch in rows if part == 0 else ():
-                k = batch.num_rows
-                yield _row_batch(
-                    shard=pa.array(np.full(k, stretch % shards // PASSES * PASSES, np.int32)), stretch=pa.array(np.full(k, stretch, np.int64)), n=pa.array(np.arange(at, at + k, dtype=np.int32)),
-                    doc_id=batch.column(0), held_out=batch.column(1), tokens=pa.array(sizes[at : at + k].astype(np.int64)),
-                )
-                at += k
-
-    def meet(sent: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        key = known["key"].to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, gain, c = key[order], known["gain"].to_numpy()[order], known["c"].to_numpy()[order]
-        base = np.where(c > 0, np.log10((c + SMOOTH) / whole) - base_of_unknown, 0.0)
-        rows = sent[sent["keys"].isna()][["stretch", "n", "doc_id", "held_out", "tokens"]].assign(sums=None)
-        out = []
-        for r in sent[sent["keys"].notna()].itertuples():
-            ids, runs = unpacked(r.keys), np.frombuffer(r.docs, dtype=np.int32)
-            k = len(r.owners) // 6
-            owner, times = np.frombuffer(r.owners, dtype=np.uint16, count=k), np.frombuffer(r.owners[2 * k :], dtype=np.int32)
-            at = np.minimum(np.searchsorted(key, ids), max(len(key) - 1, 0))
-            hit = (key[at] == ids) if len(key) else np.zeros(len(ids), bool)
-            which = np.repeat(np.where(hit, at, -1), runs)
-            met = which >= 0
-            owner, times, which = owner[met].astype(np.int64), times[met].astype(np.float64), which[met]
-            docs_met, back = np.unique(owner, return_inverse=True)
-            sums = [np.bincount(back, weights=times * x[which], minlength=len(docs_met)) for x in (gain, base, (c > 0).astype(np.float64))] if len(docs_met) else [np.empty(0)] * 3
-            out.append((r.stretch, docs_met.astype(np.uint16).tobytes() + b"".join(x.tobytes() for x in sums)))
-        more = pd.DataFrame({"stretch": [s for s, _ in out], "sums": [b for _, b in out]})
-        return pd.concat([rows, more], ignore_index=True)[["stretch", "n", "doc_id", "held_out", "tokens", "sums"]]
-
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group[group["sums"].isna()].sort_values("n")
-        if rows.empty:
-            raise RuntimeError("the passes read the documents in different splits")
-        total = np.zeros((3, len(rows)))
-        for data in sorted(group.loc[group["sums"].notna(), "sums"]):
-            k = len(data) // 26
-            docs_met = np.frombuffer(data, dtype=np.uint16, count=k)
-            total[:, docs_met] += np.frombuffer(data[2 * k :], dtype=np.float64).reshape(3, k)
-        n = rows["tokens"].to_numpy().astype(np.float64)
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "n_tokens": rows["tokens"].to_numpy().astype(np.int64), "n_known": total[2].round().astype(np.int64),
-            "base_score": n * base_of_unknown + total[1], "score": n * unknown + total[0],
-        })
-
-    table = model.table.withColumn("shard", shard_column(F.col("key"), shards))
-    spark, columns = docs.sparkSession, ", ".join(f"{c} {t}" for c, t in _SENT.items())
-    # all passes cut the files alike, also where executors come or go; a stretch's name holds its content, so a
-    # difference would be noticed
-    splits = setting(spark, "spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
-    with arrow_rows(spark, 256), splits, scratch(spark) as keep:
-        met = None
-        for part in range(PASSES):
-            sent = inputs(docs).mapInArrow(lambda batches, part=part: send(batches, part), columns)
-            of_part = table.where(F.col("shard") % PASSES == part)
-            sums = sent.groupBy("shard").cogroup(of_part.groupBy("shard")).applyInPandas(meet, "stretch bigint, n int, doc_id string, held_out boolean, tokens bigint, sums binary")
-            sums = keep(sums, "sums")
-            met = sums if met is None else met.unionByName(sums)
-        done = met.groupBy("stretch").applyInPandas(gather, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-        return saved(done.withColumn("doc_id", F.col("doc_id").cast(kind)), "scores")
-
-
-_SENT = {"shard": "int", "stretch": "bigint", "keys": "binary", "docs": "binary", "owners": "binary", "n": "int", "doc_id": "string", "held_out": "boolean", "tokens": "bigint"}
-_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
-
-
-def _row_batch(**columns) -> pa.RecordBatch:
-    """A batch of the sent rows; columns not given are null."""
-    size = len(columns["shard"])
-    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, _TYPES[t])) for c, t in _SENT.items()], names=list(_SENT))
+    unknown, held, d1, d2 = model.unknown, model.held, model.d1, model.d2
+    columns = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, rows = [], right.to_pylist()
+        for row in left.to_pylist():
+            stretch = Stretch(row)
+            c, share, backoff = (answers(rows, WORDS, x, read) for x, read in (("counts", counts_of), ("share", doubles), ("backoff", doubles)))
+            met = answers(rows, PAIRS, "counts", counts_of)
+            p = np.log10(np.where(c > 0, word_share(c, unknown, held, d1), unknown))
+            counted = np.log10(np.where(met > 0, discounted(met, d2), 1.0))
+            seen = (met > 0)[stretch.pair]
+            logs = np.where(seen, counted[stretch.pair] + share[stretch.before], backoff[stretch.before] + p[stretch.at])
+            base = np.log10((c + SMOOTH) / whole)[stretch.at]
+            sums = [np.add.reduceat(x, stretch.starts) for x in ((c > 0)[stretch.at].astype(np.int64), base, logs)]
+            out.append(pa.RecordBatch.from_arrays([pa.array(stretch.doc_id, pa.string()), pa.array(stretch.held_out, pa.bool_()), *map(pa.array, [stretch.sizes, *sums])], names=[x.split()[0] for x in columns.split(", ")]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch(columns, [])])
+
+    with scratch(spark) as keep:
+        with arrow_rows(spark, 256):
+            state = keep(state_rows(inputs(docs)), "state", "stretch")
+        with reading_state(spark):
+            # the words' answers are the longest; they are not written, but sent on to the stretches at once
+            met = met_keys(sent_keys(state, model.shards, (WORDS,), numbers=False), model.words)
+            for part in range(PASSES):
+                of_part = model.pairs.where(F.col("shard") % PASSES == part)
+                found = met_keys(sent_keys(state, model.shards, (PAIRS,), part, numbers=False), of_part)
+                met = met.unionByName(keep(found, "met"))
+            done = state.groupBy("stretch").cogroup(met.groupBy("stretch")).applyInArrow(add, columns)
+            return saved(done.withColumn("doc_id", F.col("doc_id").cast(kind)), "scores")
+
+
+_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch of a schema written as DDL."""
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _TYPES[t]) for i, (_, t) in enumerate(fields)], names=[c for c, _ in fields])

@@ -211,6 +211,35 @@ def test_katz_key_packing():
     assert np.array_equal(katz.unpacked(katz.packed(keys)), keys) and np.array_equal(katz.unpacked(katz.packed(keys[:1])), keys[:1])
 
 
+def test_katz_counts_and_places():
+    c = np.array([0, 1, 254, 255, 256, 5_000_000_000, 3])
+    assert np.array_equal(katz.counts_of(katz.small_counts(c)), c) and not len(katz.counts_of(katz.small_counts(c[:0])))
+    for width, top in ((1, 200), (2, 60_000), (3, 16_000_000)):
+        at = np.random.default_rng(width).integers(0, top, 999)
+        assert np.array_equal(katz.from_planes(katz.planes(at, width), width), at)
+
+
+def test_katz_shuffles_few_bytes_a_pair(spark, monkeypatch):
+    """A distinct pair costs under nine bytes (seven of them by the small stretch), not its two words and a number; the number of shards changes no result."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(2000)) if i % 7 else None) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    sent = katz.sent_keys(katz.state_rows(katz.inputs(docs)), 8).where(F.col("kind") == katz.PAIRS).collect()
+    pairs = sum(len(katz.counts_of(r["n"])) for r in sent)
+    assert pairs > 50_000 and sum(len(r["keys"]) + len(r["n"]) for r in sent) < 9 * pairs
+    few = {r["doc_id"]: r for r in katz.score(docs, katz.train(docs)).collect()}
+    monkeypatch.setattr(katz, "SHARD_TOKENS", 3000)
+    model = katz.train(docs.where("doc_id <> 5"))
+    apart = {r["doc_id"]: r for r in katz.score(docs, model).collect()}
+    model = katz.train(docs)
+    assert model.shards > 20
+    many = {r["doc_id"]: r for r in katz.score(docs, model).collect()}
+    assert len(few) == len(many) == len(apart) == 50 and apart[5]["score"] < many[5]["score"]  # a text not trained on is still scored
+    for i, r in many.items():
+        assert (r["n_tokens"], r["n_known"]) == (few[i]["n_tokens"], few[i]["n_known"])
+        assert r["score"] == pytest.approx(few[i]["score"]) and r["base_score"] == pytest.approx(few[i]["base_score"])
+
+
 def arcs(vocabulary, word):
     """For each place of a word the pieces that start there: (end, ids, score)."""
     out = []
