@@ -204,11 +204,15 @@ def stars(label: Column, filled: Column, width_style: Column) -> Column:
     )
 
 
+def text_hash(stripped: Column) -> Column:
+    """The first 16 hex digits of the MD5 of a text that is trimmed already; an empty one has a hash as well."""
+    return F.substring(F.md5(stripped.cast("binary")), 1, 16)
+
+
 def review_id_or_hash(review_id: Column, block_text: Column) -> Column:
-    """The given id, else the first 16 hex digits of the MD5 of the block's trimmed text."""
+    """The given id, else the hash of the block's trimmed text; without either there is no id."""
     body = strip(block_text)
-    hashed = F.when(F.length(body) > 0, F.substring(F.md5(body.cast("binary")), 1, 16))
-    return F.coalesce(F.when(review_id != "", review_id), hashed)
+    return F.coalesce(F.when(review_id != "", review_id), F.when(F.length(body) > 0, text_hash(body)))
 
 
 def captcha_page(html: Column, phrases=fv.REVIEW_PAGE_CAPTCHA_PHRASES) -> Column:

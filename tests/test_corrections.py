@@ -1,10 +1,11 @@
 """Cases that the first round got wrong."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from sofralytics.functions import text
+from sofralytics.functions import parsing, text
 from sofralytics.operators import places, requestlog, similar
-from sofralytics.plans import place_queries
+from sofralytics.plans import load_queries, place_queries
 from sofralytics.plans.adapters import VIEW_SQL, for_spark
 from sofralytics.sources import versions
 from sofralytics.streaming import incremental
@@ -63,3 +64,21 @@ def test_distances_tie_as_in_the_sql(spark):
     points = spark.sql(for_spark(place_queries._POINTS), customer=spark.createDataFrame([(1087,)], "c_custkey long"))
     near = places.nearest(points, _made_venues(spark).filter("is_active"), 3).orderBy("rank").collect()
     assert [r["restaurant_id"] for r in near][1:] == [184, 984]
+
+
+def test_hash_of_blank_texts_is_that_of_the_sql(spark, folder):
+    texts = [None, "", " ", " \n\t　", "\x0b", "a\x0b", "\x0b a \x1c", " a b\x85", "ab"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents.write.parquet(f"{folder}/documents.parquet")
+    registry = load_queries()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["review_id_hash"]).fetchall()
+    got = [tuple(r) for r in registry.BUILDERS["review_id_hash"](spark, folder).collect()]
+    assert sorted(got) == sorted(want) and dict(got)[1] == "d41d8cd98f00b204"
+
+
+def test_blank_review_without_id_gets_none(spark):
+    rows = spark.createDataFrame([("", " "), ("", "a "), ("x", " ")], "id string, text string")
+    got = rows.select(parsing.review_id_or_hash(F.col("id"), F.col("text")).alias("k")).collect()
+    assert [r["k"] for r in got] == [None, "0cc175b9c0f1b6a8", "x"]
