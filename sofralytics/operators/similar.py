@@ -7,11 +7,15 @@ The filters follow from the thresholds, so the result equals that of an all-pair
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sofralytics.functions import fixed_values as fv
+from sofralytics.functions.best_key import CONTAINED, MOST_KEYS, KeyIndex
 from sofralytics.functions.geo import haversine_km
 from sofralytics.functions.similarity import (
     alike_needs, grams, indel_ratio, inner_grams, letters, only_whole, shared_grams_needed, weighted_ratio_udf, window_needs,
@@ -413,9 +417,6 @@ def fuzzy_lookup(queries: DataFrame, lookup: DataFrame, column: str = "query", t
     return best.groupBy("text", "canonical").agg(F.max("score").alias("score"))
 
 
-CONTAINED = 90.0  # the weighted ratio of a text and a key inside it (or around it), with lengths 1.5 to 8 times apart
-
-
 def contained_keys(texts: DataFrame, lookup: DataFrame) -> DataFrame:
     """(text, key): for each text the first key (by ``key_order``) that it contains or that contains it, lengths 1.5 to 8 times apart.
 
@@ -460,19 +461,80 @@ def best_keys(texts: DataFrame, lookup: DataFrame, threshold: float) -> DataFram
     return pairs.join(bounded(lookup), "key").groupBy("text").agg(best.alias("b")).select("text", "b.*")
 
 
+def _mentions_by_few_keys(runs: DataFrame, entries: list, threshold: float) -> DataFrame:
+    """The best run per review and dish as far as a task sees them, with keys few enough to be sent to every task.
+
+    ``entries``: (key, canonical) in the order of ``key_order``.  Runs are compared once per stretch of rows, so nothing is
+    shuffled before the rows are reduced to dishes.
+    """
+    keys, canonicals = [e[0] for e in entries], sorted({e[1] for e in entries})
+    dish_of = [canonicals.index(e[1]) for e in entries]
+
+    def run(batches):
+        index, dishes, names = KeyIndex(keys, threshold), np.array(dish_of), pa.array(canonicals, pa.string())
+        for table in _gathered(batches):
+            coded = table["candidate"].combine_chunks().dictionary_encode()
+            code = coded.indices.to_numpy()
+            _, first = np.unique(code, return_index=True)
+            texts = pc.coalesce(table["key"].combine_chunks().take(pa.array(first)), coded.dictionary)
+            same = pc.index_in(texts, value_set=pa.array(keys, pa.string())).fill_null(-1).to_numpy()
+            open_run = table["open"].combine_chunks().take(pa.array(first)).to_numpy(zero_copy_only=False)
+            number, score = np.where(same >= 0, same, len(keys)), np.where(same >= 0, 100.0, 0.0)
+            asked = np.flatnonzero((same < 0) & open_run)
+            if len(asked):
+                wanted, back = np.unique(np.array(texts.take(pa.array(asked)).to_pylist(), dtype=object), return_inverse=True)
+                best, value = index.best(wanted.tolist())
+                number[asked], score[asked] = best[back], value[back]
+            hit = np.flatnonzero(number[code] < len(keys))
+            told = code[hit]
+            review = table["review_id"].combine_chunks().take(pa.array(hit)).dictionary_encode().indices.fill_null(-1).to_numpy()
+            dish = dishes[number[told]]
+            n, start = (table[c].combine_chunks().take(pa.array(hit)).to_numpy() for c in ("n", "start"))
+            size = pc.utf8_length(coded.dictionary).to_numpy()[told]
+            order = np.lexsort((start, n, -size, -score[told], dish, review))
+            lead = np.ones(len(order), dtype=bool)
+            lead[1:] = (np.diff(review[order]) != 0) | (np.diff(dish[order]) != 0)
+            kept = order[lead]
+            rows = table.take(pa.array(hit[kept]))
+            method = pa.array(np.where(same[told[kept]] >= 0, "exact", "fuzzy"), pa.string())
+            columns = [rows["review_id"], names.take(pa.array(dish[kept])), rows["n"], rows["start"], rows["candidate"], pa.array(score[told[kept]]), method]
+            yield from pa.table(columns, names=["review_id", "canonical", "n", "start", "matched_text", "score", "method"]).to_batches()
+
+    kind = runs.schema["review_id"].dataType.simpleString()
+    found = runs.mapInArrow(run, f"review_id {kind}, canonical string, n int, start int, matched_text string, score double, method string")
+    return found.select("review_id", "canonical", F.struct("n", "start").alias("position"), "matched_text", "score", "method")
+
+
+def _gathered(batches, rows: int = 100_000):
+    """Tables of at least this many rows, but for the last."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
 def fuzzy_mentions(reviews: DataFrame, lookup: DataFrame, threshold: float = fv.FUZZY_DISH_THRESHOLD) -> DataFrame:
     """Dishes named in each review literally or misspelt, best match per dish.
 
-    Word runs that are no dictionary key, have at least three characters and are no stop word are compared
-    with the dictionary once per distinct run, then joined back.
+    Word runs that are no dictionary key, have at least three characters and are no stop word are compared with the
+    dictionary: inside the tasks that make them where its keys are few, else once per distinct run, then joined back.
     """
     runs = candidates(reviews)
+    is_open = (F.length("candidate") >= 3) & ~F.col("candidate").isin(*fv.TURKISH_STOPWORDS)
+    few = sorted((r["key_order"], r["key"], r["canonical"]) for r in lookup.select("key_order", "key", "canonical").limit(MOST_KEYS + 1).collect())
+    if KeyIndex.takes([key for _, key, _ in few], threshold):
+        other_key = F.when(F.col("key") != F.col("candidate"), F.col("key"))
+        told = runs.select("review_id", "position.n", "position.start", "candidate", other_key.alias("key"), is_open.alias("open"))
+        return best_per_dish(_mentions_by_few_keys(told, [(key, canonical) for _, key, canonical in few], threshold))
     hits = runs.join(bounded(lookup.select("key", "canonical")), "key").select(
         "review_id", "canonical", "position", F.col("candidate").alias("matched_text"), F.lit(100.0).alias("score"), F.lit("exact").alias("method")
     )
-    open_runs = runs.join(bounded(lookup.select("key")), "key", "left_anti").filter(
-        (F.length("candidate") >= 3) & ~F.col("candidate").isin(*fv.TURKISH_STOPWORDS)
-    )
+    open_runs = runs.join(bounded(lookup.select("key")), "key", "left_anti").filter(is_open)
     distinct = written(open_runs.select(F.col("key").alias("text")).distinct(), "runs")
     best = best_keys(distinct, lookup, threshold)
     loose = open_runs.join(best, F.col("key") == F.col("text")).select(

@@ -1,9 +1,14 @@
 """Cases that the first round got wrong."""
 
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from sofralytics.functions import parsing, text
+from sofralytics.functions.best_key import KeyIndex
+from sofralytics.functions.similarity import weighted_ratio
 from sofralytics.operators import places, requestlog, similar
 from sofralytics.plans import load_queries, place_queries
 from sofralytics.plans.adapters import VIEW_SQL, for_spark
@@ -82,3 +87,37 @@ def test_blank_review_without_id_gets_none(spark):
     rows = spark.createDataFrame([("", " "), ("", "a "), ("x", " ")], "id string, text string")
     got = rows.select(parsing.review_id_or_hash(F.col("id"), F.col("text")).alias("k")).collect()
     assert [r["k"] for r in got] == [None, "0cc175b9c0f1b6a8", "x"]
+
+
+_WORDS = ["ka", "su", "kebap", "kebab", "kbap", "adana", "adanaa", "iskender", "iskendr", "mercimekcorbasi", "mercimekcorbsi", "k", "de", "xyz", "çorba", "corba"]
+
+
+def _phrases(seed, n, most):
+    rng = random.Random(seed)
+    return [" ".join(rng.choices(_WORDS, k=rng.randint(1, most))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [85.0, 88.0, 90.0])
+def test_few_keys_equal_brute_force(threshold):
+    keys = list(dict.fromkeys([*_phrases(1, 30, 3), "a" * 64, "kebap " * 9 + "adana", "a"]))
+    cut = [k[:i] + k[i + 1 :] for k in keys[:20] for i in (1, len(k) // 2)]
+    near = [*cut, *[f"zz{c}yy" for c in cut], "a" * 63, "b" * 70, "kebap " * 14 + "x", "dekasu", "ebap"]
+    texts = sorted({" ".join(t.split()) for t in [*_phrases(2, 150, 4), *near]} - {"", *keys})
+    number, score = KeyIndex(keys, threshold).best(texts)
+    for t, k, s in zip(texts, number.tolist(), score.tolist()):
+        best, first = max((weighted_ratio(t, key, threshold - 0.1), -i) for i, key in enumerate(keys))
+        assert (k, s) == ((-first, best) if best >= threshold else (len(keys), 0.0)), t
+
+
+def test_misspelt_dishes_join_no_runs_and_equal_the_joins(spark, monkeypatch):
+    """With few keys no run is shuffled; the result is that of the joins, which stay for many keys."""
+    names = [(f"Dish {i}", p) for i, p in enumerate(dict.fromkeys(_phrases(3, 12, 2)))]
+    lookup = spark.createDataFrame([(p, d, (i, 0, 0)) for i, (d, p) in enumerate(names)], "key string, canonical string, key_order struct<a:long,b:int,c:int>")
+    texts = [None, "", "___", "adana_kebap_ ve kebap", *[" ".join(_phrases(s, 3, 5)).replace("kebap su", "kebap_su") for s in range(20)]]
+    reviews = spark.createDataFrame([*enumerate(texts), (None, "kebap ka")], "review_id long, text string")
+    few = similar.fuzzy_mentions(reviews, lookup)
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(KeyIndex, "takes", staticmethod(lambda keys, threshold: False))
+    many = similar.fuzzy_mentions(reviews, lookup)
+    order = lambda rows: sorted(map(str, rows))
+    assert few.columns == many.columns and order(few.collect()) == order(many.collect())
