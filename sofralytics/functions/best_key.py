@@ -229,7 +229,9 @@ class KeyIndex:
 
     def _contained(self, texts: list[str], codes: np.ndarray, patterns: dict[int, _Patterns], parts: dict[str, int]) -> np.ndarray:
         """For each text the first key inside or around it with lengths 1.5 to 8 times apart."""
-        first = np.array([parts.get(t, self.none) for t in texts], dtype=np.int64)
+        first = np.full(len(texts), self.none)
+        if _apart(codes.shape[1], self.longest) or codes.shape[1] * 8 < self.longest:
+            first[:] = [parts.get(t, self.none) for t in texts]
         for n, hashes in _stretches(codes, codes.shape[1] * 2 // 3):
             if n in patterns and _apart(n, codes.shape[1]):
                 np.minimum.at(first, *patterns[n].met(hashes)[:2])
@@ -285,7 +287,7 @@ class KeyIndex:
             score = np.where(free & (first < self.none), COMMON_WORD, score)
 
         shared, heavy = self._sharing(texts, row, word, repeats, length, free)
-        pairs = [self._windows(codes, np.flatnonzero(free), length), (shared[heavy] // self.none, shared[heavy] % self.none)]
+        pairs = [self._windows(codes, np.flatnonzero(free), length, score), (shared[heavy] // self.none, shared[heavy] % self.none)]
         for some, floor in ((free, self.threshold), (~free, CONTAINED)):
             rows = np.flatnonzero(some)
             pairs.append(self._near(texts, codes, rows, spaced, shared, length, floor))
@@ -347,7 +349,7 @@ class KeyIndex:
         low = np.where(free[at], self.threshold, CONTAINED) / 0.95 - SLACK
         return code, 200.0 * shared >= low * (shared + least)
 
-    def _windows(self, codes: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def _windows(self, codes: np.ndarray, rows: np.ndarray, length: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs with lengths apart that share a stretch, and around it enough characters in order for a near window."""
         if self.grams is None or length < self.least_window or not len(rows):
             return (np.zeros(0, dtype=np.int64),) * 2
@@ -370,5 +372,6 @@ class KeyIndex:
         low, high = np.maximum(-shift - spare, 0)[around], np.minimum(length - shift + spare, self.lengths[key])[around]
         bits = (~np.uint64(0) << low.astype(np.uint64)) & (~np.uint64(0) >> (64 - high).astype(np.uint64))
         common[around] = self._in_order(self.masks, codes[rows], at[around], key[around], bits=bits)
-        keep = np.flatnonzero(common >= self.window_common[short])
+        # At best the stretch holds no more than the common characters.
+        keep = np.flatnonzero((common >= self.window_common[short]) & (0.9 * 200.0 * common >= (short + common) * (score[rows[at]] - SLACK)))
         return rows[at[keep]], key[keep]

@@ -21,9 +21,9 @@ from sofralytics.functions.similarity import (
     alike_needs, grams, indel_ratio, inner_grams, letters, only_whole, shared_grams_needed, weighted_ratio_udf, window_needs,
     word_sort_key,
 )
-from sofralytics.functions.text import normalize
-from sofralytics.operators.dictionary import best_per_dish, candidates
-from sofralytics.operators.sizing import bounded, spread_by
+from sofralytics.functions.text import normalize, tokens
+from sofralytics.operators.dictionary import MAX_WORDS, best_per_dish, candidates
+from sofralytics.operators.sizing import bounded, spread, spread_by
 from sofralytics.session import ensure_checkpoint_dir, written
 
 # Below this ratio two short different texts may share no character pair at all.
@@ -461,80 +461,96 @@ def best_keys(texts: DataFrame, lookup: DataFrame, threshold: float) -> DataFram
     return pairs.join(bounded(lookup), "key").groupBy("text").agg(best.alias("b")).select("text", "b.*")
 
 
-def _mentions_by_few_keys(runs: DataFrame, entries: list, threshold: float) -> DataFrame:
+WORDS_AT_ONCE = 100_000
+
+
+def _runs_of(flat: pa.Array, end: np.ndarray, low: int, high: int):
+    """The runs of up to four words that begin at the words from ``low`` to before ``high``: their distinct strings, and for each
+    run its string's number, its number of words and the place of its first word.
+    """
+    coded = flat.slice(low, high - low + MAX_WORDS - 1).dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    texts, place, number, strings, told = words, np.arange(high - low), code[: high - low], [], 0
+    runs = []
+    for n in range(1, MAX_WORDS + 1):
+        if n > 1:  # the runs one word shorter, where the text goes on
+            on = low + place + n <= end[low + place]
+            place = place[on]
+            both, number = np.unique(number[on] * len(words) + code[place + n - 1], return_inverse=True)
+            texts = pc.binary_join_element_wise(texts.take(pa.array(both // len(words))), words.take(pa.array(both % len(words))), " ")
+        strings.append(texts)
+        runs.append((number + told, np.full(len(place), n), place + low))
+        told += len(texts)
+    return pa.concat_arrays(strings), *(np.concatenate(part) for part in zip(*runs))
+
+
+def _mentions_by_few_keys(reviews: DataFrame, entries: list, threshold: float) -> DataFrame:
     """The best run per review and dish as far as a task sees them, with keys few enough to be sent to every task.
 
-    ``entries``: (key, canonical) in the order of ``key_order``.  Runs are compared once per stretch of rows, so nothing is
-    shuffled before the rows are reduced to dishes.
+    ``entries``: (key, canonical) in the order of ``key_order``.  The distinct runs of some 100,000 words at a time are compared
+    with the keys, so nothing is shuffled before the runs are reduced to dishes.
     """
     keys, canonicals = [e[0] for e in entries], sorted({e[1] for e in entries})
     dish_of = [canonicals.index(e[1]) for e in entries]
 
     def run(batches):
         index, dishes, names = KeyIndex(keys, threshold), np.array(dish_of), pa.array(canonicals, pa.string())
-        for table in _gathered(batches):
-            coded = table["candidate"].combine_chunks().dictionary_encode()
-            code = coded.indices.to_numpy()
-            _, first = np.unique(code, return_index=True)
-            texts = pc.coalesce(table["key"].combine_chunks().take(pa.array(first)), coded.dictionary)
-            same = pc.index_in(texts, value_set=pa.array(keys, pa.string())).fill_null(-1).to_numpy()
-            open_run = table["open"].combine_chunks().take(pa.array(first)).to_numpy(zero_copy_only=False)
-            number, score = np.where(same >= 0, same, len(keys)), np.where(same >= 0, 100.0, 0.0)
-            asked = np.flatnonzero((same < 0) & open_run)
-            if len(asked):
-                wanted, back = np.unique(np.array(texts.take(pa.array(asked)).to_pylist(), dtype=object), return_inverse=True)
-                best, value = index.best(wanted.tolist())
-                number[asked], score[asked] = best[back], value[back]
-            hit = np.flatnonzero(number[code] < len(keys))
-            told = code[hit]
-            review = table["review_id"].combine_chunks().take(pa.array(hit)).dictionary_encode().indices.fill_null(-1).to_numpy()
-            dish = dishes[number[told]]
-            n, start = (table[c].combine_chunks().take(pa.array(hit)).to_numpy() for c in ("n", "start"))
-            size = pc.utf8_length(coded.dictionary).to_numpy()[told]
-            order = np.lexsort((start, n, -size, -score[told], dish, review))
-            lead = np.ones(len(order), dtype=bool)
-            lead[1:] = (np.diff(review[order]) != 0) | (np.diff(dish[order]) != 0)
-            kept = order[lead]
-            rows = table.take(pa.array(hit[kept]))
-            method = pa.array(np.where(same[told[kept]] >= 0, "exact", "fuzzy"), pa.string())
-            columns = [rows["review_id"], names.take(pa.array(dish[kept])), rows["n"], rows["start"], rows["candidate"], pa.array(score[told[kept]]), method]
-            yield from pa.table(columns, names=["review_id", "canonical", "n", "start", "matched_text", "score", "method"]).to_batches()
-
-    kind = runs.schema["review_id"].dataType.simpleString()
-    found = runs.mapInArrow(run, f"review_id {kind}, canonical string, n int, start int, matched_text string, score double, method string")
+        known, stop = pa.array(keys, pa.string()), pa.array(fv.TURKISH_STOPWORDS, pa.string())
+        for batch in batches:
+            lists = batch.column("w")
+            flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            review = np.repeat(np.arange(len(lists)), np.diff(bounds))
+            for low in range(0, len(flat), WORDS_AT_ONCE):
+                texts, number, n, place = _runs_of(flat, bounds[1:][review], low, min(low + WORDS_AT_ONCE, len(flat)))
+                size = pc.utf8_length(texts).to_numpy()
+                forms = texts
+                odd = pc.match_substring(texts, "_")
+                if pc.any(odd).as_py():  # tokens are lower-cased words already; only an underscore still needs normalising
+                    forms = pc.if_else(odd, pc.utf8_trim_whitespace(pc.replace_substring_regex(texts, "[_ ]+", " ")), texts)
+                same = pc.index_in(forms, value_set=known).fill_null(-1).to_numpy()
+                key, score = np.where(same >= 0, same, len(keys)), np.where(same >= 0, 100.0, 0.0)
+                asked = np.flatnonzero((same < 0) & (size >= 3) & ~pc.is_in(texts, value_set=stop).to_numpy(zero_copy_only=False))
+                wanted = forms.take(pa.array(asked)).dictionary_encode()
+                best, value = index.best(wanted.dictionary.to_pylist())
+                key[asked], score[asked] = best[wanted.indices.to_numpy()], value[wanted.indices.to_numpy()]
+                # Highest score, then longest text, then fewest words, then the first.
+                _, rank = np.unique(-score * (1 << 20) - size, return_inverse=True)
+                hit = np.flatnonzero(key[number] < len(keys))
+                number, n, place = number[hit], n[hit], place[hit]
+                start, dish = place - bounds[review[place]], dishes[key[number]]
+                group = review[place] * len(canonicals) + dish
+                order = np.lexsort(((rank[number] << 35) + (n << 32) + start, group))
+                kept = order[np.flatnonzero(np.diff(group[order], prepend=-1))]
+                number, method = number[kept], np.where(same[number[kept]] >= 0, "exact", "fuzzy")
+                found = {
+                    "review_id": batch.column("review_id").take(pa.array(review[place[kept]])), "canonical": names.take(pa.array(dish[kept])),
+                    "n": pa.array(n[kept], pa.int32()), "start": pa.array(start[kept], pa.int32()),
+                    "matched_text": texts.take(pa.array(number)), "score": pa.array(score[number]), "method": pa.array(method, pa.string()),
+                }
+                yield pa.RecordBatch.from_pydict(found)
+
+    rows = spread(reviews.select("review_id", "text")).select("review_id", tokens(F.col("text")).alias("w"))
+    kind = rows.schema["review_id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"review_id {kind}, canonical string, n int, start int, matched_text string, score double, method string")
     return found.select("review_id", "canonical", F.struct("n", "start").alias("position"), "matched_text", "score", "method")
 
 
-def _gathered(batches, rows: int = 100_000):
-    """Tables of at least this many rows, but for the last."""
-    held, count = [], 0
-    for batch in batches:
-        held.append(batch)
-        count += batch.num_rows
-        if count >= rows:
-            yield pa.Table.from_batches(held)
-            held, count = [], 0
-    if count:
-        yield pa.Table.from_batches(held)
-
-
 def fuzzy_mentions(reviews: DataFrame, lookup: DataFrame, threshold: float = fv.FUZZY_DISH_THRESHOLD) -> DataFrame:
     """Dishes named in each review literally or misspelt, best match per dish.
 
     Word runs that are no dictionary key, have at least three characters and are no stop word are compared with the
     dictionary: inside the tasks that make them where its keys are few, else once per distinct run, then joined back.
     """
-    runs = candidates(reviews)
-    is_open = (F.length("candidate") >= 3) & ~F.col("candidate").isin(*fv.TURKISH_STOPWORDS)
     few = sorted((r["key_order"], r["key"], r["canonical"]) for r in lookup.select("key_order", "key", "canonical").limit(MOST_KEYS + 1).collect())
     if KeyIndex.takes([key for _, key, _ in few], threshold):
-        other_key = F.when(F.col("key") != F.col("candidate"), F.col("key"))
-        told = runs.select("review_id", "position.n", "position.start", "candidate", other_key.alias("key"), is_open.alias("open"))
-        return best_per_dish(_mentions_by_few_keys(told, [(key, canonical) for _, key, canonical in few], threshold))
+        return best_per_dish(_mentions_by_few_keys(reviews, [(key, canonical) for _, key, canonical in few], threshold))
+    runs = candidates(reviews)
     hits = runs.join(bounded(lookup.select("key", "canonical")), "key").select(
         "review_id", "canonical", "position", F.col("candidate").alias("matched_text"), F.lit(100.0).alias("score"), F.lit("exact").alias("method")
     )
-    open_runs = runs.join(bounded(lookup.select("key")), "key", "left_anti").filter(is_open)
+    open_runs = runs.join(bounded(lookup.select("key")), "key", "left_anti").filter(
+        (F.length("candidate") >= 3) & ~F.col("candidate").isin(*fv.TURKISH_STOPWORDS)
+    )
     distinct = written(open_runs.select(F.col("key").alias("text")).distinct(), "runs")
     best = best_keys(distinct, lookup, threshold)
     loose = open_runs.join(best, F.col("key") == F.col("text")).select(
